@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, line_dedup, token_counts, topk
+from . import bpe_automaton, line_dedup, quality_fm, token_counts, topk, toxicity, warc_revisits
 from .common import table
+from .labelled import training_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,3 +60,29 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    docs = table(spark, sf_dir, "documents")
+    sample = training_sample(docs, table(spark, sf_dir, "labels"), "toxic")
+    return toxicity.scores(docs, toxicity.train(sample["text"].tolist(), sample["y"].tolist()))
+
+
+@query
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    docs = table(spark, sf_dir, "documents")
+    sample = training_sample(docs, table(spark, sf_dir, "labels"), "quality")
+    return quality_fm.scores(docs, quality_fm.train(sample["text"].tolist(), sample["y"].tolist()))
+
+
+@query
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, canonical_url, response_id, status, headers for every revisit in the crawl that the pages make."""
+    out = warc_revisits.resolve(warc_revisits.pages_as_records(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "canonical_url", "response_id", "status", warc_revisits.header_text(out["headers"]).alias("headers"))
+
+
+ORACLE_SQL["op9_warc_revisits"] = warc_revisits.ORACLE
