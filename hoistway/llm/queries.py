@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, line_dedup, quality_fm, token_counts, topk, toxicity, warc_revisits
+from . import bpe_automaton, decontaminate, html_extract, line_dedup, quality_fm, token_counts, topk, toxicity, warc_revisits
 from .common import table
 from .labelled import training_sample
 
@@ -92,3 +92,9 @@ ORACLE_SQL["op9_warc_revisits"] = warc_revisits.ORACLE
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, start, end, distance, passage: each benchmark item that occurs in a document within its edit budget."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_extract.extract_main(table(spark, sf_dir, "pages"))
