@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, html_extract, line_dedup, quality_fm, token_counts, topk, toxicity, warc_revisits
+from . import bpe_automaton, decontaminate, html_extract, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
 from .common import table
 from .labelled import training_sample
 
@@ -98,3 +98,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     return html_extract.extract_main(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_key of every document."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
