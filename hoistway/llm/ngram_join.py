@@ -295,14 +295,15 @@ def _search_tasks(rows: DataFrame, tasks: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         for _, cell in pdf.groupby("cell", sort=False):
-            cell = cell.sort_values(["role", "key"], ascending=[False, True], kind="stable").drop_duplicates("key")
+            within = bool(cell["within"].iloc[0])  # a leader stands in its own block too; a query may also be one of those searched
+            cell = cell.sort_values(["role", "key"], ascending=[False, True], kind="stable").drop_duplicates(["key"] if within else ["key", "role"])
             keys, roles = cell["key"].tolist(), cell["role"].tolist()
             sets = [np.frombuffer(s, "u8") for s in cell["shingles"]]
             found, first = Found(len(keys)), {}
             for i, c in enumerate(cell["comp"].tolist()):
                 if c is not None and c == c:
                     found.join(first.setdefault(c, i), i)
-            if bool(cell["within"].iloc[0]):
+            if within:
                 links = search(sets, list(range(len(keys))), [], found)
             else:
                 links = search(sets, [i for i, r in enumerate(roles) if r == 1], [i for i, r in enumerate(roles) if r == 0], found)
