@@ -1,10 +1,66 @@
-"""A corpus pipeline of the operators in hoistway.llm: each stage reads documents and hands on documents."""
+"""A corpus pipeline of the operators in hoistway.llm: each stage reads documents and hands on documents.
+
+run() writes what a stage keeps to the shared folder and reads it again, so a lost executor repeats one stage at most. Rows with a null or repeated doc_id
+are kept or dropped by their own text where a stage decides by text; a stage that decides by id treats rows of one id alike.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hoistway.llm import bpe_automaton, decontaminate, labelled, line_dedup, ngram_join, toxicity
+from hoistway.llm.common import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of this table, scores below 0.5."""
+    sample = labelled.training_sample(docs, table(spark, sf_dir, "labels"), "toxic")
+    model = toxicity.train(sample["text"].tolist(), sample["y"].tolist())
+    return toxicity.keep_below(docs, model, 0.5).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of repeated windows of three lines; one that loses all its lines goes."""
+    cut = line_dedup.covered(docs)
+    left = line_dedup.without(docs, cut).where("NOT __cut OR __removed < __lines")
+    return left.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each component of near copies; rows with a null doc_id stay."""
+    found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
+    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, tokens of each document; each decodes to its text."""
+    return bpe_automaton.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", keep_one_of_each_group),
+    ("decontaminate", drop_contaminated),
+    ("bpe", encode_bpe),
+]
+
+#: Classifier, alignment and tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

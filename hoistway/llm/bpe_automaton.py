@@ -277,3 +277,16 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_columns(df.select(id_col, text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", 500)
+
+
+def with_tokens(df: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns in keep, n_tokens and tokens of each row."""
+    key, spec = _shared(df, path)
+
+    def run(*columns):
+        a = built(key, spec.value)
+        tokens = [np.frombuffer(a.encode(t), dtype="<u4").astype("int32") for t in columns[-1].to_pylist()]
+        return dict(zip(keep, columns)) | {"n_tokens": [len(t) for t in tokens], "tokens": tokens}
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return map_columns(df.select(*keep, text_or_empty(text_col).alias("__t")), run, f"{kinds}, n_tokens long, tokens array<int>", 500)

@@ -150,14 +150,10 @@ def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, item_id, start, end, distance, passage: the items that occur in each document within their edit budget."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    usable = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    blocks = max(1, -(-usable.count() // BLOCK_ITEMS))
+    kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(id_col, text_or_empty(text_col).alias("t"))
     out = None
-    for b in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast([(int(r[0]), r[1]) for r in rows])
+    for sent in _blocks(benchmark):
         table: list[Items] = []
 
         def scan(ids, texts, sent=sent, table=table):
@@ -179,26 +175,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no item occurs; rows with a null id are judged by their own text like all others."""
-    spark = docs.sparkSession
+def _judge(sent):
+    """A pandas UDF: does an item of the broadcast block occur in the text?"""
+    table: list[Items] = []
+
+    def leaked(texts: pd.Series) -> pd.Series:
+        if not table:
+            table.append(Items(sent.value))
+        hit, all_texts = np.zeros(len(texts), bool), texts.tolist()
+        for lo in range(0, len(all_texts), 300):
+            hit[[lo + d for d, *_ in find(all_texts[lo : lo + 300], table[0])]] = True
+        return pd.Series(hit)
+
+    return F.pandas_udf(leaked, "boolean")
+
+
+def _blocks(benchmark: DataFrame):
+    """The usable items in blocks of bounded size, each broadcast."""
     usable = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     blocks = max(1, -(-usable.count() // BLOCK_ITEMS))
-    flag = "__leak"
-    out = docs
     for b in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast([(int(r[0]), r[1]) for r in rows])
-        table: list[Items] = []
+        yield benchmark.sparkSession.sparkContext.broadcast([(int(r[0]), r[1]) for r in rows])
 
-        def leaked(texts: pd.Series, *, sent=sent, table=table) -> pd.Series:
-            if not table:
-                table.append(Items(sent.value))
-            hit = np.zeros(len(texts), bool)
-            all_texts = texts.tolist()
-            for lo in range(0, len(all_texts), 300):
-                hit[[lo + d for d, *_ in find(all_texts[lo : lo + 300], table[0])]] = True
-            return pd.Series(hit)
 
-        out = out.withColumn(flag, F.pandas_udf(leaked, "boolean")(text_or_empty(text_col))).where(f"NOT {flag}").drop(flag)
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs in which no item occurs, with all their columns."""
+    for sent in _blocks(benchmark):
+        docs = docs.where(~_judge(sent)(text_or_empty(text_col)))
+    return docs

@@ -54,21 +54,25 @@ def covered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def without(df: DataFrame, cut: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without the lines in cut; adds __cut, true where a text lost lines, and __lines and __removed, how many it had and lost."""
+    lines = F.split(F.col(text_col), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__at"))
+    joined = df.join(cut.select(F.col("doc").alias(id_col), F.col("cut").alias("__at")), id_col, "left")
+    counted = joined.withColumns(
+        {
+            "__lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+            "__removed": F.when(F.col("__at").isNull(), 0).otherwise(F.size("__at")).cast("long"),
+            "__cut": F.col("__at").isNotNull(),
+        }
+    )
+    return counted.withColumn(text_col, F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))).drop("__at")
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text (what is left), n_lines (before), n_removed; one row for each row of df."""
-    cut = covered(df, id_col, text_col)
-    lines = F.split(F.col("t"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("cut"))
-    return (
-        df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
-        .join(cut, "doc", "left")
-        .select(
-            F.col("doc").alias(id_col),
-            F.when(F.col("cut").isNull(), F.col("t")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).alias("text"),
-            F.when(F.col("t").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-            F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long").alias("n_removed"),
-        )
-    )
+    out = without(df.select(id_col, text_col), covered(df, id_col, text_col), id_col, text_col)
+    return out.select(id_col, F.col(text_col).alias("text"), F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
 ORACLE = """
