@@ -83,4 +83,4 @@ def sql_query(name: str, sql: str) -> None:
     ORACLE_SQL[name] = duck
 
 
-from .plans import marts, sequences  # noqa: E402,F401  they register their queries
+from .plans import marts, more_marts, sequences, streams  # noqa: E402,F401  they register their queries
