@@ -72,7 +72,7 @@ query("wn2_flap_aware_cycles", a.ctes("door") + "," + FLAP_CYCLES + " SELECT * F
     + FLAP_CYCLES
     + f""", c AS (SELECT cam, door_version, count(*) AS n_all, count(*) FILTER (WHERE class = 'flap') AS n_flap, count(*) FILTER (WHERE class = 'reopened') AS n_reopened, count(*) FILTER (WHERE class = 'implausible') AS n_implausible,
       list_sort(list(close_travel_s) FILTER (WHERE class = 'clean')) AS l, count(*) FILTER (WHERE class = 'clean' AND close_travel_s > 10) AS over FROM fc GROUP BY 1, 2)
-    SELECT cam, door_version, n_all, n_flap, n_reopened, n_implausible, CAST(len(l) AS BIGINT) AS n, {nr(0.5)} AS median, {nr(0.85)} AS p85,
+    SELECT cam, door_version, n_all, n_flap, n_reopened, n_implausible, coalesce(CAST(len(l) AS BIGINT), 0) AS n, {nr(0.5)} AS median, {nr(0.85)} AS p85,
       CASE WHEN len(l) >= 6 THEN l[CAST(greatest(1, floor(len(l) / 2.0 - 1.959963984540054 * sqrt(len(l)) / 2)) AS BIGINT)] END AS lo, CASE WHEN len(l) >= 6 THEN l[CAST(least(len(l), ceil(1 + len(l) / 2.0 + 1.959963984540054 * sqrt(len(l)) / 2)) AS BIGINT)] END AS hi,
       round(100.0 * over / len(l), 4) AS over_pct FROM c""",
 )
