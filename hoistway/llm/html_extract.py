@@ -27,7 +27,7 @@ from .common import map_columns, stored
 #: Most hosts whose winning paths are broadcast; a path has at most PATH_CHARS characters.
 BROADCAST_HOSTS, PATH_CHARS = 20_000, 300
 #: Share of the good text that the voted container must hold, and the least share of the own container's text for the host's path to count.
-COVERAGE, AGREES = 0.7, 0.34
+COVERAGE, AGREES = 0.7, 0.1
 #: Elements by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
