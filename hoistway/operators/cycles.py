@@ -79,10 +79,11 @@ def flap_aware_cycles(door: DataFrame, th: Thresholds) -> DataFrame:
 
 def round_trips(door: DataFrame, home: str) -> DataFrame:
     """From each closing at home to the next opening at home strictly later, with the stops between."""
-    closes = state_only_cycles(door).select(*ERA, "ts_us", "id", F.lit(1).alias("close"))
-    rows = door.join(closes, [*ERA, "ts_us", "id"], "left").withColumn("close", F.coalesce("close", F.lit(0)))
-    rows = rows.withColumn("open", ((F.col("door_state") == "open") & (F.coalesce(F.lag("door_state").over(era_order()), F.lit("")) != "open")).cast("int"))
     w = era_order()
+    prev = F.coalesce(F.lag("door_state").over(w), F.lit(""))
+    is_close = (F.col("door_state") == "closed") & prev.isin("closing", "open")
+    is_open = (F.col("door_state") == "open") & (prev != "open")
+    rows = door.withColumns({"close": F.when(is_close, 1).otherwise(0), "open": F.when(is_open, 1).otherwise(0)})
     rows = rows.withColumn("part", F.coalesce(F.sum("close").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     carry = F.last("floor", ignorenulls=True)
     rows = rows.withColumn("close_floor", carry.over(era_order(*ERA, "part").rowsBetween(Window.unboundedPreceding, 0)))

@@ -133,10 +133,11 @@ q(
 )
 q(
     "ag9_day_lift_matrix",
-    """WITH days AS (SELECT DISTINCT BUCKET(ts_us + 19800000000, 86400000000) AS day FROM {door}), cams AS (SELECT 'ch' || CAST(channel AS STRING) AS cam FROM {channels}),
+    """WITH days AS (SELECT DISTINCT BUCKET(ts_us + 19800000000, 86400000000) AS day FROM {door}),
     seen AS (SELECT DISTINCT cam, BUCKET(ts_us + 19800000000, 86400000000) AS day FROM {door}),
     n AS (SELECT cam, BUCKET(ts_us + 19800000000, 86400000000) AS day, count(*) AS n FROM {transit} GROUP BY 1, 2),
-    cells AS (SELECT d.day, c.cam, CASE WHEN s.cam IS NOT NULL THEN coalesce(n.n, 0) END AS n FROM days d JOIN cams c ON d.day IS NOT NULL LEFT JOIN seen s ON s.cam = c.cam AND s.day = d.day LEFT JOIN n ON n.cam = c.cam AND n.day = d.day)
+    grid AS (SELECT day, 'ch' || CAST(channel AS STRING) AS cam FROM (SELECT day, UNNEST(FLEET(16, 27, 29, 30, 32, 34, 37)) AS channel FROM days)),
+    cells AS (SELECT c.day, c.cam, CASE WHEN s.cam IS NOT NULL THEN coalesce(n.n, 0) END AS n FROM grid c LEFT JOIN seen s ON s.cam = c.cam AND s.day = c.day LEFT JOIN n ON n.cam = c.cam AND n.day = c.day)
     SELECT day, cam, sum(n) AS n, count(*) - count(n) AS dark FROM cells GROUP BY GROUPING SETS ((day, cam), (day), (cam), ())""",
 )
 q(
@@ -340,8 +341,9 @@ q(
 q("sx9_pearson", "SELECT cam, count(*) AS n, round(corr(read_conf, close_travel_s), 6) AS r FROM {door} GROUP BY cam HAVING count(*) >= 3")
 q(
     "sx10_auc",
-    """WITH r AS (SELECT door_state = 'open' AS pos, rank() OVER (ORDER BY read_conf) + (count(*) OVER (PARTITION BY read_conf) - 1) / 2.0 AS rk FROM (SELECT door_state, read_conf FROM {door} WHERE door_state IN ('open', 'closed') AND cam = 'ch27'))
-    SELECT count(*) FILTER (WHERE pos) AS positives, count(*) FILTER (WHERE NOT pos) AS negatives, round((sum(CASE WHEN pos THEN DOUBLED(rk) ELSE 0 END) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0) / nullif(count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos), 0), 6) AS auc FROM r""",
+    """WITH c AS (SELECT cam, read_conf AS v, count(*) FILTER (WHERE door_state = 'open') AS p, count(*) FILTER (WHERE door_state = 'closed') AS n FROM {door} WHERE door_state IN ('open', 'closed') GROUP BY 1, 2),
+    w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cam ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+    SELECT cam, sum(p) AS positives, sum(n) AS negatives, round(sum(p * (DOUBLED(below) + n / DOUBLED(2))) / nullif(DOUBLED(sum(p)) * sum(n), 0), 6) AS auc FROM w GROUP BY cam""",
 )
 q(
     "sx12_estimator_scores",

@@ -26,7 +26,8 @@ STREAMS = {
 }
 TABLES = {"customer", "nation", "region", "orders", "lineitem", "part", "supplier", "events", "embeddings"}
 
-#: Spelled differently: LASTNN and FIRSTNN (window, nulls ignored), PCT (linear percentile), MAXBY (the value at the maximum, null or not).
+#: Spelled differently: LASTNN and FIRSTNN (window, nulls ignored), PCT (linear percentile), MAXBY (the value at the maximum, null or not),
+#: BUCKET (floor of a quotient), FLEET (an array of the seven channels).
 SPELLED = {
     "MAXBY": ("max_by({0}, {1})", "arg_max_null({0}, {1})"),
     "LASTNN": ("last_value({0}, true)", "last_value({0} IGNORE NULLS)"),
@@ -34,10 +35,10 @@ SPELLED = {
     "PCT": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "DOUBLED": ("CAST({0} AS DOUBLE)", "CAST({0} AS DOUBLE)"),
     "BUCKET": ("CAST(floor(({0}) / {1}) AS BIGINT)", "CAST(floor(({0}) / {1}) AS BIGINT)"),
+    "FLEET": ("array({0}, {1}, {2}, {3}, {4}, {5}, {6})", "list_value({0}, {1}, {2}, {3}, {4}, {5}, {6})"),
     "SPLITCHARS": ("split({0}, '')", "string_split({0}, '')"),
     "UNNEST": ("explode({0})", "unnest({0})"),
     "MATCHES": ("{0} RLIKE {1}", "regexp_matches({0}, {1})"),
-    "HEXNUM": ("CAST(conv({0}, 16, 10) AS BIGINT)", "CAST('0x' || {0} AS BIGINT)"),
 }
 
 
