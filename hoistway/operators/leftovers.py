@@ -134,3 +134,43 @@ def label_admission(door: DataFrame, max_gap_us: int = 4500 * US, speed: float =
         return pd.DataFrame({"cam": pdf["cam"].iloc[0], "floor": nodes.index, "reads": nodes.to_numpy(), "support": [support[n] for n in nodes.index], "component": [root(n) for n in nodes.index], "admitted": [root(n) == main and nodes[n] >= min_reads for n in nodes.index]})
 
     return counts.unionByName(near).groupBy("cam").applyInPandas(admit, "cam string, floor string, reads long, support long, component string, admitted boolean")
+
+
+def last_descent(values: list[float], near_open: float, close_at: float) -> tuple[int, int] | None:
+    """Positions of the last full descent: a sample at or above near_open, then the first at or below close_at; a later top restarts."""
+    top, found = None, None
+    for i, v in enumerate(values):
+        if v >= near_open:
+            top = i
+        elif v <= close_at and top is not None:
+            top, found = None, (top, i)
+    return found
+
+
+def ramp(times: list[int], values: list[float], sustain: int = 2) -> float | None:
+    """Seconds between the sustained crossings of 90 % and 10 % of the window's own p95..p5 levels; null where either isn't held for ``sustain`` samples."""
+    ordered = sorted(values)
+    if len(ordered) < 4:
+        return None
+    lo, hi = ordered[int(0.05 * (len(ordered) - 1))], ordered[int(0.95 * (len(ordered) - 1))]
+    if hi <= lo:
+        return None
+    share = [(v - lo) / (hi - lo) for v in values]
+    first = lambda start, ok: next((i for i in range(start, len(share) - sustain + 1) if all(ok(s) for s in share[i : i + sustain])), None)
+    begin = first(0, lambda s: s <= 0.9)
+    end = None if begin is None else first(begin, lambda s: s <= 0.1)
+    return None if end is None else (times[end] - times[begin]) / US
+
+
+def descents(samples: DataFrame, near_open: float, close_at: float) -> DataFrame:
+    """window_id, n, descent_s, ramp_s for each window of samples (window_id, ts_us, value); a window is one event, so groups are small."""
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for key, part in pdf.sort_values(["window_id", "ts_us"], kind="stable").groupby("window_id", sort=False):
+            times, values = part["ts_us"].tolist(), part["value"].tolist()
+            found = last_descent(values, near_open, close_at)
+            rows.append((key, len(times), (times[found[1]] - times[found[0]]) / US if found else None, ramp(times, values)))
+        return pd.DataFrame(rows, columns=["window_id", "n", "descent_s", "ramp_s"])
+
+    return samples.withColumn("task", F.pmod(F.xxhash64("window_id"), F.lit(64))).groupBy("task").applyInPandas(measure, "window_id long, n long, descent_s double, ramp_s double")

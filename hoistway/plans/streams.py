@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import adapters as a
-from ..streaming import jobs
+from ..streaming import jobs, machines
 from .sequences import STATE_CYCLES
 
 
@@ -58,3 +58,20 @@ e AS (SELECT cam, rn, ts_us, direction, ts_us AS start_us, 1 AS ep FROM o WHERE
 def sr10_stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = a.transit(_Stream(spark, sf_dir), sf_dir).select("cam", "ts_us", "id", "direction")
     return jobs.run_available(jobs.crossing_episodes(t, 2400 * a.US, 7500 * a.US))
+
+
+@query("sr2_signal_machine")
+def sr2_signal_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Door states from a signal; the events' k stands for the sample, a sample's second for 300."""
+    slow = machines.Signal(open_hold=120 * a.US, closed_hold=96 * a.US, refractory=1800 * a.US, longest_descent=36_000 * a.US)
+    samples = a.door(_Stream(spark, sf_dir), sf_dir).select("cam", "ts_us", F.col("k").cast("double").alias("value"))
+    return jobs.run_available(machines.door_signal(samples, slow))
+
+
+@query("sr4_track_transits")
+def sr4_track_transits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transits of tracks; a user's events stand for a track's samples, seen a millionth as far apart."""
+    k = F.col("k")
+    events = a._events(_Stream(spark, sf_dir), sf_dir)
+    frames = events.select("cam", F.col("user_id").alias("track_id"), F.floor(F.col("ts_us") / 10_000).alias("ts_us"), F.when(k < 40, "outside").when(k >= 60, "inside").alias("zone"), (k / 100.0).alias("y"))
+    return jobs.run_available(machines.track_transits(frames))
