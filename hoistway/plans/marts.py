@@ -12,7 +12,7 @@ q(
     """SELECT o.o_orderkey AS id, c.c_nationkey AS source_id, o.o_totalprice AS close_travel_s,
       coalesce(o.o_totalprice > 0 AND (o.o_orderpriority IS NULL OR o.o_orderpriority = '1-URGENT'), false) AS clean,
       CASE WHEN c.c_acctbal > 0 THEN round(c.c_acctbal, 2) END AS dwell_s
-    FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey % 4 >= 0""",
+    FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey""",
 )
 q("sc7_confident_reads", "SELECT id, cam, door_version, ts_us, floor FROM {door} WHERE floor IS NOT NULL AND coalesce(reason, '') IN ('', 'ok', 'single_panel')")
 q("sc8_channel_dimension", "SELECT 'ch' || CAST(channel AS STRING) AS cam, nullif(label, '') AS label, is_lift = 1 AS is_lift FROM {channels}")
