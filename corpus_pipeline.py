@@ -18,8 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of this table, scores below 0.5."""
-    sample = labelled.training_sample(docs, table(spark, sf_dir, "labels"), "toxic")
-    model = toxicity.train(sample["text"].tolist(), sample["y"].tolist())
+    model = labelled.fitted(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.train)
     return toxicity.keep_below(docs, model, 0.5).select(*COLUMNS)
 
 

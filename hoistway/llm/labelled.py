@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +19,31 @@ def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5) == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> pd.DataFrame:
-    """text, y of at most ``rows`` labelled documents, chosen by a hash of the id and never from the held-out fold.
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """text, y of at most ``rows`` labelled documents, in one partition, chosen by a hash of the id and never from the held-out fold.
 
     Only ids and labels of the sample are broadcast (``rows`` of them at most); texts are read by a scan without a shuffle.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    out = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).toPandas()
-    return out[["text", "y"]]
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "y")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> pd.DataFrame:
+    """The same on the driver."""
+    return sample_rows(docs, labels, label, rows).toPandas()
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[list[str], list[int]], dict], rows: int = TRAIN_ROWS) -> dict:
+    """The model that ``train`` makes of the sample. It runs in one task, which a lost executor repeats; the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            y += b.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y))], pa.binary())], names=["model"])
+
+    made = sample_rows(docs, labels, label, rows).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(made[0][0])) if made else train([], [])

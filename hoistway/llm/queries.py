@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_automaton, decontaminate, html_extract, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
 from .common import table
-from .labelled import training_sample
+from .labelled import fitted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,16 +66,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents")
-    sample = training_sample(docs, table(spark, sf_dir, "labels"), "toxic")
-    return toxicity.scores(docs, toxicity.train(sample["text"].tolist(), sample["y"].tolist()))
+    return toxicity.scores(docs, fitted(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.train))
 
 
 @query
 def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents")
-    sample = training_sample(docs, table(spark, sf_dir, "labels"), "quality")
-    return quality_fm.scores(docs, quality_fm.train(sample["text"].tolist(), sample["y"].tolist()))
+    return quality_fm.scores(docs, fitted(docs, table(spark, sf_dir, "labels"), "quality", quality_fm.train))
 
 
 @query
