@@ -1,10 +1,12 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page's containers (article, main, section, div, td, body) are scored by how much of the page's good text (outside menus, headers, footers,
-   sidebars, notices, adverts, forms, comments, scripts and styles; links count against) they hold. A page votes for the deepest container
-   that holds most of it, by its generalised path: tags and classes from the body down, digits removed.
+   sidebars, notices, adverts, forms, comments, scripts and styles; links count against) they hold. A page's own container is the outermost article or
+   main that holds COVERAGE of it, or else the deepest container that holds all of it, so that nothing inside is lost. A page votes for
+   its own container by its generalised path: tags and classes from the body down, digits removed.
 2. Spark sums the votes for each host and path; the path with most wins the host.
-3. Every page is extracted again by its host's path. Pages on which the path holds little of what their own best container holds use their own.
+3. Every page is extracted again by its host's path. A page whose own container is an article or main uses that whole; so does a page on which the
+   path holds less than AGREES of what its own container holds, where blocks that stand REPEATS times or more on the page don't count.
 
 Winners are one row a host. They are broadcast up to a checked number of hosts; beyond it, pages and winners meet in a join on host and a
 salt, so that no host's pages go to one task.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +29,14 @@ from .common import map_columns, stored
 
 #: Most hosts whose winning paths are broadcast; a path has at most PATH_CHARS characters.
 BROADCAST_HOSTS, PATH_CHARS = 20_000, 300
-#: Share of the good text that the voted container must hold, and the least share of the own container's text for the host's path to count.
-COVERAGE, AGREES = 0.7, 0.1
+#: Share of the good text that an article must hold to be the page's own container, the least share of the own container's text for the host's path to
+#: count, and how often a block stands on a page at least to be no part of that share.
+COVERAGE, AGREES, REPEATS = 0.7, 0.7, 3
 #: Elements by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "math", "object", "audio", "video", "canvas", "dialog", "menu", "head"}
+WHOLE = {"article", "main"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
 BLOCKS = CONTAINERS | LEFT_OUT | set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr th caption figure figcaption hr address details summary fieldset html center hgroup search".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -54,6 +59,7 @@ class Page:
     def __init__(self, source: str) -> None:
         self.paths: list[str] = ["body"]
         self.parents: list[int] = [-1]
+        self.tags: list[str] = ["body"]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._stack: list[tuple[str, bool, int]] = [("body", False, 0)]  # tag, left out, container
         self._buffer: list[str] = []
@@ -131,6 +137,7 @@ class Page:
             label = ".".join([tag, *names])
             self.paths.append(f"{self.paths[container]}/{label}"[-PATH_CHARS:])
             self.parents.append(container)
+            self.tags.append(tag)
             container = len(self.paths) - 1
         if tag not in VOID:
             self._stack.append((tag, out, container))
@@ -164,24 +171,33 @@ class Page:
                 elif tag in ("td", "th"):
                     self._text(" ")
 
-    def weights(self) -> list[int]:
-        """Good characters in each container's subtree; links count against."""
+    def weights(self, but: set[str] | frozenset = frozenset()) -> list[int]:
+        """Good characters in each container's subtree, without the blocks in but; links count against."""
         own = [0] * len(self.paths)
         for c, text, links in self.blocks:
-            own[c] += max(0, len(text) - 2 * links)
+            if text not in but:
+                own[c] += max(0, len(text) - 2 * links)
         for c in range(len(own) - 1, 0, -1):
             own[self.parents[c]] += own[c]
         return own
 
     def best(self, weights: list[int]) -> int:
-        """The deepest container that holds COVERAGE of the good text."""
-        at = 0
+        """The page's own container: the outermost article or main with COVERAGE of the good text, or else the deepest container with all of it."""
         if not weights[0]:
             return 0
+        at, shared = 0, 0
         for c in range(1, len(weights)):  # parents come before children
             if weights[c] >= COVERAGE * weights[0] and self.parents[c] == at:
+                if self.tags[c] in WHOLE:
+                    return c
                 at = c
-        return at
+                shared = c if weights[c] == weights[0] and self.parents[c] == shared else shared
+        return shared
+
+    def unrepeated(self) -> list[int]:
+        """weights() without the blocks that stand REPEATS times or more on the page."""
+        counts = Counter(text for _, text, _ in self.blocks)
+        return self.weights({text for text, n in counts.items() if n >= REPEATS})
 
     def text(self, roots: set[int]) -> str:
         inside = []
@@ -203,8 +219,9 @@ def extract(source: str, path: str | None) -> str:
     page = Page(source)
     weights = page.weights()
     best = page.best(weights)
-    roots = {c for c, p in enumerate(page.paths) if p == path} if path else set()
-    if sum(weights[c] for c in roots if page.parents[c] not in roots) < AGREES * weights[best] or not roots:
+    roots = {c for c, p in enumerate(page.paths) if p == path} if path and page.tags[best] not in WHOLE else set()
+    counted = page.unrepeated() if roots else weights
+    if sum(counted[c] for c in roots if page.parents[c] not in roots) < AGREES * counted[best] or not roots:
         roots = {best}
     return page.text(roots)
 

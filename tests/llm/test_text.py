@@ -28,6 +28,28 @@ def test_hosts_agree_on_a_path(spark):
         html_extract.BROADCAST_HOSTS = many
 
 
+def test_articles_stay_whole():
+    line = "<p>a line of the story that goes on and on</p>"
+    article = f"<article><h1>Title</h1><p>lead</p><div class=body>{line * 8}</div><section><p>rest of it</p></section></article>"
+    for page in (f"<body>{article}</body>", f"<body><div class=wrap>{article}</div><div><p>beside</p></div></body>", f"<body>{article.replace('article', 'main')}</body>"):
+        for path in (None, html_extract.vote(page)[0], "body/article/div.body", "body/main/div.body"):
+            got = html_extract.extract(page, path).split("\n")
+            assert got[:2] == ["Title", "lead"] and got[-1] == "rest of it" and len(got) == 11
+    table = f"<body><div><p>before</p><table><tr><td>small<td>{line * 8}</table><p>after</p></div></body>"
+    assert html_extract.extract(table, html_extract.vote(table)[0]).split("\n")[::9] == ["before", "a line of the story that goes on and on"]
+    assert html_extract.extract(table, None).endswith("after")
+
+
+def test_two_templates_on_a_host(spark):
+    story = "".join(f"<p>word number {i} of the story goes on and on</p>" for i in range(8))
+    first = f"<body><div class=main>{story}</div></body>"
+    second = f"<body><div class=main><p>{'teaser ' * 12}</p></div><div class=story>{story}</div></body>"
+    parts = f"<body><div class=main><p>{'teaser ' * 12}</p></div><div class=one>{story}</div><div class=two>{story.replace('word', 'part')}</div></body>"
+    rows = [(i, f"https://h.example/{i}", first) for i in range(5)] + [(10, "https://h.example/a", second), (11, "https://h.example/b", parts)]
+    got = {r.page_id: r.text.count("goes on") for r in html_extract.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: 8, 1: 8, 2: 8, 3: 8, 4: 8, 10: 8, 11: 16}
+
+
 def test_revisits(spark):
     rows = [
         (1, "response", "http://www.a.com/x/", 10, {"ETag": '"1"', "Content-Type": "t", "Date": "d1"}),
