@@ -11,6 +11,9 @@
 Winners are one row a host. They are broadcast up to a checked number of hosts; beyond it, pages and winners meet in a join on host and a
 salt, so that no host's pages go to one task.
 
+A menu, header, sidebar or the like is told by its tag, role, or the first or last word of a class or id (has-sidebar and the like are flags). What encloses
+the page's largest article or main, or on a page without one more than half of its text, is never left out, unless it is hidden.
+
 Defined results: null and empty html give the empty text; a null url has no host, such pages use their own container; broken markup is read as browsers
 do as far as blocks go (open elements end where an outer one ends; what is cut off within a tag is dropped). White space in a block becomes one space,
 blocks are joined by one newline, empty blocks are dropped. Repeated rows give repeated results.
@@ -49,10 +52,27 @@ LEFT_OUT_WORDS = set(
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-SPLIT_WORDS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: A class with one of these words says something of what it is on, not what it is: has-sidebar, no-comments, with-ads.
+FLAG_WORDS = set("has have no not non with without is show hide enable enabled disable disabled".split())
+#: Elements that are left out whatever stands in them; the other ones of LEFT_OUT stay where they enclose the page's article or most of its text.
+ALWAYS_OUT = {"button", "select", "svg", "math", "object", "audio", "video", "canvas"}
+SPLIT_WORDS = re.compile(r"[^a-z0-9]+")
 DIGITS = re.compile(r"\d+")
 
 
+#: The region of what never counts.
+GONE = -1
+
+
+def named_out(attributes: dict[str, str]) -> bool:
+    """Whether a class or id names what is left out: its first or last word does, and none of its words makes it a flag."""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w for w in SPLIT_WORDS.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        if words and (words[0] in LEFT_OUT_WORDS or words[-1] in LEFT_OUT_WORDS and not FLAG_WORDS.intersection(words)):
+            return True
+    return False
+
+
 class Page:
     """Blocks of good text with the container each stands in, and the containers with their paths."""
 
@@ -61,29 +81,33 @@ class Page:
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["body"]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
-        self._stack: list[tuple[str, bool, int]] = [("body", False, 0)]  # tag, left out, container
+        self._outer: list[int] = [-1]  # regions: what may be left out, each with the one around it; 0 is the page
+        self._found: list[tuple[int, int, str, int]] = []  # region, container, text, characters in links
+        self._regions: list[int] = [0]  # of each container
+        self._stack: list[tuple[str, int, int]] = [("body", 0, 0)]  # tag, region or GONE, container
         self._buffer: list[str] = []
         self._links = 0
-        self._at = (False, 0)
+        self._at = (0, 0)
         self._read(source)
         self._flush()
+        kept = self._kept()
+        self.blocks = [(c, text, links) for r, c, text, links in self._found if kept[r]]
 
     def _flush(self) -> None:
         if self._buffer:
             text = " ".join(html.unescape("".join(self._buffer)).split())
-            out, container = self._at
-            if text and not out:
-                self.blocks.append((container, text, self._links))
+            if text:
+                self._found.append((*self._at, text, self._links))
             self._buffer, self._links = [], 0
 
     def _text(self, text: str) -> None:
         if text:
-            tag, out, container = self._stack[-1]
-            if out:
-                if not self._at[0]:
-                    self._flush()
+            tag, region, container = self._stack[-1]
+            if region != self._at[0]:
+                self._flush()
+            self._at = (region, container)
+            if region == GONE:
                 return
-            self._at = (out, container)
             self._buffer.append(text)
             if any(t == "a" for t, *_ in self._stack):
                 self._links += len(text)
@@ -122,25 +146,26 @@ class Page:
                         break
         if tag == "body" or tag == "html":
             return
-        _, out, container = self._stack[-1]
+        _, region, container = self._stack[-1]
         label = tag
         found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-        if tag in LEFT_OUT:
-            out = True
-        elif found and not out:
-            words = {w for v in (found.get("class", ""), found.get("id", "")) for w in SPLIT_WORDS.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())}
-            out = bool(tag not in ("article", "main") and words & LEFT_OUT_WORDS) or found.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         if tag in HEADINGS and self._stack[-1][0] == "header" and any(t == "article" for t, *_ in self._stack):
-            out = False  # an article's own heading stands in its header
-        if tag in CONTAINERS and not out:
+            region = self._stack[-2][1]  # an article's own heading stands in its header
+        if tag in ALWAYS_OUT or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+            region = GONE
+        elif region != GONE and (tag in LEFT_OUT or found and (tag not in WHOLE and named_out(found) or found.get("role", "").lower() in LEFT_OUT_ROLES)):
+            self._outer.append(region)
+            region = len(self._outer) - 1
+        if tag in CONTAINERS and region != GONE:
             names = sorted(w for w in DIGITS.sub("", found.get("class", "")).lower().split() if w)
             label = ".".join([tag, *names])
             self.paths.append(f"{self.paths[container]}/{label}"[-PATH_CHARS:])
             self.parents.append(container)
             self.tags.append(tag)
+            self._regions.append(region)
             container = len(self.paths) - 1
         if tag not in VOID:
-            self._stack.append((tag, out, container))
+            self._stack.append((tag, region, container))
 
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
@@ -171,6 +196,33 @@ class Page:
                 elif tag in ("td", "th"):
                     self._text(" ")
 
+    def _kept(self) -> list[bool]:
+        """For each region whether it counts. Regions around the article or main that holds the most text do; on a page without such text,
+        regions do that hold more than half of all text."""
+        kept = [True] + [False] * (len(self._outer) - 1)
+        if len(kept) == 1:
+            return kept
+        articles: list[int] = []  # of each container the innermost article or main
+        for c, tag in enumerate(self.tags):
+            articles.append(c if tag in WHOLE else articles[self.parents[c]] if c else -1)
+        held, inside = Counter(), [0] * len(kept)
+        for r, c, text, links in self._found:
+            n = max(0, len(text) - 2 * links)
+            inside[r] += n
+            if articles[c] >= 0 and self._regions[articles[c]] == r:
+                held[articles[c]] += n
+        for r in range(len(kept) - 1, 0, -1):
+            inside[self._outer[r]] += inside[r]
+        most = max(held, key=lambda c: (held[c], -c), default=-1)
+        if most >= 0 and held[most]:
+            at = self._regions[most]
+            while at > 0:
+                kept[at], at = True, self._outer[at]
+        else:
+            for r in range(1, len(kept)):
+                kept[r] = kept[self._outer[r]] and 2 * inside[r] > inside[0]
+        return kept
+
     def weights(self, but: set[str] | frozenset = frozenset()) -> list[int]:
         """Good characters in each container's subtree, without the blocks in but; links count against."""
         own = [0] * len(self.paths)

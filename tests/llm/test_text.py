@@ -40,6 +40,19 @@ def test_articles_stay_whole():
     assert html_extract.extract(table, None).endswith("after")
 
 
+def test_wrappers_named_after_what_is_left_out():
+    story = "".join(f"<p>word number {i} of the story goes on and on</p>" for i in range(8))
+    rest = "<div class=left-sidebar><p>aside text</p></div><div class='site-footer'><p>foot</p></div><aside><article>a card</article></aside>"
+    for wrapper in ("div class='content has-sidebar'", "div id='page' class='no-comments'", "div class='with-ads'", "div class='sidebar-layout'", "form id=aspnetForm", "div class=search role=search", "section class='header'", "div class='hasSidebar'"):
+        tag = wrapper.split()[0]
+        for inner in (f"<article>{story}</article>", f"<div class=body>{story}</div>"):
+            got = html_extract.extract(f"<body><{wrapper}>{inner}{rest if 'article' in inner else rest.replace('article', 'p')}</{tag}></body>", None).split("\n")
+            assert len(got) == 8 and got[0].startswith("word number 0") and got[-1].startswith("word number 7"), wrapper
+    assert html_extract.extract(f"<head><body><article>{story}</article>", None).count("goes on") == 8
+    assert html_extract.extract(f"<body><article><p>short</p></article><div class=comments>{story}</div><div class='post-comments'>{story}</div><div hidden>{story}</div></body>", None) == "short"
+    assert html_extract.vote(f"<body><div class='with-ads'>{story}</div></body>") == ("body/div.with-ads", 1.0)
+
+
 def test_two_templates_on_a_host(spark):
     story = "".join(f"<p>word number {i} of the story goes on and on</p>" for i in range(8))
     first = f"<body><div class=main>{story}</div></body>"
