@@ -8,12 +8,14 @@ come from.
 At scoring, softmax weights times table are one number for each bucket, as everything up to the softmax is linear; a word's number
 is kept by each Python worker. Only the model (one float for each bucket) is broadcast.
 
-Defined results: null, empty and wordless texts get the score of the bias alone. Any length of text is scored whole. Rows that
+Defined results: null, empty and wordless texts get the score of the bias alone. Any length of text is scored whole: a word of more than LONG characters
+(a text without spaces, words joined by signs) becomes pieces that hold all its n-grams, and what stands between its signs, each as a word. Rows that
 repeat give repeated scores. Without any labelled rows the score is 0.5's bias, that is 0.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
@@ -33,13 +35,33 @@ KEPT_WORDS = 400_000
 EDGES = ".,;:!?\"'()[]{}|%&$#*-_"
 
 
+#: Longest word that is handled as one, and the signs that join words (not those that stand for letters, as in sh*t).
+LONG, JOINTS = 64, re.compile(r"[_.,;:/\\|<>=\"'()\[\]{}&?#+~^`\u2010-\u2027\u3001\u3002\u3008-\u3011\uff01\uff0c\uff0e\uff1a\uff1b\uff1f-]+")
+
+
+def pieces(word: str) -> list[str]:
+    """A long word in consecutive pieces that overlap by one character less than the longest n-gram, and its parts between signs."""
+    over = max(LENGTHS) - 1
+    cut = lambda x: [x[i : i + LONG] for i in range(0, max(1, len(x) - over), LONG - over)]
+    parts = [x for x in JOINTS.split(word) if x]
+    return cut(word) + ([p for x in parts for p in cut(x)] if len(parts) > 1 else [])
+
+
+def split_words(text: str) -> list[str]:
+    """The words between white space in lower case; long ones as their pieces."""
+    words = text.lower().split()
+    if len(text) <= LONG or max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONG or len(w.strip(EDGES)) <= LONG else pieces(w.strip(EDGES)))]
+
+
 def words_of(text: str) -> list[str]:
-    return [x.strip(EDGES) for x in text.lower().split()]
+    return [x.strip(EDGES) for x in split_words(text)]
 
 
 def grams_of(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word itself; the first 64 characters carry n-grams, a longer word is itself too."""
-    marked = f"<{word[:64]}>"
+    """Buckets of a word's n-grams and of the word itself."""
+    marked = f"<{word}>"
     out = {marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1)}
     out.add("\0" + word)
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(out)]
@@ -159,12 +181,12 @@ class Scorer(dict):
         out = sum([weights[g] for g in grams]) / len(grams)
         if len(self) >= KEPT_WORDS:
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= LONG:
             self[word] = out
         return out
 
     def score(self, text: str) -> float:
-        words = text.lower().split()
+        words = split_words(text)
         logit = self.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0)
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 

@@ -107,6 +107,26 @@ def test_misspellings_share_vectors(spark):
     assert scorer["stupidd"] > 20 + scorer["the"] and scorer["clownn"] > 20 + scorer["of"]
 
 
+def test_long_words_are_read_to_their_end():
+    import random
+
+    rng = random.Random(1)
+    run = lambda n, letters="qwertzuiopasdfghjklyxcvbnm": "".join(rng.choice(letters) for _ in range(n))
+    for word in (run(65), run(128), run(5_000), "".join(chr(0x4E00 + rng.randrange(5_000)) for _ in range(500)), "=" * 100):
+        assert {word[i : i + n] for n in toxicity.LENGTHS for i in range(len(word) - n + 1)} <= {p[i : i + n] for p in toxicity.words_of(word) for n in toxicity.LENGTHS for i in range(len(p) - n + 1)}
+        assert max(map(len, toxicity.words_of(word))) <= toxicity.LONG
+    assert {"idiot", "sh*t"} <= set(toxicity.words_of(run(100) + "_idiot." + run(70) + "/sh*t"))
+    weights = [0.0] * toxicity.BUCKETS
+    for g in toxicity.grams_of("idiot"):
+        weights[g] = 50.0
+    scorer = toxicity.Scorer({"weights": toxicity.np.array(weights), "bias": -1.0})
+    clean, toxic = run(100, "xyz"), run(100, "xyz") + "idiot" + run(300, "xyz")
+    assert scorer.score(toxic) > scorer.score(clean) + 0.05 and scorer.score(clean + "_idiot") > 0.9
+    texts = [run(100) + ("_idiot" if i % 2 else "_table") for i in range(80)]
+    scorer = toxicity.Scorer(toxicity.train(texts, [i % 2 for i in range(80)]))
+    assert scorer.score(run(100) + "_idiot") > 0.5 > scorer.score(run(100) + "_table")
+
+
 @pytest.mark.parametrize("operator", [toxicity, quality_fm])
 def test_scores_of_odd_rows(spark, operator):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (None, "x y", "a"), (3, "z " * 50_000, "a"), (3, "z " * 50_000, "a")], "doc_id long, text string, score string")
