@@ -62,6 +62,14 @@ def sr10_stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sr2_signal_machine")
 def sr2_signal_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Door cycles from an edge signal; the events' k stands for the sample, a sample's second for 3,600."""
+    slow = machines.Edge(debounce=1440 * a.US, longest_gap=54_000 * a.US, shortest_close=1080 * a.US, longest_close=108_000 * a.US)
+    samples = a.door(_Stream(spark, sf_dir), sf_dir).select("cam", "ts_us", F.col("k").cast("double").alias("value"))
+    return jobs.run_available(machines.edge_cycles(samples, slow))
+
+
+@query("sr3_signal_states")
+def sr3_signal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Door states from a signal; the events' k stands for the sample, a sample's second for 300."""
     slow = machines.Signal(open_hold=120 * a.US, closed_hold=96 * a.US, refractory=1800 * a.US, longest_descent=36_000 * a.US)
     samples = a.door(_Stream(spark, sf_dir), sf_dir).select("cam", "ts_us", F.col("k").cast("double").alias("value"))

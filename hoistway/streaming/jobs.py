@@ -69,6 +69,63 @@ def crossing_episodes(transits: DataFrame, gap_us: int, longest_us: int) -> Data
     return transits.groupBy("cam").applyInPandasWithState(step, "cam string, start_us long, end_us long, boarded long, alighted long", "start long, last long, boarded long, alighted long", "append", GroupStateTimeout.NoTimeout)
 
 
+EPISODE = "start_us long, end_us long, boarded long, alighted long, frames long, audited long, det_max long, det_sum long, occupancy_max long, segments long, dropped long, track_ids array<long>"
+DEGRADED = 0.2
+
+
+def refused(transits: int, frames: int, audited: int, tracks: int) -> str | None:
+    """Why an episode has no evidence behind it; None if it has."""
+    return "no_transits" if not transits else "no_frames" if not frames else "no_tracks" if audited and not tracks else None
+
+
+def audited_episodes(records: DataFrame, gap_us: int, longest_us: int) -> DataFrame:
+    """Episodes with their evidence from a stream with a watermark on at: crossings (direction in or out) and analysed frames (direction null) of cam, ts_us, id, at, direction, track_ids,
+    detections (null where a frame is not audited), occupancy, segments and dropped (since the record before). Crossings make an episode as in crossing_episodes(); frames
+    within gap_us of its last crossing are its own. A later record ends it, or the watermark once it is gap_us behind the last crossing, so the last one of a camera is emitted too.
+    Refused episodes stay, with the reason."""
+    names = ["cam", "start_us", "end_us", "boarded", "alighted", "frames", "distinct_tracks", "det_max", "det_mean", "occupancy_max", "degraded", "refused"]
+
+    def row(cam: str, e: list) -> tuple:
+        start, end, boarded, alighted, frames, audited, most, total, peak, segments, dropped, tracks = e
+        seen = segments + dropped
+        return (cam, start, end, boarded, alighted, frames, len(tracks), most, total / audited if audited else 0.0, peak, bool(seen and dropped / seen > DEGRADED), refused(boarded + alighted, frames, audited, len(tracks)))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, rows = list(state.get) if state.exists else None, []
+        if state.hasTimedOut:
+            rows, now = [row(key[0], now)], None
+        else:
+            for r in pd.concat(list(batches)).sort_values(["ts_us", "id"], kind="stable").itertuples():
+                crossing = isinstance(r.direction, str)
+                if now is not None and (r.ts_us - now[1] > gap_us or crossing and r.ts_us - now[0] > longest_us):
+                    rows.append(row(key[0], now))
+                    now = None
+                if now is None and not crossing:
+                    continue
+                now = now or [r.ts_us, r.ts_us, *[0] * 9, []]
+                if crossing:
+                    now[1] = r.ts_us
+                    now[2 if r.direction == "in" else 3] += 1
+                else:
+                    now[4] += 1
+                    if not pd.isna(r.detections):
+                        now[5:8] = [now[5] + 1, max(now[6], int(r.detections)), now[7] + int(r.detections)]
+                    now[8] = now[8] if pd.isna(r.occupancy) else max(now[8], int(r.occupancy))
+                if r.track_ids is not None:
+                    now[11] = sorted({*now[11], *map(int, r.track_ids)})
+                now[9:11] = [n if pd.isna(x) else n + int(x) for n, x in zip(now[9:11], (r.segments, r.dropped))]
+        if now is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(now))
+            state.setTimeoutTimestamp(max((now[1] + gap_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=names)
+
+    out = "cam string, start_us long, end_us long, boarded long, alighted long, frames long, distinct_tracks long, det_max long, det_mean double, occupancy_max long, degraded boolean, refused string"
+    return records.groupBy("cam").applyInPandasWithState(step, out, EPISODE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
     import tempfile

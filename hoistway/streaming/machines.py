@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -81,6 +82,98 @@ def door_signal(samples: DataFrame, p: Signal | None = None) -> DataFrame:
     return samples.groupBy("cam").applyInPandasWithState(run, "cam string, ts_us long, door_state string", "values array<double>, state string, level string, since long, left long, closed long", "append", GroupStateTimeout.NoTimeout)
 
 
+@dataclass(frozen=True)
+class Edge:
+    """Production values of the edge machine; times in microseconds. Openness is the signal within the p10..p90 band of its last samples."""
+
+    window: int = 600
+    least: int = 20
+    least_span: float = 6.0
+    opening_at: float = 0.5
+    open_at: float = 0.9
+    closing_at: float = 0.75
+    closed_at: float = 0.1
+    debounce: int = 400_000
+    longest_gap: int = 15 * US
+    shortest_close: int = 300_000
+    longest_close: int = 30 * US
+
+
+class EdgeMachine:
+    """Cycles from one camera's edge samples: opening from 0.5, open from 0.9, closing once a descent has reached 0.75 and lasted the debounce (it counts from where
+    it left 0.9), closed below 0.1. A gap within a cycle abandons it, and the state is read anew from the sample behind the gap."""
+
+    def __init__(self, p: Edge, saved: tuple | None = None) -> None:
+        self.p = p
+        self.values, self.state, self.start, self.full, self.close, self.below, self.last, self.abandoned = (list(saved[0]), *saved[1:]) if saved else ([], "closed", None, None, None, None, None, 0)
+
+    def saved(self) -> tuple:
+        return (self.values, self.state, self.start, self.full, self.close, self.below, self.last, self.abandoned)
+
+    def _end(self, t: int) -> tuple | None:
+        """open start, open full, close start, close full, close travel (None if withheld), quality; None if the cycle's start was not seen."""
+        start, full, close, self.state = self.start, self.full, self.close, "closed"
+        self.start = self.full = self.close = self.below = None
+        if start is None or full is None or close is None:
+            return None
+        plausible = self.p.shortest_close <= t - close <= self.p.longest_close
+        return (start, full, close, t, t - close if plausible else None, "ok" if plausible else "withheld")
+
+    def step(self, t: int, value: float) -> tuple | None:
+        """The cycle that ends with this sample, if one does."""
+        p = self.p
+        self.values = (self.values + [value])[-p.window :]
+        if len(self.values) < p.least:
+            return None
+        lo, hi = np.percentile(self.values, (10, 90))
+        if hi - lo < p.least_span:
+            return None
+        x = min(1.0, max(0.0, (value - lo) / (hi - lo)))
+        gap, self.last = self.last is not None and t - self.last > p.longest_gap, t
+        if gap and self.state != "closed":
+            self.start = self.full = self.close = self.below = None
+            self.state = "open" if x >= p.open_at else "closed" if x < p.closed_at else "opening"
+            self.abandoned += 1
+            return None
+        if self.state == "closed":
+            if x >= p.opening_at:
+                self.state, self.start = "opening", t
+        elif self.state == "opening":
+            if x >= p.open_at:
+                self.state, self.full = "open", t
+            elif x < p.closed_at:
+                self.state, self.start = "closed", None
+        elif x >= p.open_at:  # open, or open again while closing
+            self.state, self.close, self.below = "open", None, None
+        elif self.state == "closing":
+            if x < p.closed_at:
+                return self._end(t)
+        else:
+            self.below = t if self.below is None else self.below
+            if x < p.closed_at:
+                self.close = self.below
+                return self._end(t)
+            if x < p.closing_at and t - self.below >= p.debounce:
+                self.state, self.close, self.below = "closing", self.below, None
+        return None
+
+
+def edge_cycles(samples: DataFrame, p: Edge | None = None) -> DataFrame:
+    """cam, the four times, close_travel_us and quality of each cycle from a stream of samples (cam, ts_us, value); null and NaN values are no samples."""
+    p = p or Edge()
+    columns = ["cam", "open_start_us", "open_full_us", "close_start_us", "close_full_us", "close_travel_us", "quality"]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machine = EdgeMachine(p, state.get if state.exists else None)
+        found = (machine.step(int(r.ts_us), float(r.value)) for r in pd.concat(list(batches)).dropna(subset=["value"]).sort_values(["ts_us", "value"], kind="stable").itertuples())
+        rows = [(key[0], *c) for c in found if c]
+        state.update(machine.saved())
+        yield pd.DataFrame(rows, columns=columns).astype({"close_travel_us": "Int64"})
+
+    return samples.groupBy("cam").applyInPandasWithState(run, "cam string, open_start_us long, open_full_us long, close_start_us long, close_full_us long, close_travel_us long, quality string",
+        "values array<double>, state string, start long, full long, close long, below long, last long, abandoned long", "append", GroupStateTimeout.NoTimeout)
+
+
 class TrackCounter:
     """One track: armed after two samples in a zone, counted after two in the other one at least 0.35 away; a track unseen for six seconds starts anew."""
 

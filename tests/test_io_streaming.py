@@ -1,6 +1,7 @@
 """Readers, sinks and streams."""
 
 import json
+import os
 
 import pytest
 
@@ -72,3 +73,23 @@ def test_stream_cycles_carry_state_between_batches(spark, tmp_path, files):
     stream = spark.readStream.schema("cam string, door_version string, ts_us long, id long, door_state string").option("maxFilesPerTrigger", 1).json(str(src))
     got = sorted(r.id for r in jobs.run_available(jobs.door_cycles(stream)).collect())
     assert got == [3, 7]
+
+
+def test_audited_episodes_have_their_evidence_and_time_out(spark, tmp_path):
+    s = 1_000_000
+    rec = lambda cam, t, direction=None, tracks=None, det=None, occ=None, seg=1, drop=0: {"cam": cam, "ts_us": int(t * s), "direction": direction, "track_ids": tracks, "detections": det, "occupancy": occ, "segments": seg, "dropped": drop}
+    rows = [rec("a", 0.5, det=9), rec("a", 1, "in", [1]), rec("a", 2, None, [1, 2], 3, 2), rec("a", 3, "out", [2]), rec("a", 4, None, [2], 1, 5, drop=3), rec("b", 4, "in"), rec("b", 5, None, [], 2), rec("c", 5, "out", [7])]
+    rows += [rec("d", t, "in", [1]) for t in (1, 8, 15, 22, 29)] + [rec("e", 60, "in", [1])]
+    src = tmp_path / "in"
+    src.mkdir()
+    for f, part in enumerate((rows[:3], rows[3:8], rows[8:13], rows[13:])):
+        (src / f"{f}.json").write_text("\n".join(json.dumps(r | {"id": i}) for i, r in enumerate(part)))
+        os.utime(src / f"{f}.json", (1_700_000_000 + f, 1_700_000_000 + f))  # files are read in the order of their times
+    schema = "cam string, ts_us long, id long, direction string, track_ids array<long>, detections long, occupancy long, segments long, dropped long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)).selectExpr("*", "timestamp_micros(ts_us) AS at").withWatermark("at", "30 seconds")
+    got = {(r.cam, r.start_us // s): r for r in jobs.run_available(jobs.audited_episodes(stream, 8 * s, 25 * s)).collect()}
+    a = got["a", 1]
+    assert (a.end_us, a.boarded, a.alighted, a.frames, a.distinct_tracks, a.det_max, a.det_mean, a.occupancy_max, a.degraded, a.refused) == (3 * s, 1, 1, 2, 2, 3, 2.0, 5, True, None)
+    assert got["b", 4].refused == "no_tracks" and got["c", 5].refused == "no_frames" and not got["b", 4].degraded
+    assert got["d", 1].end_us == 22 * s and set(got) == {("a", 1), ("b", 4), ("c", 5), ("d", 1)}
+    assert jobs.refused(0, 5, 0, 0) == "no_transits"

@@ -41,3 +41,29 @@ def test_last_descent_restarts_at_a_later_top():
     assert leftovers.last_descent([90, 50, 30], 80, 20) is None and leftovers.last_descent([], 80, 20) is None
     assert leftovers.ramp([i * US for i in range(10)], [100, 100, 80, 60, 40, 20, 0, 0, 0, 0]) == 4.0
     assert leftovers.ramp([0], [1.0]) is None
+
+
+def cycles(signal, step=100_000, saved=False):
+    m, out = machines.EdgeMachine(machines.Edge()), []
+    for i, v in enumerate(signal):
+        t, x = v if isinstance(v, tuple) else (i * step, v)
+        out.append(m.step(t, x))
+        m = machines.EdgeMachine(machines.Edge(), m.saved()) if saved else m
+    return [c for c in out if c], m
+
+
+def test_edge_machine_hysteresis_debounce_gap_and_withheld_travel():
+    ramp = lambda a, b, n: [a + (b - a) * i / n for i in range(n)]
+    base = [0.0] * 30 + [100.0] * 30 + [0.0] * 5
+    cycle = ramp(0, 100, 20) + [100.0] * 20 + ramp(100, 0, 20) + [0.0] * 20
+    got, _ = cycles(base + cycle)
+    start, full, close, end, travel, quality = got[-1]
+    assert quality == "ok" and travel == end - close == 1_600_000 and full - start == 800_000
+    assert cycles(base + cycle, saved=True)[0] == got
+    flaps = ramp(0, 100, 20) + [100.0] * 10 + [80.0, 100.0] * 10 + [60.0, 100.0] * 5 + ramp(100, 0, 20) + [0.0] * 10
+    assert len(cycles(base + flaps)[0]) == len(got)
+    sudden, _ = cycles(base + ramp(0, 100, 20) + [100.0] * 20 + [0.0] * 20)
+    assert sudden[-1][4:] == (None, "withheld")
+    times = [(i * 100_000 + (20 * US if i >= len(base) + 48 else 0), v) for i, v in enumerate(base + cycle)]
+    cut, m = cycles(times)
+    assert len(cut) == len(got) - 1 and m.abandoned == 1 and m.state == "closed"
