@@ -8,7 +8,8 @@ to the band's diagonals, which gives the distance and the place.
 The benchmark is read in blocks of bounded size; each block's q-gram table is broadcast and documents are scanned in batches, so nothing shuffles.
 
 Defined results: null and empty texts match nothing; items that are null, empty or shorter than q characters are matched without edits, as plain
-substrings, if they have any character. Repeated rows give repeated rows. Places are positions in the compared form of the text.
+substrings, if they have any character; clean() drops a document by such a short item only where it stands at word boundaries, as leaks() reports
+it inside words too. clean() uses items without an id as well. Repeated rows give repeated rows. Places are positions in the compared form of the text.
 """
 
 from __future__ import annotations
@@ -97,10 +98,20 @@ def aligned(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int
     return (int(cost[end]), int(start[end]), int(diag[end] + len(item))) if cost[end] <= most else None
 
 
-def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(text, item id, start, end, distance): the best place of each item in each text that holds it within its budget."""
+def at_words(text: str, item: str) -> int:
+    """Where the item first stands in the text with no letter or digit going on across its ends; -1 if nowhere."""
+    goes_on = lambda a, b: a.isalnum() and b.isalnum()
+    at = text.find(item)
+    while at >= 0 and (goes_on(text[max(0, at - 1) : at], item[0]) or goes_on(item[-1], text[at + len(item) : at + len(item) + 1])):
+        at = text.find(item, at + 1)
+    return at
+
+
+def find(texts: list[str], items: Items, whole_words: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(text, item id, start, end, distance): the best place of each item in each text that holds it within its budget; short items at word boundaries only, if so asked."""
     texts = [compared(t) for t in texts]
-    out = [(d, i, t.find(s), t.find(s) + len(s), 0) for i, s in items.short for d, t in enumerate(texts) if s in t]
+    place = at_words if whole_words else str.find
+    out = [(d, i, at, at + len(s), 0) for i, s in items.short for d, t in enumerate(texts) if s in t and (at := place(t, s)) >= 0]
     if not items.ids or not any(texts):
         return out
     gap = np.full(Q, 0x110000, "<u4")
@@ -184,7 +195,7 @@ def _judge(sent):
             table.append(Items(sent.value))
         hit, all_texts = np.zeros(len(texts), bool), texts.tolist()
         for lo in range(0, len(all_texts), 300):
-            hit[[lo + d for d, *_ in find(all_texts[lo : lo + 300], table[0])]] = True
+            hit[[lo + d for d, *_ in find(all_texts[lo : lo + 300], table[0], whole_words=True)]] = True
         return pd.Series(hit)
 
     return F.pandas_udf(leaked, "boolean")
@@ -201,6 +212,6 @@ def _blocks(benchmark: DataFrame):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs in which no item occurs, with all their columns."""
-    for sent in _blocks(benchmark):
+    for sent in _blocks(benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.lit(-1)))):
         docs = docs.where(~_judge(sent)(text_or_empty(text_col)))
     return docs

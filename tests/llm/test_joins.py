@@ -123,3 +123,11 @@ def test_decontamination_rows(spark):
     assert sorted((str(r.doc_id), r.item_id, r.distance) for r in decontaminate.leaks(docs, bench).collect()) == [("1", 9, 0), ("None", 9, 0)]
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 3, 4]
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_clean_takes_short_items_at_words_and_items_without_id(spark):
+    texts = ["a yes, it is", "yesterday a map", "say YES", "zqx", "the quick brown fox jumps over it", "n/a yes2 yes", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "zq"), (None, "the quick brown fox jumps")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 6]
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(0, 1), (1, 1), (2, 1), (3, 2), (5, 1)]
