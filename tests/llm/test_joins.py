@@ -73,6 +73,21 @@ def test_line_dedup_cases(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_of_texts_under_one_id(spark):
+    import duckdb
+    from oracle import same
+
+    up = lambda letters: "\n".join(letters)
+    rows = [(1, up("abcd")), (2, up("abcz")), (2, up("pqrs")), (3, up("pqrst")), (2, up("pqrs")), (None, up("pqrs")), (4, up("é€x")), (5, up("é€xé€x"))]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, th string, pos int, at int")
+    got = sorted((str(r.doc_id), r.text.replace("\n", "")) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [("1", "abcd"), ("2", "pqrs"), ("2", "pqrs"), ("2", "z"), ("3", "t"), ("4", "é€x"), ("5", ""), ("None", "pqrs")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    same(line_dedup.dedup_lines(df), con, line_dedup.ORACLE)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_duckdb(spark, small, name):
     from oracle import connect, same
