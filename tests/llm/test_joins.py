@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from oracle_llm import components, edit_distance_within
 
@@ -95,23 +97,49 @@ def test_against_duckdb(spark, small, name):
     same(QUERIES[name](spark, small), connect(small), ORACLE_SQL[name])
 
 
-def test_topk_edges(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(topk, "DIMENSIONS", 3)
+def best_by_hand(rows, k=20):
+    """(query, rank, id, score) of each distinct (id, vector) whose id is divisible by 20."""
+    ints = [(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in rows]
+    out = []
+    for i, v in sorted({r for r in ints if r[0] % 20 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ints if j != i and len(v) == len(w))[:k]
+        out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("slab", [1 << 20, 300])
+def test_topk_edges(spark, monkeypatch, slab):
+    for name, value in {"CANDIDATE_BLOCK": 16, "QUERY_BLOCK": 4, "DIMENSIONS": 3, "SLAB_BYTES": slab}.items():
+        monkeypatch.setattr(topk, name, value)
     rng = random.Random(2)
-    vec = lambda: [rng.choice([-1.5, -0.3, 0.0, 0.2, 1.0]) for _ in range(8)]
-    rows = [(i, vec()) for i in range(60)] + [(60, None), (61, [float("nan")] * 8), (62, [None] * 8), (63, [float("inf")] + [0.0] * 7), (64, [1.0]), (65, [])]
+    vec = lambda n=8: [rng.choice([-1.5, -0.3, 0.0, 0.2, 1.0]) for _ in range(n)]
+    rows = [(i, vec()) for i in range(90)] + [(100 + i, vec(5)) for i in range(25)]
+    rows += [rows[20], rows[20], (20, vec()), (40, vec(5)), rows[33], (33, vec()), rows[60]]
+    odd = [(60, None), (61, [float("nan")] * 8), (62, [None] * 8), (63, [float("inf")] + [0.0] * 7), (64, [1.0]), (65, []), (None, vec())]
+    df = spark.createDataFrame([(i, v, 7, "x") for i, v in rows + odd], "vec_id long, embedding array<float>, score int, query string")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 20 = 0")).collect()]
+    assert sorted(got) == best_by_hand(rows)
+    assert topk.top_k(df.limit(0), df).count() == topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_topk_of_large_components_is_exact(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1e7, 3.0, 1e7 + 1]) for _ in range(6)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 20 = 0")).collect()) == best_by_hand(rows)
+
+
+def test_topk_sql_of_repeated_rows(spark):
+    import duckdb
+    from oracle import same
+
+    rng = random.Random(4)
+    rows = [(i % 50, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)]) for i in range(80)] + [(0, [1.0, 1.0, 1.0, 1.0])] * 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    import math
-
-    ints = {i: [math.floor(64 * float(__import__("numpy").float32(x))) for x in v] for i, v in rows[:60]}
-    want = []
-    for q in range(0, 60, 20):
-        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:20]
-        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 20 = 0 AND vec_id < 60")).collect()]
-    assert sorted(got) == sorted(want)
+    same(topk.top_k(df, df.where("vec_id % 20 = 0")), con, ORACLE_SQL["op7_topk_branch_bound"])
 
 
 def test_decontamination_equals_brute_force():
