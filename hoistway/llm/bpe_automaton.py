@@ -1,15 +1,16 @@
 """Byte-level BPE as a tokenization automaton.
 
-The automaton reads token ids. It starts with one state and a loop for each byte. Each merge (a, b) -> c, in order, adds
-one gadget: the state behind arc a is copied without its arc b, arc a now leads to the copy, and every state that
-has arc a gets an arc c to the state that b led to. After the last merge, the state behind an arc depends on the
-arc's label alone, and a sequence of ids is a path if and only if it is the tokenization that the merges give. A copy differs from its
-original by one missing arc, so a state is kept as the merge that made it, and an arc of a state is looked up
-along these copies once and then kept in a transition table.
-
-Encoding a pre-split word walks the automaton: the labels that the word goes on with come from a trie's table, longest
-first, and the first whose arc leaves the state is taken; a position where no arc goes on is given up. Decoding
-emits the labels of arcs.
+The automaton over token ids starts with one state and a loop for each byte. Each merge (a, b) -> c, in order, adds one gadget: the state behind
+arc a is copied without its arc b, arc a now leads to the copy, and every state that has arc a gets an arc c to the state that b led to. After the last merge,
+the state behind an arc depends on the arc's label alone, and a sequence of ids is a path if and only if it is the tokenization that the
+merges give. A copy differs from its original by one missing arc, so states are kept as these differences; an arc is looked up along the
+copies once and then kept.
+
+Encoding reads bytes, so the automaton is made deterministic over them. A state of the byte table is the set of what may be going on: (how far into the
+labels' trie, label of the arc before). A byte moves each of these on; where a label ends and its arc leaves the state before, it is the last label of the
+tokenization up to here. Just one is, as each prefix has one tokenization: the transition emits it. A word takes one lookup a byte; its ids are the
+emitted labels met backwards from its end, each as long as its label. Transitions are made when first met (the whole table would
+have billions) and kept in a bounded table. Decoding emits the labels of arcs.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the special token's own string is one id.
 Repeated rows give repeated results; only the columns asked for are read, so other columns can't clash.
@@ -35,6 +36,8 @@ WIDE = re.compile(r" \s|\s |\A | \Z").search
 #: Words whose ids a Python worker keeps; beyond it the table starts anew, which changes no result.
 KEPT_WORDS = 250_000
 KEPT_ARCS = 2_000_000
+#: Transitions of the byte table that a worker keeps; beyond it the table starts anew between words.
+KEPT_STEPS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,18 +80,14 @@ class MergeAutomaton:
         for when, (a, b, c) in enumerate(spec["merges"], 1):
             self.gadget(when, a, b, c)
         self.arcs: dict[int, bool] = {}
-        self.ids = {self.labels[i]: i for i in sorted(singles | in_merges)}
-        self.reach = max(map(len, self.ids), default=0)
-        self.steps: dict[int, int] = {}  # node << 8 | byte: the next node of the labels' trie
+        self.nodes: dict[int, int] = {}  # node << 8 | byte: the next node of the labels' trie; 0 is its root
         self.ends: dict[int, int] = {}  # the label that ends at a node
-        self.shorter = [-1] * len(self.labels)  # the next shorter label that a label starts with
-        for label in sorted(self.ids, key=len):
-            node, best = 0, -1
-            for byte in label:
-                node = self.steps.setdefault(node << 8 | byte, len(self.steps) + 1)
-                best = self.ends.get(node, best)
-            self.ends[node] = self.ids[label]
-            self.shorter[self.ids[label]] = best
+        for i in sorted(singles | in_merges):
+            node = 0
+            for byte in self.labels[i]:
+                node = self.nodes.setdefault(node << 8 | byte, len(self.nodes) + 1)
+            self.ends[node] = i
+        self._empty_table()
         self.words = _Kept(self.word)
         self.chunks = _Kept(self.chunk)
         self.split = regex.compile(PRE_SPLIT).findall
@@ -128,50 +127,51 @@ class MergeAutomaton:
             else:  # c behind c: arc c was added to the state that its right part led to, if that has arc a
                 x, y, before = self.right[x], self.left[y], mx
 
-    def path(self, word: bytes) -> list[int]:
-        """The labels of the one path whose labels spell the word.
-
-        Longest labels are tried first. Only one label sequence leads to each position, so a position from which
-        no arc went on is dead for good, and the walk takes linear time.
-        """
-        if word in self.ids:
-            return [self.ids[word]]
-        labels, shorter, arcs, has_arc, longest = self.labels, self.shorter, self.arcs, self.has_arc, self.longest
-        n, at, before, out, dead = len(word), 0, -1, [], set()
-        token = longest(word, 0)
-        while at < n:
-            while token >= 0:
-                end = at + len(labels[token])
-                if end not in dead:
-                    if before < 0:
-                        break
-                    known = arcs.get(before << 20 | token)
-                    if known or known is None and has_arc(before, token):
-                        break
-                token = shorter[token]
-            if token >= 0:
-                out.append(token)
-                before, at = token, end
-                token = longest(word, at)
-            elif not out:
-                raise ValueError("the vocabulary lacks a byte of the text")
-            else:
-                dead.add(at)
-                token = shorter[back := out.pop()]
-                at -= len(labels[back])
-                before = out[-1] if out else -1
+    def _empty_table(self) -> None:
+        """The byte table with its first state alone: at the trie's root, behind no label."""
+        self.table: dict[int, int] = {}  # state << 8 | byte: next state << 20 | emitted label + 1
+        self.members: list[tuple] = [((0, -1),)]
+        self.numbers: dict[tuple, int] = {self.members[0]: 0}
+
+    def _step(self, state: int, byte: int) -> int:
+        """Makes one transition of the byte table."""
+        after, emitted = [], -1
+        for node, before in self.members[state]:
+            node = self.nodes.get(node << 8 | byte, -1)
+            if node < 0:
+                continue
+            after.append((node, before))
+            label = self.ends.get(node, -1)
+            if label >= 0 and (before < 0 or self.has_arc(before, label)):
+                emitted = label
+        if emitted >= 0:
+            after.append((0, emitted))
+        members = tuple(after)
+        number = self.numbers.setdefault(members, len(self.members))
+        if number == len(self.members):
+            self.members.append(members)
+        self.table[state << 8 | byte] = out = number << 20 | emitted + 1
         return out
 
-    def longest(self, word: bytes, at: int) -> int:
-        """The longest label that starts at a position: one table-driven step a byte."""
-        steps, ends, node, best = self.steps, self.ends, 0, -1
-        for byte in word[at : at + self.reach]:
-            node = steps.get(node << 8 | byte, -1)
-            if node < 0:
-                break
-            if node in ends:
-                best = ends[node]
-        return best
+    def path(self, word: bytes) -> list[int]:
+        """The labels of the one path that spells the word."""
+        if len(self.table) >= KEPT_STEPS:
+            self._empty_table()
+        state, emitted, table = 0, [], self.table
+        for byte in word:
+            step = table.get(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+            state = step >> 20
+            emitted.append(step & 0xFFFFF)
+        at, out, labels = len(word), [], self.labels
+        while at:
+            label = emitted[at - 1] - 1
+            if label < 0:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            out.append(label)
+            at -= len(labels[label])
+        return out[::-1]
 
     def word(self, word: str) -> bytes:
         return np.array(self.path(word.encode()), dtype="<u4").tobytes()
