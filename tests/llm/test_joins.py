@@ -145,8 +145,8 @@ def test_topk_sql_of_repeated_rows(spark):
 def test_decontamination_equals_brute_force():
     rng, bad = random.Random(5), 0
     letters = "abcdefgh  "
-    for _ in range(60):
-        item = decontaminate.compared("".join(rng.choice(letters) for _ in range(rng.choice([5, 20, 60, 120]))))
+    for _ in range(300):
+        item = decontaminate.compared("".join(rng.choice(letters) for _ in range(rng.choice([3, 5, 8, 10, 12, 15, 20, 22, 23, 30, 31, 35, 60, 120]))))
         if not item:
             continue
         s = list(item)
@@ -155,11 +155,40 @@ def test_decontamination_equals_brute_force():
             s[k : k + 1] = rng.choice([[rng.choice("xyz")], [s[k], rng.choice("xyz")], []]) or [] if len(s) > 2 else [s[k]]
         text = decontaminate.compared("".join(rng.choice(letters) for _ in range(80)) + "".join(s) + "".join(rng.choice(letters) for _ in range(80)))
         found = decontaminate.find([text], decontaminate.Items([(1, item)]))
-        most = decontaminate.budget(len(item)) if len(item) >= decontaminate.Q else 0
-        bad += (edit_distance_within(item, text) <= most) != bool(found)
+        bad += (edit_distance_within(item, text) <= int(0.1 * len(item))) != bool(found)
     assert bad == 0
 
 
+def test_decontamination_of_a_shared_opening(monkeypatch):
+    """Items of one template, in texts of many openings: nothing is found but what stands there, in bounded time and pieces."""
+    import time
+
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    opening = "which of the following statements best describes the "
+    bench = [(i, opening + words(18)) for i in range(5_000)]
+    texts = [words(30) + " " + opening + words(60) for _ in range(150)] + [" ".join(opening + words(2) for _ in range(40)), words(9) + " " + bench[77][1][:60] + "Q" + bench[77][1][61:] + " " + words(9)]
+    items = decontaminate.Items(bench)
+    began = time.time()
+    got = decontaminate.find(texts, items)
+    assert [(d, i, c) for d, i, *_, c in got] == [(151, 77, 1)]
+    assert time.time() - began < 60
+    few = decontaminate.Items(bench[60:90] + [bench[77]])
+    monkeypatch.setattr(decontaminate, "ENTRIES", 50)
+    monkeypatch.setattr(decontaminate, "ALIGNED", 3)
+    assert [(d, i) for d, i, *_ in decontaminate.find(texts[140:], few)] == [(11, 77), (11, 77)]
+    assert decontaminate.find(["a" * 4_000, "b" * 50], decontaminate.Items([(1, "a" * 60), (2, "a" * 61 + "b" * 9), (3, "ab")])) == [(0, 1, 0, 60, 0)]
+
+
+def test_decontamination_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "x the quick brown fox jumps", 5, "i"), (1, "x the quick brown fox jumps", 5, "i"), (2, "w " * 150_000 + "the quick brown f0x jumps", 5, "i")], "doc_id long, text string, start int, item_id string")
+    bench = spark.createDataFrame([(9, "the quick brown fox jumps", 1), (9, "the quick brown fox jumps", 1), (10, "The QUICK brown fox jumps", 1)], "item_id long, text string, doc_id int")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.passage) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == sorted(2 * [(1, i, 0, "the quick brown fox jumps") for i in (9, 9, 10)] + [(2, i, 1, "the quick brown f0x jumps") for i in (9, 9, 10)])
+    assert decontaminate.clean(docs, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).columns == docs.columns
+    assert decontaminate.leaks(docs.limit(0), bench).count() == 0
+
+
 def test_decontamination_rows(spark):
     docs = spark.createDataFrame([(1, "Say THE quick  brown fox jumps over it"), (2, None), (3, ""), (4, "clean text of no item"), (None, "the quick brown fox jumps")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "the quick brown fox jumps"), (8, None), (7, ""), (6, "zq")], "item_id long, text string")
