@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="hoistway-")
         shared_dir.own = at
     return at.rstrip("/")
@@ -40,6 +43,22 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Stored tables of one operator, removed together once its last one is written."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.made.append(stored(df, what))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        for df in self.made:
+            drop_stored(df)
+        self.made = []
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, rows: int = 0) -> DataFrame:
     """mapInArrow over column lists: fn gets each input column of a batch as a pyarrow array and returns columns by name.
 

@@ -11,15 +11,16 @@ A set of n shingles can only link with sets with which it shares T = ceil(0.75 n
    the sets that have it to the least of them; connected components of this graph are the groups within which links can be.
 4. T-occurrence search within groups, by DivideSkip: inverted lists of the query's shingles are parted into long and short; the short are merged by a heap, sets
    found often enough in them are looked up in the long ones by binary search, and those that reach the required overlap link. Groups larger than a
-   block are cut into blocks: each is searched within itself and against a few leaders of its group; afterwards the sets outside the group's
-   largest component so far are searched against all blocks of the group. Sets that are connected already aren't compared again, so no link
+   block are cut into blocks: each is searched within itself and against a few leaders of its group. What is still apart in a large group can only link where it
+   shares a rare shingle, so afterwards each list of sets behind such a shingle that holds several components (equal lists once) is searched: all but its
+   largest component against its blocks. Sets that are connected already aren't compared again, so no link
    between components is missed and no group of copies is expanded into its pairs.
 5. Connected components of the links; each document gets the least doc_id of its component.
 
 Shingles are 64-bit hashes: two different ones of a corpus of 10**8 agree with a probability of 3 in 10,000.
 
-Defined results: null, empty and wordless texts have 0 shingles and are their own component; rows that repeat a doc_id each get a row; a row with a null
-doc_id gets its class's component. Texts of fewer than five words are one shingle. Other columns are ignored.
+Defined results: null, empty and wordless texts have 0 shingles and are their own component; rows that repeat a doc_id each get a row, by their own text; a row with a null
+doc_id takes part like any other and gets its component's least id (null where no row of it has one). Texts of fewer than five words are one shingle. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, stored
+from .common import Scratch, map_columns, stored
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -44,6 +45,8 @@ PERCENT = 75
 EXTRA, BATCH, BUCKET_SHINGLES = 0.1, 500, 400_000
 #: Sets of a block, leaders of a large group; sets whose ids are broadcast at most; a shingle in more than 1 / HOT of the sets is hot.
 BLOCK, LEADERS, BROADCAST_SETS, HOT = 128, 6, 1_000_000, 500
+#: Rows of groups or lists that are broadcast at most; beyond it they meet their members by key and salt.
+BROADCAST_GROUPS, SALTS = 500_000, 64
 #: The cost of probing against merging in DivideSkip's choice of long lists.
 MU = 0.0085
 
@@ -63,13 +66,14 @@ def _texts(df: DataFrame, text_col: str):
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, n_shingles, key (null for empty sets)."""
+    """doc, text_hash, n_shingles, key (null for empty sets)."""
 
-    def run(ids, texts):
+    def run(ids, hashes, texts):
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()])
-        return {"doc": ids, "n_shingles": [len(s) for s in sets], "key": [set_key(s) if len(s) else None for s in sets]}
+        return {"doc": ids, "text_hash": hashes, "n_shingles": [len(s) for s in sets], "key": [set_key(s) if len(s) else None for s in sets]}
 
-    return map_columns(docs.select(F.col(id_col).alias("doc"), _texts(docs, text_col).alias("t")), run, f"doc {docs.schema[id_col].dataType.simpleString()}, n_shingles long, key long", BATCH)
+    t = _texts(docs, text_col)
+    return map_columns(docs.select(F.col(id_col).alias("doc"), F.xxhash64(t).alias("h"), t.alias("t")), run, f"doc {docs.schema[id_col].dataType.simpleString()}, text_hash long, n_shingles long, key long", BATCH)
 
 
 _PACKED = "bucket int, shingles binary, keys binary, local binary, done_keys binary, done_counts binary"
@@ -149,12 +153,13 @@ def sieve(docs: DataFrame, sizes: DataFrame, text_col: str, buckets: int) -> Dat
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, n, shingles (sorted, as bytes) of one document of each class in wanted (doc)."""
-    rows = docs.select(F.col(id_col).alias("doc"), _texts(docs, text_col).alias("t"))
-    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
-    rows = rows.join(chosen, "doc", "left_semi")
+    """key, n, shingles (sorted, as bytes) of one document of each class in wanted (doc, or the hash of a text without one)."""
+    t, doc = _texts(docs, text_col), F.col(id_col)
+    rows = docs.select(doc.alias("doc"), F.when(doc.isNull(), F.xxhash64(t)).otherwise(0).alias("h"), t.alias("t")).alias("r")
+    chosen = (F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted).alias("w")
+    rows = rows.join(chosen, F.col("r.doc").eqNullSafe(F.col("w.doc")) & (F.col("r.h") == F.col("w.h")), "left_semi").select("t")
 
-    def run(_, texts):
+    def run(texts):
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()])
         return {"key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
@@ -176,8 +181,8 @@ def hot_shingles(sets: DataFrame, total: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], "i8").view("u8"))
 
 
-def prefix_edges(sets: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """a, b: keys of sets that share one of their rarest shingles, each with the least set that has it."""
+def rarest_shingles(sets: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """key, s: of each set, the shingles one of which it shares with any set it links with, rarest first."""
     sent = sets.sparkSession.sparkContext.broadcast(hot)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +226,11 @@ def prefix_edges(sets: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 out_s += first.view("i8").tolist()
         return {"key": out_key, "s": out_s}
 
-    firsts = map_columns(sets.join(gathered, "key", "left").select("key", "n", "shingles", "parts"), rarest, "key long, s long", 200)
-    firsts = stored(firsts, "firsts")
+    return map_columns(sets.join(gathered, "key", "left").select("key", "n", "shingles", "parts"), rarest, "key long, s long", 200)
+
+
+def prefix_edges(firsts: DataFrame) -> DataFrame:
+    """a, b: keys of sets that share one of their rarest shingles, each with the least set that has it."""
     least = firsts.groupBy("s").agg(F.min("key").alias("b"), F.count("*").alias("c")).where("c > 1").select("s", "b")
     return firsts.join(least, "s").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
@@ -315,62 +323,70 @@ def _search_tasks(rows: DataFrame, tasks: int) -> DataFrame:
     return spread.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-_CELL = ["cell", "role", "within", "key", "comp", "shingles"]
-
-
-def links(sets: DataFrame, groups: DataFrame, n_sets: int) -> DataFrame:
-    """a, b: links that connect all that is connected. groups: key, grp."""
-    tasks = max(64, -(-n_sets // BLOCK))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"), *[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    placed = groups.join(sizes.select("grp", "size"), "grp").select("key", "grp", "size", blocks.alias("blocks"))
-    placed = placed.withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("key"), F.col("blocks"))).cast("int"))
-    placed = stored(placed, "placed")
-    with_sets = placed.join(sets.select("key", "shingles"), "key")
-    members = with_sets.select(F.xxhash64("grp", "block").alias("cell"), F.lit(0).alias("role"), F.lit(True).alias("within"), "key", F.lit(None).cast("long").alias("comp"), "shingles")
-    large = sizes.where(F.col("size") > BLOCK)
-    leaders = large.select("grp", blocks.alias("blocks"), F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("key")).join(sets.select("key", "shingles"), "key")
-    leaders = leaders.select("grp", "key", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    leaders = leaders.select(F.xxhash64("grp", "block").alias("cell"), F.lit(1).alias("role"), F.lit(True).alias("within"), "key", F.lit(None).cast("long").alias("comp"), "shingles")
-    first = stored(_search_tasks(members.unionByName(leaders), tasks), "links")
-    big = placed.where(F.col("size") > BLOCK)
-    if big.isEmpty():
+def _with_group(rows: DataFrame, per_group: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group, without one task for a large group."""
+    if per_group.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(per_group), on, how)
+    salted = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, [on, "salt"], how).drop("salt")
+
+
+def links(sets: DataFrame, groups: DataFrame, firsts: DataFrame, n_sets: int, keep: Scratch) -> DataFrame:
+    """a, b: links that connect all that is connected. groups: key, grp; firsts: key, s."""
+    least_of = [F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
+    large = groups.groupBy("grp").agg(F.count("*").alias("size"), *least_of).where(F.col("size") > BLOCK)
+    large = keep(large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "large")
+    placed = _with_group(groups, large.select("grp", "blocks"), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = keep(placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "placed")
+    common = [F.lit(True).alias("within"), "key", F.lit(None).cast("long").alias("comp"), "shingles"]
+    members = placed.join(sets.select("key", "shingles"), "key").select(F.xxhash64("grp", "block").alias("cell"), F.lit(0).alias("role"), *common)
+    leaders = large.select("grp", "blocks", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("key")).join(sets.select("key", "shingles"), "key")
+    leaders = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("grp", "block").alias("cell"), F.lit(1).alias("role"), *common)
+    first = keep(_search_tasks(members.unionByName(leaders), max(64, -(-n_sets // BLOCK))), "links")
+    big = placed.where("blocks > 1").select("key")
+    if large.isEmpty():
         return first
-    comps = stored(components(first), "comps")
+    comps = keep(components(first), "comps")
     big = big.join(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    main = big.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    big = stored(big.join(main, "grp").withColumn("rest", F.col("comp") != F.col("main")), "big")
-    rest = big.where("rest").groupBy("grp").agg(F.count("*").alias("r")).withColumn("query_blocks", F.ceil(F.col("r") / BLOCK).cast("int"))
-    if rest.isEmpty():
+    listed = keep(firsts.join(big, "key"), "listed")  # key, s, comp
+    parts = listed.groupBy("s", "comp").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in range(2)])
+    lists = parts.groupBy("s").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
+    lists = lists.where("most < size").groupBy("size", "x0", "x1").agg(F.min_by(F.struct("s", "most", "main"), "s").alias("l"))  # lists of the same sets once
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    lists = keep(lists.select("l.s", "l.main", "size", "l.most", blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("l.most")).alias("query_blocks")), "lists")
+    copies = lists.agg(F.sum(F.col("size") * F.col("query_blocks") + (F.col("size") - F.col("most")) * F.col("blocks"))).first()[0]
+    if not copies:
         return first
-    sides = big.join(rest, "grp").join(sets.select("key", "shingles"), "key").withColumn("q", F.pmod(F.xxhash64("key", F.lit(1)), F.col("query_blocks")).cast("int"))
-    common = [F.lit(False).alias("within"), "key", "comp", "shingles"]
-    asking = sides.where("rest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asking = asking.select(F.xxhash64("grp", "block", "q").alias("cell"), F.lit(1).alias("role"), *common)
-    asked = sides.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    asked = asked.select(F.xxhash64("grp", "block", "q").alias("cell"), F.lit(0).alias("role"), *common)
-    second = _search_tasks(asking.unionByName(asked), tasks)
-    return first.unionByName(stored(second, "links"))
+    sides = _with_group(listed, lists, "s").withColumn("rest", F.col("comp") != F.col("main"))
+    number = lambda of, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asking = sides.where("rest").withColumns({"q": number("query_blocks", 1), "role": F.lit(1)}).withColumn("block", every("blocks"))
+    asked = sides.withColumns({"block": number("blocks", 2), "role": F.lit(0)}).withColumn("q", every("query_blocks"))
+    cells = asking.unionByName(asked).select(F.xxhash64("s", "block", "q").alias("cell"), "role", F.lit(False).alias("within"), "key", "comp").join(sets.select("key", "shingles"), "key")
+    second = _search_tasks(cells.select("cell", "role", "within", "key", "comp", "shingles"), max(64, -(-copies // BLOCK)))
+    return first.unionByName(keep(second, "links"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (the least id reachable by links, itself included), class_key (equal sets have equal keys)."""
+    """id_col, n_shingles, component_id (the least id reachable by links, itself included), class_key (equal sets have equal keys), text_hash (xxhash64 of the text)."""
+    keep = Scratch()
     digest = stored(digests(docs, id_col, text_col), "digests")
-    classes = stored(digest.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("least"), F.first("n_shingles").cast("int").alias("n")), "classes")
+    classes = digest.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("least"), F.min("text_hash").alias("h"), F.first("n_shingles").cast("int").alias("n"))
+    classes = stored(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    kept = stored(sieve(docs, classes.select("key", "n"), text_col, _buckets(total * (1 + EXTRA * 4) * (1 - PERCENT / 100))), "kept")
-    wanted = classes.join(kept.select("key"), "key", "left_semi").where("least IS NOT NULL").select(F.col("least").alias("doc"))
-    sets = stored(full_sets(docs, wanted, id_col, text_col), "sets")
-    n_sets = sets.count()
-    size = sets.agg(F.sum("n")).first()[0] or 0
-    edges = prefix_edges(sets, hot_shingles(sets, n_sets), _buckets(size))
-    groups = stored(components(edges).select(F.col("node").alias("key"), F.col("label").alias("grp")), "groups")
-    joined = components(links(sets, groups, n_sets)).join(classes.select(F.col("key").alias("node"), "least"), "node")
-    joined = stored(joined, "joined")
+    kept = keep(sieve(docs, classes.select("key", "n"), text_col, _buckets(total * (1 + EXTRA * 4) * (1 - PERCENT / 100))), "kept")
+    wanted = classes.join(kept.select("key"), "key", "left_semi").select(F.col("least").alias("doc"), F.when(F.col("least").isNull(), F.col("h")).otherwise(0).alias("h"))
+    sets = keep(full_sets(docs, wanted, id_col, text_col), "sets")
+    n_sets, size = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    firsts = keep(rarest_shingles(sets, hot_shingles(sets, n_sets), _buckets(size)), "firsts")
+    groups = keep(components(prefix_edges(firsts)).select(F.col("node").alias("key"), F.col("label").alias("grp")), "groups")
+    joined = stored(components(links(sets, groups, firsts, n_sets, keep)).join(classes.select(F.col("key").alias("node"), "least"), "node"), "joined")
+    keep.drop()
     least = joined.groupBy("label").agg(F.min("least").alias("component"))
     of_class = classes.select("key", "least").join(joined.select(F.col("node").alias("key"), "label"), "key", "left").join(least, "label", "left")
     of_class = of_class.select("key", F.coalesce("component", "least").alias("component"))
-    return digest.join(of_class, "key", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), F.col("key").alias("class_key"))
+    out = digest.join(of_class, "key", "left")
+    return out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), F.col("key").alias("class_key"), "text_hash")
 
 
 def _buckets(shingles: float) -> int:

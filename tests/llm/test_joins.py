@@ -28,6 +28,10 @@ def corpus(seed=1):
         for _ in range(rng.choice([0, 1, 2, 3, 5])):
             own[rng.randrange(60)] = word()
         rows.append(" ".join(own))
+    chain = [[word() for _ in range(25)] for _ in range(40)]
+    for i in range(39):  # neighbours share a rare passage and don't link; some have a near copy
+        own = chain[i] + [word() for _ in range(20)] + chain[i + 1]
+        rows += [" ".join(own)] + [" ".join([word(), *own[1:]])] * (i % 5 == 0)
     rows += ["", None, "   \n", "One", "ONE", "one two three four", "é É", "É É", rows[0].upper() if rows[0] else ""]
     rng.shuffle(rows)
     return dict(enumerate(rows))
@@ -49,6 +53,28 @@ def test_ngram_join_edges(spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in rows) == [("5", 1, 5), ("5", 1, 5), ("7", 0, 7), ("None", 1, 5)]
 
 
+def test_ngram_join_of_odd_rows(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(base), " ".join(base[4:] + ["x1", "x2"]), " ".join(base[8:] + ["x1", "x2", "y1", "y2"])
+    far = " ".join(f"v{i}" for i in range(50))
+    long = [f"u{i % 7000}" for i in range(40_000)]
+    rows = [(9, a), (None, b), (4, c), (4, far), (8, far + " end"), (None, None), (2, " ".join(long)), (6, " ".join(long[3:])), (None, "lone text of a few words only")]
+    df = spark.createDataFrame([(i, t, "d", 1, 2) for i, t in rows], "doc_id long, text string, doc string, t int, key int")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.jaccard_components(df).collect())
+    want = components(dict(enumerate(t for _, t in rows)))
+    least = {root: min((rows[i][0] for i, (_, r) in want.items() if r == root and rows[i][0] is not None), default=None) for _, root in want.values()}
+    assert got == sorted((str(i), want[n][0], str(least[want[n][1]])) for n, (i, _) in enumerate(rows))
+    assert [r for r in got if r[0] == "None" and r[2] == "4"]  # the bridge between 9 and 4 has no id
+
+
+def test_ngram_join_with_many_groups(spark, monkeypatch):
+    for name, value in {"BLOCK": 8, "BROADCAST_GROUPS": 0, "BROADCAST_SETS": 0}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = corpus(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == components(texts)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
