@@ -87,6 +87,7 @@ class MergeAutomaton:
             for byte in self.labels[i]:
                 node = self.nodes.setdefault(node << 8 | byte, len(self.nodes) + 1)
             self.ends[node] = i
+        self.goes_on = {key >> 8 for key in self.nodes}  # nodes that a longer label passes
         self._empty_table()
         self.words = _Kept(self.word)
         self.chunks = _Kept(self.chunk)
@@ -140,7 +141,8 @@ class MergeAutomaton:
             node = self.nodes.get(node << 8 | byte, -1)
             if node < 0:
                 continue
-            after.append((node, before))
+            if node in self.goes_on:
+                after.append((node, before))
             label = self.ends.get(node, -1)
             if label >= 0 and (before < 0 or self.has_arc(before, label)):
                 emitted = label

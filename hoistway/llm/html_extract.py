@@ -12,15 +12,17 @@ Winners are one row a host. They are broadcast up to a checked number of hosts;
 salt, so that no host's pages go to one task.
 
 A menu, header, sidebar or the like is told by its tag, role, or the first or last word of a class or id (has-sidebar and the like are flags). What encloses
-the page's largest article or main, or on a page without one more than half of its text, is never left out, unless it is hidden.
+the page's largest article or main, or on a page without one more than half of its text, is never left out, unless it is hidden. Headings in the
+header element of an article or main belong to it, at any depth; if an article or main holds no h1, the last h1 before it that isn't left out comes first.
 
 Defined results: null and empty html give the empty text; a null url has no host, such pages use their own container; broken markup is read as browsers
 do as far as blocks go (open elements end where an outer one ends; what is cut off within a tag is dropped). White space in a block becomes one space,
-blocks are joined by one newline, empty blocks are dropped. Repeated rows give repeated results.
+blocks are joined by one newline, empty blocks are dropped. Repeated rows give repeated results, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, stored
 
-#: Most hosts whose winning paths are broadcast; a path has at most PATH_CHARS characters.
+#: Most hosts whose winning paths are broadcast; a path longer than PATH_CHARS characters stands as its digest, which tells different paths apart as well.
 BROADCAST_HOSTS, PATH_CHARS = 20_000, 300
 #: Share of the good text that an article must hold to be the page's own container, the least share of the own container's text for the host's path to
 #: count, and how often a block stands on a page at least to be no part of that share.
@@ -81,23 +83,27 @@ class Page:
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["body"]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
+        self.titles: list[int] = []  # blocks that are an h1
         self._outer: list[int] = [-1]  # regions: what may be left out, each with the one around it; 0 is the page
-        self._found: list[tuple[int, int, str, int]] = []  # region, container, text, characters in links
+        self._found: list[tuple[int, int, str, int, bool]] = []  # region, container, text, characters in links, whether an h1
+        self._headers: set[int] = set()  # regions that the header of an article or main opened
         self._regions: list[int] = [0]  # of each container
         self._stack: list[tuple[str, int, int]] = [("body", 0, 0)]  # tag, region or GONE, container
         self._buffer: list[str] = []
         self._links = 0
-        self._at = (0, 0)
+        self._at, self._title = (0, 0), False
         self._read(source)
         self._flush()
         kept = self._kept()
-        self.blocks = [(c, text, links) for r, c, text, links in self._found if kept[r]]
+        counted = [f for f in self._found if kept[f[0]]]
+        self.blocks = [(c, text, links) for _, c, text, links, _ in counted]
+        self.titles = [i for i, f in enumerate(counted) if f[4]]
 
     def _flush(self) -> None:
         if self._buffer:
             text = " ".join(html.unescape("".join(self._buffer)).split())
             if text:
-                self._found.append((*self._at, text, self._links))
+                self._found.append((*self._at, text, self._links, self._title))
             self._buffer, self._links = [], 0
 
     def _text(self, text: str) -> None:
@@ -109,7 +115,9 @@ class Page:
             if region == GONE:
                 return
             self._buffer.append(text)
-            if any(t == "a" for t, *_ in self._stack):
+            open_ = [t for t, *_ in self._stack]
+            self._title = "h1" in open_
+            if "a" in open_:
                 self._links += len(text)
 
     def _pop_to(self, depth: int) -> None:
@@ -149,17 +157,20 @@ class Page:
         _, region, container = self._stack[-1]
         label = tag
         found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-        if tag in HEADINGS and self._stack[-1][0] == "header" and any(t == "article" for t, *_ in self._stack):
-            region = self._stack[-2][1]  # an article's own heading stands in its header
+        if tag in HEADINGS and region in self._headers:
+            region = self._outer[region]  # an article's own heading stands in its header
         if tag in ALWAYS_OUT or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
             region = GONE
         elif region != GONE and (tag in LEFT_OUT or found and (tag not in WHOLE and named_out(found) or found.get("role", "").lower() in LEFT_OUT_ROLES)):
             self._outer.append(region)
             region = len(self._outer) - 1
+            if tag == "header" and any(t in WHOLE for t, *_ in self._stack):
+                self._headers.add(region)
         if tag in CONTAINERS and region != GONE:
             names = sorted(w for w in DIGITS.sub("", found.get("class", "")).lower().split() if w)
             label = ".".join([tag, *names])
-            self.paths.append(f"{self.paths[container]}/{label}"[-PATH_CHARS:])
+            path = f"{self.paths[container]}/{label}"
+            self.paths.append(path if len(path) <= PATH_CHARS else "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest())
             self.parents.append(container)
             self.tags.append(tag)
             self._regions.append(region)
@@ -206,7 +217,7 @@ class Page:
         for c, tag in enumerate(self.tags):
             articles.append(c if tag in WHOLE else articles[self.parents[c]] if c else -1)
         held, inside = Counter(), [0] * len(kept)
-        for r, c, text, links in self._found:
+        for r, c, text, links, _ in self._found:
             n = max(0, len(text) - 2 * links)
             inside[r] += n
             if articles[c] >= 0 and self._regions[articles[c]] == r:
@@ -255,7 +266,10 @@ class Page:
         inside = []
         for c in range(len(self.paths)):
             inside.append(c in roots or self.parents[c] >= 0 and inside[self.parents[c]])
-        return "\n".join(t for c, t, _ in self.blocks if inside[c])
+        held = [i for i, (c, *_) in enumerate(self.blocks) if inside[c]]
+        if len(roots) == 1 and self.tags[min(roots)] in WHOLE and held and not any(inside[self.blocks[i][0]] for i in self.titles):
+            held = [i for i in self.titles if i < held[0]][-1:] + held
+        return "\n".join(self.blocks[i][1] for i in held)
 
 
 def vote(source: str) -> tuple[str, float]:

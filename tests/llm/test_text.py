@@ -53,6 +53,87 @@ def test_wrappers_named_after_what_is_left_out():
     assert html_extract.vote(f"<body><div class='with-ads'>{story}</div></body>") == ("body/div.with-ads", 1.0)
 
 
+def test_headings_of_articles():
+    story = "".join(f"<p>line {i} of the story goes on</p>" for i in range(6))
+    lines = [f"line {i} of the story goes on" for i in range(6)]
+    for page, first in {
+        f"<article><header><div class=top><div><h1>Deep</h1></div><p>by me</p></div></header>{story}</article>": ["Deep"],
+        f"<main><header><hgroup><h1>Deep</h1><h2>Sub</h2></hgroup><nav><h2>Menu</h2></nav></header>{story}</main>": ["Deep", "Sub"],
+        f"<header><h1>Site</h1></header><div><h1>Old</h1><h1>Title</h1><article><h2>Part</h2>{story}</article><h1>After</h1></div>": ["Title", "Part"],
+        f"<header><h1>Site</h1></header><article>{story}</article>": [],
+        f"<div><h1>Beside</h1></div><article><h1>Own</h1>{story}</article>": ["Own"],
+    }.items():
+        assert html_extract.extract(f"<body>{page}</body>", None).split("\n") == first + lines
+
+
+def test_long_paths_stay_apart():
+    story, other = ("".join(f"<p>{w} {i} of the text goes on</p>" for i in range(6)) for w in ("story", "other"))
+    deep = lambda name, text: f"<section class={name}>" + "<div class=a-rather-long-class>" * 30 + text + "</div>" * 30 + "</section>"
+    page = f"<body>{deep('one', story)}</body>"
+    path = html_extract.vote(page)[0]
+    assert len(path) <= html_extract.PATH_CHARS and path != html_extract.vote(page.replace("class=one", "class=two"))[0]
+    assert html_extract.extract(f"<body>{deep('one', story)}{deep('two', '<p>short</p>')}</body>", path).count("\n") == 5
+
+
+def test_pages_equal_a_plain_reading(spark, small):
+    """The given pages have one article each, without anything in it that is left out: their texts by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks += [""] * (tag in html_extract.BLOCKS)
+            self.blocks[-1] += " " * (tag == "br")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.blocks += [""] * (tag in html_extract.BLOCKS)
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = {r.page_id: r for r in html_extract.extract_main(pages).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html)
+        want = "\n".join(b for b in (" ".join(b.split()) for b in parser.blocks) if b)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
+
+
+def test_planted_hosts(spark):
+    """Hosts with templates of their own: the text wanted is known from how the pages are made."""
+    import random
+
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    templates = [
+        lambda b, n: f"<div class='layout has-sidebar'><div class='post post-{n}'>{b}</div><div class=sidebar><p>{words(30)}</p></div></div>",
+        lambda b, n: f"<form id=aspnetForm><nav>{words(5)}</nav><div id=content{n}>{b}</div><div class=comments><p>{words(60)}</p></div></form>",
+        lambda b, n: f"<div class='page-header-fixed comments-open'><header><p>{words(9)}</p></header><main>{b}</main><footer>{words(9)}</footer></div>",
+        lambda b, n: f"<table><tr><td class=menu><p>{words(12)}</p><td class=body{n}>{b}</table><div class=cookie-notice><p>{words(20)}</p></div>",
+        lambda b, n: f"<div class='entry comments-open'>{b}<aside><p>{words(25)}</p></aside></div><div id=footer-{n}><p>{words(8)}</p></div>",
+    ]
+    rows, want = [], {}
+    for h, template in enumerate(templates):
+        for n in range(8):
+            blocks, i = [words(rng.randint(15, 40)) for _ in range(rng.randint(4, 9))], len(rows)
+            body = template("".join(f"<p>{b.replace(' ', rng.choice([' ', '  ', chr(10)]), 3)} &amp; &#233;</p>" for b in blocks), n)
+            rows.append((i, f"http://host{h}.example/{n}", f"<html><body>{body}</body></html>", f"path{n}", 3))
+            want[i] = "\n".join(f"{b} & é" for b in blocks)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, path string, host int")
+    assert {r.page_id: r.text for r in html_extract.extract_main(df.unionByName(df.where("page_id = 3"))).collect()} == want
+    assert html_extract.extract_main(df.unionByName(df.where("page_id = 3"))).count() == len(rows) + 1
+    assert html_extract.extract_main(df.limit(0)).count() == 0
+    long = "".join(f"<p>part {i} of a very long page</p>" for i in range(60_000))
+    got = html_extract.extract_main(spark.createDataFrame([(1, "http://h.example/", f"<body><div class=x>{long}</div></body>"), (None, None, None)], "page_id long, url string, html string"))
+    assert sorted((str(r.page_id), r.text.count("\n"), r.text.endswith("part 59999 of a very long page")) for r in got.collect()) == [("1", 59_999, True), ("None", 0, False)]
+
+
 def test_two_templates_on_a_host(spark):
     story = "".join(f"<p>word number {i} of the story goes on and on</p>" for i in range(8))
     first = f"<body><div class=main>{story}</div></body>"
