@@ -12,8 +12,8 @@ A set of n shingles can only link with sets with which it shares T = ceil(0.75 n
 4. T-occurrence search within groups, by DivideSkip: inverted lists of the query's shingles are parted into long and short; the short are merged by a heap, sets
    found often enough in them are looked up in the long ones by binary search, and those that reach the required overlap link. Groups larger than a
    block are cut into blocks: each is searched within itself and against a few leaders of its group. What is still apart in a large group can only link where it
-   shares a rare shingle, so afterwards each list of sets behind such a shingle that holds several components (equal lists once) is searched: all but its
-   largest component against its blocks. Sets that are connected already aren't compared again, so no link
+   shares a rare shingle, so afterwards each list of sets behind such a shingle that holds several components (equal lists once) is searched, or the group as one
+   list where that copies fewer sets: all but a list's largest component against its blocks. Sets that are connected already aren't compared again, so no link
    between components is missed and no group of copies is expanded into its pairs.
 5. Connected components of the links; each document gets the least doc_id of its component.
 
@@ -323,12 +323,22 @@ def _search_tasks(rows: DataFrame, tasks: int) -> DataFrame:
     return spread.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def _with_group(rows: DataFrame, per_group: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def _with_group(rows: DataFrame, per_group: DataFrame, on: str, how: str = "inner", by: str = "key") -> DataFrame:
     """rows with the columns of their group, without one task for a large group."""
     if per_group.count() <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(per_group), on, how)
     salted = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, [on, "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [on, "salt"], how).drop("salt")
+
+
+def _apart(sides: DataFrame, unit: str, **kept) -> DataFrame:
+    """For each unit (a list or group of sets with comp) that holds several components: its largest one, the blocks of its search and how many sets that copies.
+    kept: further columns by the aggregates that make them, over sets and then over components."""
+    parts = sides.groupBy(unit, "comp").agg(F.count("*").alias("c"), *[over_sets.alias(name) for name, (over_sets, _) in kept.items()])
+    size, most = F.sum("c"), F.max("c")
+    out = parts.groupBy(unit).agg(size.alias("size"), (size - most).alias("others"), F.max_by("comp", F.struct("c", "comp")).alias("main"), *[over_comps(name).alias(name) for name, (_, over_comps) in kept.items()])
+    out = out.where("others > 0").withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "query_blocks": F.ceil(F.col("others") / BLOCK).cast("int")})
+    return out.withColumn("copies", F.expr("size * query_blocks + others * blocks")).drop("size", "others")
 
 
 def links(sets: DataFrame, groups: DataFrame, firsts: DataFrame, n_sets: int, keep: Scratch) -> DataFrame:
@@ -343,26 +353,31 @@ def links(sets: DataFrame, groups: DataFrame, firsts: DataFrame, n_sets: int, ke
     leaders = large.select("grp", "blocks", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("key")).join(sets.select("key", "shingles"), "key")
     leaders = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.xxhash64("grp", "block").alias("cell"), F.lit(1).alias("role"), *common)
     first = keep(_search_tasks(members.unionByName(leaders), max(64, -(-n_sets // BLOCK))), "links")
-    big = placed.where("blocks > 1").select("key")
     if large.isEmpty():
         return first
-    comps = keep(components(first), "comps")
-    big = big.join(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    listed = keep(firsts.join(big, "key"), "listed")  # key, s, comp
-    parts = listed.groupBy("s", "comp").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in range(2)])
-    lists = parts.groupBy("s").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
-    lists = lists.where("most < size").groupBy("size", "x0", "x1").agg(F.min_by(F.struct("s", "most", "main"), "s").alias("l"))  # lists of the same sets once
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    lists = keep(lists.select("l.s", "l.main", "size", "l.most", blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("l.most")).alias("query_blocks")), "lists")
-    copies = lists.agg(F.sum(F.col("size") * F.col("query_blocks") + (F.col("size") - F.col("most")) * F.col("blocks"))).first()[0]
+    comps = keep(components(first), "comps").select(F.col("node").alias("key"), F.col("label").alias("comp"))
+    big = keep(placed.where("blocks > 1").select("key", "grp").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "big")
+    whole = keep(_apart(big, "grp"), "whole")
+    listed = keep(firsts.join(_with_group(big, whole.select("grp"), "grp", "left_semi"), "key"), "listed")  # key, s, grp, comp
+    lists = _apart(listed, "s", grp=(F.min("grp"), F.min), x0=(F.bit_xor(F.xxhash64("key", F.lit(0))), F.bit_xor), x1=(F.bit_xor(F.xxhash64("key", F.lit(1))), F.bit_xor))
+    names = ["s", "grp", "main", "blocks", "query_blocks", "copies"]
+    lists = keep(lists.groupBy("x0", "x1").agg(F.min_by(F.struct(*names), "s").alias("l")).select("l.*"), "lists")  # lists of the same sets once
+    cost = lists.groupBy("grp").agg(F.sum("copies").alias("by_list"))
+    choice = keep(whole.join(cost, "grp", "left").withColumn("by_list", F.coalesce("by_list", F.lit(0))), "choice")
+    use_lists = _with_group(lists, choice.where("by_list < copies").select("grp"), "grp", "left_semi", "s").drop("grp")
+    use_whole = choice.where("by_list >= copies").drop("by_list")
+    copies = choice.agg(F.sum(F.least("by_list", "copies"))).first()[0]
     if not copies:
         return first
-    sides = _with_group(listed, lists, "s").withColumn("rest", F.col("comp") != F.col("main"))
+    columns = ["unit", "key", "comp", "main", "blocks", "query_blocks"]
+    by_list = _with_group(listed.drop("grp"), use_lists.drop("copies"), "s").withColumn("unit", F.xxhash64("s", F.lit("list"))).select(*columns)
+    by_group = _with_group(big, use_whole.drop("copies"), "grp").withColumn("unit", F.xxhash64("grp", F.lit("group"))).select(*columns)
+    sides = by_list.unionByName(by_group).withColumn("rest", F.col("comp") != F.col("main"))
     number = lambda of, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     asking = sides.where("rest").withColumns({"q": number("query_blocks", 1), "role": F.lit(1)}).withColumn("block", every("blocks"))
     asked = sides.withColumns({"block": number("blocks", 2), "role": F.lit(0)}).withColumn("q", every("query_blocks"))
-    cells = asking.unionByName(asked).select(F.xxhash64("s", "block", "q").alias("cell"), "role", F.lit(False).alias("within"), "key", "comp").join(sets.select("key", "shingles"), "key")
+    cells = asking.unionByName(asked).select(F.xxhash64("unit", "block", "q").alias("cell"), "role", F.lit(False).alias("within"), "key", "comp").join(sets.select("key", "shingles"), "key")
     second = _search_tasks(cells.select("cell", "role", "within", "key", "comp", "shingles"), max(64, -(-copies // BLOCK)))
     return first.unionByName(keep(second, "links"))
 
