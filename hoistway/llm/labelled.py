@@ -22,9 +22,13 @@ def held_out(id_col: str = "doc_id"):
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """text, y of at most ``rows`` labelled documents, in one partition, chosen by a hash of the id and never from the held-out fold.
 
-    Only ids and labels of the sample are broadcast (``rows`` of them at most); texts are read by a scan without a shuffle.
+    A doc_id whose label rows disagree isn't used; labels of documents that aren't there don't shrink the sample. Of the rows of a repeated doc_id all
+    texts count. Ids alone meet in the join that finds the labelled documents; ids and labels of the sample (``rows`` of them at most) are broadcast,
+    and texts are read by a scan without a shuffle.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
+    agreed = usable.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("__most")).where("y = __most")
+    chosen = agreed.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "y")
 

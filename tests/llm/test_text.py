@@ -216,6 +216,70 @@ def test_scores_of_odd_rows(spark, operator):
     assert operator.scores(df.limit(0), operator.train([], [])).count() == 0
 
 
+def test_sample_of_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(7, "other text 7"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(7, 1), (8, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    import zlib
+
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 and i != 8]
+    want = sorted([(f"text {i}", i % 2) for i in free] + [("other text 7", 1)] * (7 in free))
+    assert sorted((r.text, r.y) for r in labelled.sample_rows(docs, labels, "toxic").collect()) == want
+    assert labelled.sample_rows(docs, labels, "toxic", 10).count() == 10 and labelled.sample_rows(docs.limit(0), labels, "toxic").count() == 0
+
+
+def test_toxicity_scores_by_hand():
+    """Scores, and the gradient that training follows, against their definitions word by word."""
+    import zlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = {"weights": rng.normal(size=toxicity.BUCKETS), "bias": -0.4}
+    scorer = toxicity.Scorer(model)
+    for text in ("One two two, THREE (two) one!", "é€ x" * 30, "a", "", "  \n ", "word " * 500 + "other"):
+        logits = []
+        for word in {w.strip(toxicity.EDGES) for w in text.lower().split()}:
+            grams = {f"<{word}>"[i : i + n] for n in (3, 5) for i in range(len(word) + 3 - n)} | {"\0" + word}
+            logits.append(sum(model["weights"][zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams) / len(grams))
+        logit = model["bias"] + (sum(logits) / len(logits) if logits else 0)
+        assert abs(scorer.score(text) - 1 / (1 + np.exp(-logit))) < 1e-9
+    grams = toxicity._Grams(["ab", "abc", "zz"])
+    batch = toxicity._Batch([np.array([0, 1]), np.array([2])], grams, np.ones(toxicity.BUCKETS, bool))
+    table, pull = rng.normal(size=(toxicity.BUCKETS + 1, toxicity.WIDTH)), rng.normal(size=(2, toxicity.WIDTH))
+    table[-1] = 0
+    got = batch.backward(pull)
+    for row in (0, len(batch.rows) // 2):
+        moved = table.copy()
+        moved[batch.rows[row], 2] += 1e-4
+        slope = ((batch.forward(moved) - batch.forward(table)) * pull).sum() / 1e-4
+        assert abs(slope - got[row, 2]) < 1e-4
+
+
+def test_quality_features_by_hand():
+    import math
+    import zlib
+
+    import numpy as np
+
+    def step(x):
+        return min(quality_fm.STEPS - 1, max(0, int(x * quality_fm.STEPS)))
+
+    for text in ("", "One two  two\nTHREE, 4!", "é é é\né é é", "x" * 300 + " 12345 67", "\n\n a. b. c."):
+        words, raw, lines = text.split(), text.encode(), text.split("\n")
+        m, k = max(1, len(raw)), len(words)
+        count = lambda ok: sum(map(ok, raw))
+        capitals, digits = count(lambda b: 65 <= b <= 90), count(lambda b: 48 <= b <= 57)
+        letters, spaces = capitals + count(lambda b: 97 <= b <= 122 or b >= 128), count(lambda b: b in b" \t\n\r")
+        want = [
+            math.log1p(k) / math.log1p(50_000), len(set(words)) / max(1, k), letters / m, capitals / m, 10 * digits / m, 2 * spaces / m, (m - letters - digits - spaces) / m, len(text) / max(1, k) / 24,
+            math.log1p(k / len(lines)) / math.log1p(2000), len(set(lines)) / len(lines), sum(not w[-1].isalnum() for w in words) / max(1, k), 4 * sum(a == b for a, b in zip(words, words[1:])) / max(1, k), math.log1p(len(text)) / math.log1p(1_000_000),
+        ]
+        index, value = quality_fm.features(text, quality_fm.Buckets())
+        hashed = sorted({zlib.crc32(w.encode()) % quality_fm.WORD_BUCKETS for w in words})
+        assert index.tolist() == hashed + [quality_fm.WORD_BUCKETS + i * quality_fm.STEPS + step(x) for i, x in enumerate(want)]
+        assert np.allclose(value, [1 / math.sqrt(max(1, len(hashed)))] * len(hashed) + [0.5] * len(want))
+
+
 def test_linear_time_identity():
     import numpy as np
 
