@@ -383,7 +383,8 @@ def links(sets: DataFrame, groups: DataFrame, firsts: DataFrame, n_sets: int, ke
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (the least id reachable by links, itself included), class_key (equal sets have equal keys), text_hash (xxhash64 of the text)."""
+    """id_col, n_shingles, component_id (the least id reachable by links, itself included), class_key (equal sets have equal keys), component_key (the same
+    for what is linked), text_hash (xxhash64 of the text)."""
     keep = Scratch()
     digest = stored(digests(docs, id_col, text_col), "digests")
     classes = digest.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("least"), F.min("text_hash").alias("h"), F.first("n_shingles").cast("int").alias("n"))
@@ -399,9 +400,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keep.drop()
     least = joined.groupBy("label").agg(F.min("least").alias("component"))
     of_class = classes.select("key", "least").join(joined.select(F.col("node").alias("key"), "label"), "key", "left").join(least, "label", "left")
-    of_class = of_class.select("key", F.coalesce("component", "least").alias("component"))
+    of_class = of_class.select("key", F.coalesce("component", "least").alias("component"), F.coalesce("label", "key").alias("component_key"))
     out = digest.join(of_class, "key", "left")
-    return out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), F.col("key").alias("class_key"), "text_hash")
+    return out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"), F.col("key").alias("class_key"), "component_key", "text_hash")
+
+
+def beside_first(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id_col, text_hash of what isn't the first of its component in jaccard_components: the row with its least id (null ids last), of several texts with this id the one with
+    the least hash. Rows that repeat id and text are one document; texts without shingles are their own component."""
+    leading = found.where(F.col("component_key").isNotNull() & F.col(id_col).eqNullSafe(F.col("component_id")))
+    least = leading.groupBy("component_key").agg(F.min("text_hash").alias("__first"))
+    also = leading.join(least, "component_key").where(F.col("text_hash") != F.col("__first"))
+    other = found.where(F.col("component_key").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
+    return other.select(id_col, "text_hash").unionByName(also.select(id_col, "text_hash")).distinct()
 
 
 def _buckets(shingles: float) -> int:

@@ -100,5 +100,5 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_key of every document."""
+    """doc_id, n_shingles, component_id, class_key, component_key, text_hash of every document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from oracle_llm import components, edit_distance_within
+from pyspark.sql import functions as F
 
 from hoistway.llm import components as cc
 from hoistway.llm import decontaminate, line_dedup, ngram_join, topk
@@ -65,6 +66,10 @@ def test_ngram_join_of_odd_rows(spark):
     least = {root: min((rows[i][0] for i, (_, r) in want.items() if r == root and rows[i][0] is not None), default=None) for _, root in want.values()}
     assert got == sorted((str(i), want[n][0], str(least[want[n][1]])) for n, (i, _) in enumerate(rows))
     assert [r for r in got if r[0] == "None" and r[2] == "4"]  # the bridge between 9 and 4 has no id
+    gone = ngram_join.beside_first(ngram_join.jaccard_components(df.unionByName(spark.createDataFrame([(4, c + " z", "d", 1, 2), (None, "lone text of a few words only", "d", 1, 2), (None, "", "d", 1, 2)], df.schema))))
+    left = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.text_hash = g.text_hash"), "left_anti")
+    kept = {(r.doc_id, r.text) for r in left.collect()}
+    assert {(4, far), (None, None), (2, rows[6][1]), (None, rows[8][1])} <= kept and not {(9, a), (None, b), (8, far + " end"), (6, rows[7][1])} & kept
 
 
 def test_ngram_join_with_many_groups(spark, monkeypatch):
