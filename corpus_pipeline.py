@@ -1,7 +1,7 @@
 """A corpus pipeline of the operators in hoistway.llm: each stage reads documents and hands on documents.
 
-run() writes what a stage keeps to the shared folder and reads it again, so a lost executor repeats one stage at most. Rows with a null or repeated doc_id
-are kept or dropped by their own text where a stage decides by text; a stage that decides by id treats rows of one id alike.
+run() writes what a stage keeps to the shared folder and reads it again, so a lost executor repeats one stage at most. Every stage decides on a row by its own
+text; where the id counts as well, a document is a doc_id with a text, so rows that repeat one id with other texts aren't lost with it.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of near copies; rows with a null doc_id stay."""
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """The first document of each component of near copies: the least doc_id, of rows without one only if all are. Rows that repeat an id and its text stay or go together."""
+    gone = ngram_join.beside_first(ngram_join.jaccard_components(docs.select("doc_id", "text"))).alias("g")
+    own = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("d")
+    return own.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__hash") == F.col("g.text_hash")), "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
