@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+
 US = 1_000_000
 
 
@@ -78,41 +80,35 @@ def flap_aware_cycles(door: DataFrame, th: Thresholds) -> DataFrame:
 
 
 def round_trips(door: DataFrame, home: str) -> DataFrame:
-    """From each closing at home to the next opening at home strictly later, with the stops between."""
-    w = era_order()
-    prev = F.coalesce(F.lag("door_state").over(w), F.lit(""))
-    is_close = (F.col("door_state") == "closed") & prev.isin("closing", "open")
-    is_open = (F.col("door_state") == "open") & (prev != "open")
-    rows = door.withColumns({"close": F.when(is_close, 1).otherwise(0), "open": F.when(is_open, 1).otherwise(0)})
-    rows = rows.withColumn("part", F.coalesce(F.sum("close").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    carry = F.last("floor", ignorenulls=True)
-    rows = rows.withColumn("close_floor", carry.over(era_order(*ERA, "part").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("open_floor", carry.over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    by_time = Window.partitionBy(*ERA).orderBy("ts_us")
-    rows = rows.withColumn("closes", F.sum("close").over(by_time.rangeBetween(Window.unboundedPreceding, 0)))
-    at_home = F.when((F.col("open") == 1) & (F.col("open_floor") == home), F.struct("ts_us", "closes"))
-    rows = rows.withColumn("back", F.first(at_home, ignorenulls=True).over(by_time.rangeBetween(1, Window.unboundedFollowing)))
-    found = rows.where((F.col("close") == 1) & (F.col("close_floor") == home) & F.col("back").isNotNull())
+    """From each closing at home to the next opening at home strictly later, with the stops between. A closing's floor is the last one read since the closing before it, an
+    opening's the last one read."""
+    at, carries = F.struct("ts_us", "id"), carry.last_before
+    rows = carries(carry.with_day(door), ERA, {"before": F.struct("door_state")})
+    prev = F.coalesce("before.door_state", F.lit(""))
+    is_close = F.coalesce((F.col("door_state") == "closed") & prev.isin("closing", "open"), F.lit(False))
+    is_open = F.coalesce((F.col("door_state") == "open") & (prev != "open"), F.lit(False))
+    rows = rows.withColumns({"close": is_close.cast("int"), "open": is_open})
+    rows = carries(rows, ERA, {"since": F.when(F.col("close") == 1, at)})
+    rows = carries(rows, ERA, {"read": F.when(F.col("floor").isNotNull(), F.struct(at.alias("at"), "floor"))}, own=True)
+    rows = carry.total_up_to(rows, ERA, {"closes": F.col("close")}, ties=True)
+    returns = F.when(F.col("open") & (F.col("read.floor") == home), F.struct("ts_us", "closes"))
+    # openings of the closing's own time don't count, so the first one after is looked up from the last row of each time
+    rows = carry.first_after(rows, ERA, {"back": returns})
+    last_of_time = F.max_by("back", at).over(Window.partitionBy(*ERA, carry.DAY, "ts_us"))
+    rows = rows.withColumn("back", last_of_time)
+    fresh = F.col("since").isNull() | (F.col("read.at") > F.col("since"))
+    found = rows.where((F.col("close") == 1) & (F.col("read.floor") == home) & fresh & F.col("back").isNotNull())
     return found.select(*ERA, "ts_us", F.col("back.ts_us").alias("back_us"), ((F.col("back.ts_us") - F.col("ts_us")) / US).alias("rtt_s"), (F.col("back.closes") - F.col("closes")).alias("n_stops"))
 
 
 def stops(door: DataFrame, th: Thresholds) -> DataFrame:
     """Entries into opening or open from another known state; closed at the first later closing in time, else after the limit; floor from the row
     itself, the first confident read until the close, or the last before, within the tolerance."""
-    w, limit, tol = era_order("cam"), int(th.no_close_s * US), int(th.tolerance_s * US)
-    known = F.last("door_state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    confident = F.col("floor").isNotNull() & F.col("reason").isin("ok", "single_panel")
+    limit, tol = int(th.no_close_s * US), int(th.tolerance_s * US)
+    confident = F.col("floor").isNotNull() & F.coalesce(F.col("reason").isin("ok", "single_panel"), F.lit(False))
     read = F.when(confident, F.struct("ts_us", "floor"))
-    ahead, behind = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = door.withColumns(
-        {
-            "known": known,
-            "shut": F.first(F.when(F.col("door_state") == "closed", F.col("ts_us")), ignorenulls=True).over(ahead),
-            "next_read": F.first(read, ignorenulls=True).over(ahead),
-            "last_read": F.last(read, ignorenulls=True).over(behind),
-            "sure": confident,
-        }
-    )
+    rows = carry.last_before(carry.with_day(door), ["cam"], {"known": F.col("door_state"), "last_read": read})
+    rows = carry.first_after(rows, ["cam"], {"shut": F.when(F.col("door_state") == "closed", F.col("ts_us")), "next_read": read}).withColumn("sure", confident)
     rows = rows.where("door_state IN ('opening', 'open') AND NOT coalesce(known, '') IN ('opening', 'open')")
     close = F.when(F.col("shut") - F.col("ts_us") <= limit, F.col("shut")).otherwise(F.col("ts_us") + limit)
     rows = rows.withColumn("close_us", close)

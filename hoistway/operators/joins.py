@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+
 US = 1_000_000
 
 
@@ -33,16 +35,15 @@ def declared_version(points: DataFrame, epochs: DataFrame) -> DataFrame:
 def nearest_window(points: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds distance_us: 0 within a window, else to the end of the previous or the start of the next one of the camera; null outside all windows' span.
     windows: cam, lo, hi. One pass over the union of both, ordered by time."""
-    marks = windows.select("cam", F.col("lo").alias("ts_us"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "lo", "hi")
-    rows = points.select("cam", "ts_us", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).unionByName(marks)
-    w = Window.partitionBy("cam").orderBy("ts_us", "kind", "id")
-    rows = rows.withColumns(
-        {
-            "end": F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "next": F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    )
+    marks = windows.select("cam", F.col("lo").alias("ts_us"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point"), "lo", "hi")
+    rows = points.select("cam", "ts_us", F.lit(1).alias("kind"), F.col("id").alias("point"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).unionByName(marks)
+    rows = carry.with_day(rows.withColumn("id", F.struct("kind", "point")))  # windows that start at a point's time come before it
+    w = Window.partitionBy("cam", carry.DAY).orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, 0)
+    days = rows.groupBy("cam", carry.DAY).agg(F.max("hi").alias("reach"))
+    days = days.withColumn("reach", F.max("reach").over(Window.partitionBy("cam").orderBy(carry.DAY).rowsBetween(Window.unboundedPreceding, -1)))
+    rows = carry.joined(rows.withColumn("own_end", F.max("hi").over(w)), days, ["cam"]).withColumn("end", F.greatest("own_end", "reach"))
+    rows = carry.first_after(rows, ["cam"], {"next": F.col("lo")})
     after = F.when(F.col("end").isNotNull(), F.greatest(F.lit(0), F.col("ts_us") - F.col("end")))
     before = F.col("next") - F.col("ts_us")
     inside_span = F.col("end").isNotNull() & (F.col("next").isNotNull() | (F.col("ts_us") <= F.col("end")))
-    return rows.where("kind = 1").select("cam", "id", "ts_us", F.when(inside_span, F.least(after, F.coalesce(before, after))).alias("distance_us"))
+    return rows.where("kind = 1").select("cam", F.col("point").alias("id"), "ts_us", F.when(inside_span, F.least(after, F.coalesce(before, after))).alias("distance_us"))

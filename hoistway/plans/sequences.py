@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import cycles, joins, leftovers
+from ..operators import carry, cycles, joins, leftovers
 from ..registry import query
 from ..sources import adapters as a
 
@@ -250,9 +250,10 @@ ses AS (SELECT cam, version, period, min(ts_us) AS start_us, max(ts_us) AS end_u
 
 def occupancy_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = a.transit(spark, sf_dir).withColumns({"version": F.when(F.col("ts_us") < a._day(16), "count-v1").otherwise("count-v2"), "step": F.when(F.col("direction") == "in", 1).otherwise(-1)})
-    w = cycles.era_order("cam")
-    new = F.lag("ts_us").over(w).isNull() | (F.col("ts_us") - F.lag("ts_us").over(w) > 3600 * US) | (F.col("version") != F.lag("version").over(w))
-    t = t.withColumn("new", new.cast("int")).withColumn("period", F.sum("new").over(w)).withColumn("raw", F.sum("step").over(cycles.era_order("cam", "period")))
+    t = carry.last_before(carry.with_day(t), ["cam"], {"prev": F.struct("ts_us", "version")})
+    new = F.col("prev").isNull() | (F.col("ts_us") - F.col("prev.ts_us") > 3600 * US) | (F.col("version") != F.col("prev.version"))
+    t = carry.total_up_to(t, ["cam"], {"period": new.cast("int")})
+    t = t.withColumn("raw", F.sum("step").over(cycles.era_order("cam", "period")))
     return t.groupBy("cam", "version", "period").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("n"), F.greatest(F.lit(0), F.max("raw")).alias("peak"), F.least(F.lit(0), F.min("raw")).alias("low"))
 
 
