@@ -47,3 +47,20 @@ def nearest_window(points: DataFrame, windows: DataFrame) -> DataFrame:
     before = F.col("next") - F.col("ts_us")
     inside_span = F.col("end").isNotNull() & (F.col("next").isNotNull() | (F.col("ts_us") <= F.col("end")))
     return rows.where("kind = 1").select("cam", F.col("point").alias("id"), "ts_us", F.when(inside_span, F.least(after, F.coalesce(before, after))).alias("distance_us"))
+
+
+def interval_overlap(a: DataFrame, b: DataFrame, slot_us: int) -> DataFrame:
+    """Pairs (as a and b) with the same cam and a.lo < b.hi and b.lo < a.hi. Both are copied into the slots they touch; a pair counts in the first slot that they share."""
+    slots = F.explode(F.sequence(F.floor(F.col("lo") / slot_us), F.floor(F.greatest(F.col("lo"), F.col("hi") - 1) / slot_us)))
+    a, b = a.withColumn("__slot", slots).alias("a"), b.withColumn("__slot", slots).alias("b")
+    first = F.greatest(F.floor(F.col("a.lo") / slot_us), F.floor(F.col("b.lo") / slot_us))
+    same = (F.col("a.cam") == F.col("b.cam")) & (F.col("a.__slot") == F.col("b.__slot")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi"))
+    return a.join(b, same & (F.col("a.__slot") == first))
+
+
+def with_overlap(rows: DataFrame, others: DataFrame, name: str, slot_us: int) -> DataFrame:
+    """Adds how much of each row (cam, lo, hi) the others cover; others of one cam don't overlap each other."""
+    pairs = interval_overlap(rows.select("cam", "lo", "hi").distinct(), others.select("cam", "lo", "hi"), slot_us)
+    shared = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
+    covered = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in ("cam", "lo", "hi")]).agg(F.sum(shared).alias(name))
+    return rows.join(covered, ["cam", "lo", "hi"], "left").withColumn(name, F.coalesce(name, F.lit(0)))

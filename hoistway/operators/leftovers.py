@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+
 US = 1_000_000
 DAY_US = 86_400 * US
 
@@ -40,6 +42,30 @@ def greedy_match(emitted: DataFrame, truth: DataFrame, tolerance_us: int) -> Dat
     return both.withColumn("task", F.pmod(F.xxhash64("cam", "island"), F.lit(64))).groupBy("task").applyInPandas(match, "cam string, emitted_us long, truth_us long, kind string")
 
 
+def tasks_for(rows: DataFrame, each: int = 50_000) -> int:
+    """How many tasks hold about ``each`` rows."""
+    return max(1, -(-rows.count() // each))
+
+
+def throttled(rows: DataFrame, least_us: int) -> DataFrame:
+    """The rows (cam, id, ts_us) kept if each needs least_us since the last one kept. What follows such a silence is always kept, so work is cut there."""
+    found = carry.last_before(carry.with_day(rows), ["cam"], {"prev": F.col("ts_us")})
+    found = carry.total_up_to(found, ["cam"], {"island": (F.col("prev").isNull() | (F.col("ts_us") - F.col("prev") >= least_us)).cast("int")})
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.sort_values(["ts_us", "id"], kind="stable").groupby(["cam", "island"], sort=False):
+            last = None
+            for r in part.itertuples():
+                if last is None or r.ts_us - last >= least_us:
+                    out.append((r.cam, r.id, r.ts_us))
+                    last = r.ts_us
+        return pd.DataFrame(out, columns=["cam", "id", "ts_us"])
+
+    task = F.pmod(F.xxhash64("cam", "island"), F.lit(tasks_for(rows)))
+    return found.select("cam", "id", "ts_us", "island", task.alias("task")).groupBy("task").applyInPandas(keep, "cam string, id long, ts_us long")
+
+
 def debounced_cycles(door: DataFrame, hold_us: int) -> DataFrame:
     """cam, door_version, cycles: runs of states that end within hold_us of their start are dropped, greedily, equal neighbours join, and closings count."""
 

@@ -60,7 +60,7 @@ q(
     "pf14_updown_admissible",
     """SELECT cam, door_version, n_confident, n_up, n_down, n_confident > 0 AND n_none = 0 AND n_up > 0 AND n_down > 0 AND greatest(n_up, n_down) <= 0.95 * (n_up + n_down) AS admissible FROM (
       SELECT cam, door_version, count(*) FILTER (WHERE floor IS NOT NULL AND reason IN ('ok', 'single_panel')) AS n_confident, count(*) FILTER (WHERE direction = 'up') AS n_up,
-        count(*) FILTER (WHERE direction = 'down') AS n_down, count(*) FILTER (WHERE direction IS NULL AND reason = 'ok' AND read_conf > 2) AS n_none FROM {door} GROUP BY cam, door_version)""",
+        count(*) FILTER (WHERE direction = 'down') AS n_down, count(*) FILTER (WHERE direction IS NOT NULL AND reason = 'ambiguous' AND k = 99 AND id % 5 = 0) AS n_none FROM {door} GROUP BY cam, door_version)""",
 )
 q(
     "pf15_non_regression",
@@ -315,7 +315,7 @@ q(
     """SELECT cam, CASE WHEN close_travel_s < 1 THEN '00-01' WHEN close_travel_s < 2 THEN '01-02' WHEN close_travel_s < 4 THEN '02-04' WHEN close_travel_s < 8 THEN '04-08' WHEN close_travel_s < 16 THEN '08-16' WHEN close_travel_s < 30 THEN '16-30' ELSE '30+' END AS bin, count(*) AS n
     FROM {door} WHERE close_travel_s IS NOT NULL GROUP BY 1, 2""",
 )
-q("sf18_content_hash", "SELECT id, md5(cam || '|' || coalesce(floor, '') || '|' || door_version) AS digest FROM {door} WHERE door_state = 'open'")
+q("sf18_content_hash", "SELECT id, SHA256(cam || '|' || coalesce(floor, '') || '|' || door_version) AS digest FROM {door} WHERE door_state = 'open'")
 
 # statistics
 q(

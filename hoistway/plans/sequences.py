@@ -316,9 +316,9 @@ def wn20_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sf17_cross_correlation",
-    """WITH e AS (SELECT vec_id, embedding AS v, list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS m FROM embeddings WHERE vec_id < 200), n AS (SELECT vec_id, list_transform(v, lambda x: CAST(x AS DOUBLE) - m) AS v FROM e)
+    """WITH e AS (SELECT vec_id, embedding AS v, list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS m FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: CAST(x AS DOUBLE) - m) AS v FROM e)
     SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v) > 0 THEN list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) ELSE 0 END, 6) AS ncc
-    FROM n a JOIN n b ON b.vec_id = a.vec_id + 1""".replace(" WHERE vec_id < 200", ""),
+    FROM n a JOIN n b ON b.vec_id = a.vec_id + 1""",
 )
 def sf17_cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

@@ -38,6 +38,7 @@ SPELLED = {
     "FLEET": ("array({0}, {1}, {2}, {3}, {4}, {5}, {6})", "list_value({0}, {1}, {2}, {3}, {4}, {5}, {6})"),
     "SPLITCHARS": ("split({0}, '')", "string_split({0}, '')"),
     "UNNEST": ("explode({0})", "unnest({0})"),
+    "SHA256": ("sha2({0}, 256)", "sha256({0})"),
     "MATCHES": ("{0} RLIKE {1}", "regexp_matches({0}, {1})"),
 }
 
@@ -84,4 +85,4 @@ def sql_query(name: str, sql: str) -> None:
     ORACLE_SQL[name] = duck
 
 
-from .plans import marts, more_marts, sequences, streams  # noqa: E402,F401  they register their queries
+from .plans import health, marts, more_marts, rules, sequences, streams  # noqa: E402,F401  they register their queries
