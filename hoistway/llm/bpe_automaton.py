@@ -27,7 +27,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_columns, text_or_empty
+from .common import built, map_columns, text_or_empty
 
 # The published pre-split pattern of this byte-level tokenizer; \p{White_Space} is what \s means in the tokenizers library.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -35,7 +35,7 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 WIDE = re.compile(r" \s|\s |\A | \Z").search
 #: Words whose ids a Python worker keeps; beyond it the table starts anew, which changes no result.
 KEPT_WORDS = 250_000
-KEPT_ARCS = 2_000_000
+KEPT_ARCS = 500_000
 #: Transitions of the byte table that a worker keeps; beyond it the table starts anew between words.
 KEPT_STEPS = 500_000
 
@@ -131,23 +131,23 @@ class MergeAutomaton:
     def _empty_table(self) -> None:
         """The byte table with its first state alone: at the trie's root, behind no label."""
         self.table: dict[int, int] = {}  # state << 8 | byte: next state << 20 | emitted label + 1
-        self.members: list[tuple] = [((0, -1),)]
+        self.members: list[tuple] = [(0,)]  # of each state: node << 20 | label before + 1
         self.numbers: dict[tuple, int] = {self.members[0]: 0}
 
     def _step(self, state: int, byte: int) -> int:
         """Makes one transition of the byte table."""
         after, emitted = [], -1
-        for node, before in self.members[state]:
-            node = self.nodes.get(node << 8 | byte, -1)
+        for member in self.members[state]:
+            node, before = self.nodes.get(member >> 20 << 8 | byte, -1), member & 0xFFFFF
             if node < 0:
                 continue
             if node in self.goes_on:
-                after.append((node, before))
+                after.append(node << 20 | before)
             label = self.ends.get(node, -1)
-            if label >= 0 and (before < 0 or self.has_arc(before, label)):
+            if label >= 0 and (not before or self.has_arc(before - 1, label)):
                 emitted = label
         if emitted >= 0:
-            after.append((0, emitted))
+            after.append(emitted + 1)
         members = tuple(after)
         number = self.numbers.setdefault(members, len(self.members))
         if number == len(self.members):
@@ -221,15 +221,9 @@ class _Kept(dict):
         return out
 
 
-_BUILT: dict[str, MergeAutomaton] = {}
-
-
-def built(key: str, spec: dict) -> MergeAutomaton:
+def _automaton(key: str, spec) -> MergeAutomaton:
     """One automaton for each Python worker and vocabulary."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = MergeAutomaton(spec)
-    return _BUILT[key]
+    return built("bpe", key, lambda: MergeAutomaton(spec.value))
 
 
 def _shared(df: DataFrame, path: str):
@@ -244,11 +238,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     key, spec = _shared(df, path)
 
     def run(ids, texts):
-        a = built(key, spec.value)
+        a = _automaton(key, spec)
         return {id_col: ids, "tokens": [np.frombuffer(a.encode(t), dtype="<u4").astype("int32") for t in texts.to_pylist()]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, tokens array<int>", 500)
+    return map_columns(df.select(id_col, text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, tokens array<int>", 500, "bpe")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
@@ -256,11 +250,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", tokens_col: str = "
     key, spec = _shared(df, path)
 
     def run(ids, tokens):
-        a = built(key, spec.value)
+        a = _automaton(key, spec)
         return {id_col: ids, "text": [a.decode(t or ()) for t in tokens.to_pylist()]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, tokens_col), run, f"{id_col} {kind}, text string", 500)
+    return map_columns(df.select(id_col, tokens_col), run, f"{id_col} {kind}, text string", 500, "bpe")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +262,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     key, spec = _shared(df, path)
 
     def run(ids, texts):
-        a = built(key, spec.value)
+        a = _automaton(key, spec)
         n, by_ids, by_text = [], [], []
         for t in texts.to_pylist():
             out = a.encode(t)
@@ -278,7 +272,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         return {id_col: ids, "n_tokens": n, "ids_sha256": by_ids, "decoded_sha256": by_text}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", 500)
+    return map_columns(df.select(id_col, text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", 500, "bpe")
 
 
 def with_tokens(df: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -286,9 +280,9 @@ def with_tokens(df: DataFrame, path: str, keep: list[str], text_col: str = "text
     key, spec = _shared(df, path)
 
     def run(*columns):
-        a = built(key, spec.value)
+        a = _automaton(key, spec)
         tokens = [np.frombuffer(a.encode(t), dtype="<u4").astype("int32") for t in columns[-1].to_pylist()]
         return dict(zip(keep, columns)) | {"n_tokens": [len(t) for t in tokens], "tokens": tokens}
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_columns(df.select(*keep, text_or_empty(text_col).alias("__t")), run, f"{kinds}, n_tokens long, tokens array<int>", 500)
+    return map_columns(df.select(*keep, text_or_empty(text_col).alias("__t")), run, f"{kinds}, n_tokens long, tokens array<int>", 500, "bpe")

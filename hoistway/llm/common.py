@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -59,10 +61,41 @@ class Scratch:
         self.made = []
 
 
-def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, rows: int = 0) -> DataFrame:
+#: What a Python worker has built and keeps for its next tasks: models and tables of one operator at a time.
+_BUILT: dict[str, object] = {}
+
+
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can, so that a worker's later tasks don't carry the peak of an earlier one."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def keep_only(kind: str) -> None:
+    """Drops what other operators have built in this worker."""
+    if other := [k for k in _BUILT if k.partition(":")[0] != kind]:
+        for k in other:
+            del _BUILT[k]
+        give_back()
+
+
+def built(kind: str, key: str, make: Callable[[], object], most: int = 1):
+    """What make() gives, once for each Python worker and key; ``most`` things of a kind are kept."""
+    name = f"{kind}:{key}"
+    if name not in _BUILT:
+        keep_only(kind)
+        while len(_BUILT) >= most:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[name] = make()
+    return _BUILT[name]
+
+
+def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, rows: int = 0, kind: str = "") -> DataFrame:
     """mapInArrow over column lists: fn gets each input column of a batch as a pyarrow array and returns columns by name.
 
-    ``rows`` above 0 cuts batches into slices of that many rows, which bounds a task's memory for long texts.
+    ``rows`` above 0 cuts batches into slices of that many rows, which bounds a task's memory for long texts. ``kind`` names what fn keeps by built().
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -70,6 +103,7 @@ def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str,
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(kind)
         for whole in batches:
             step = rows or max(1, whole.num_rows)
             for at in range(0, whole.num_rows, step):

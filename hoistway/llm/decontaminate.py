@@ -27,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, text_or_empty
+from .common import built, map_columns, stored, text_or_empty
 
 #: Production parameters: longest q-grams, edits allowed as a share of the item's length, characters of the items of a broadcast block.
 Q, BUDGET, BLOCK_CHARS = 8, 0.1, 1_000_000
 #: Length of the second filter's q-grams, characters of text that share its look-up, q-gram entries and alignments worked on at a time.
 FINE, STRETCH, ENTRIES, ALIGNED = 4, 128, 1 << 20, 512
+#: Blocks that one scan of clean() looks for, so that a task holds no more tables.
+TOGETHER = 4
 #: Odd multiplier of the rolling code; bits of the first filter's index and of the second's.
 STEP, FILTER_BITS, FINE_BITS = np.uint64(0x9E3779B97F4A7C15), 22, 16
 
@@ -281,15 +283,9 @@ def _verify(g: Grams, items: Items, texts: list[str], points: np.ndarray, starts
                 best[key] = (int(cost[c]), int(begin[c]), int(end[c]))
 
 
-_BUILT: dict[str, Items] = {}
-
-
 def _built(key: str, sent) -> Items:
     """One table for each Python worker and block."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Items(sent.value)
-    return _BUILT[key]
+    return built("items", key, lambda: Items(sent.value), TOGETHER)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +307,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 "passage": [compared(texts[d])[s:e] for d, _, s, e, _ in found],
             }
 
-        part = map_columns(read, scan, f"{id_col} {kind}, item_id long, start int, end int, distance int, passage string", 300)
+        part = map_columns(read, scan, f"{id_col} {kind}, item_id long, start int, end int, distance int, passage string", 300, "items")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -339,6 +335,8 @@ def _blocks(benchmark: DataFrame):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs in which no item occurs, with all their columns."""
-    for key, sent in _blocks(benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.lit(-1)))):
+    for n, (key, sent) in enumerate(_blocks(benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), F.lit(-1))))):
+        if n and n % TOGETHER == 0:
+            docs = stored(docs, "clean")
         docs = docs.where(~_judge(key, sent)(text_or_empty(text_col)))
     return docs

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, keep_only
+
 #: Most labelled rows that a classifier learns from; a documented bound, whatever the corpus.
 TRAIN_ROWS = 5000
 
@@ -42,12 +44,16 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[list
     """The model that ``train`` makes of the sample. It runs in one task, which a lost executor repeats; the driver gets the model alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("")
         texts, y = [], []
         for b in batches:
             texts += b.column(0).to_pylist()
             y += b.column(1).to_pylist()
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y))], pa.binary())], names=["model"])
+            model = pickle.dumps(train(texts, y))
+            texts.clear()
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     made = sample_rows(docs, labels, label, rows).coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(made[0][0])) if made else train([], [])

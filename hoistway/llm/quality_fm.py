@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_columns, text_or_empty
+from .common import built, map_columns, text_or_empty
 from .labelled import held_out
 
 #: Production parameters: buckets of words, factors, passes, texts of a batch, first step, decay of words' factors; steps of a statistic.
@@ -123,21 +123,15 @@ def train(texts: list[str], y: list[int], seed: int = 11) -> dict:
     return {"bias": bias, "linear": linear, "factors": factors}
 
 
-_BUILT: dict[str, tuple[dict, Buckets]] = {}
-
-
 def scores(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """id_col, held_out, score, predicted. The model's size is set by its parameters, not by the corpus."""
     sent = df.sparkSession.sparkContext.broadcast({"bias": model["bias"], "linear": model["linear"].astype("f4"), "factors": model["factors"].astype("f4")})
     key = uuid.uuid4().hex
 
     def run(ids, held, texts):
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = sent.value, Buckets()
-        model, buckets = _BUILT[key]
+        model, buckets = built("quality", key, lambda: (sent.value, Buckets()))
         s = [float(1 / (1 + np.exp(-np.clip(raw_score(model, *features(t, buckets)), -60, 60)))) for t in texts.to_pylist()]
         return {id_col: ids, "held_out": held, "score": s, "predicted": [int(x >= threshold) for x in s]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, held_out(id_col).alias("h"), text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, held_out boolean, score double, predicted int", 1000)
+    return map_columns(df.select(id_col, held_out(id_col).alias("h"), text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, held_out boolean, score double, predicted int", 1000, "quality")

@@ -18,7 +18,7 @@ import hashlib
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .common import map_columns, text_or_empty
+from .common import built, map_columns, text_or_empty
 
 #: The mark of a word's start, and what an unknown character costs beyond the lowest score.
 MARK, UNKNOWN_COST = "▁", 10.0
@@ -100,24 +100,14 @@ class UnigramCounter(dict):
         return sum(map(self.__getitem__, words[not words[0] :]))
 
 
-_BUILT: dict[str, UnigramCounter] = {}
-
-
-def built(key: str, vocab, byte_fallback: bool) -> UnigramCounter:
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = UnigramCounter(vocab, byte_fallback)
-    return _BUILT[key]
-
-
 def token_counts(df: DataFrame, vocab: list[tuple[str, float]], byte_fallback: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens. The vocabulary is sent to the executors: its size doesn't depend on the corpus."""
     key = hashlib.sha256(repr((vocab, byte_fallback)).encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(vocab)
 
     def run(ids, texts):
-        counter = built(key, sent.value, byte_fallback)
+        counter = built("unigram", key, lambda: UnigramCounter(sent.value, byte_fallback))
         return {id_col: ids, "n_tokens": [counter.total(t) for t in texts.to_pylist()]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, n_tokens long", 1000)
+    return map_columns(df.select(id_col, text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, n_tokens long", 1000, "unigram")

@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, text_or_empty
+from .common import built, map_columns, text_or_empty
 from .labelled import held_out
 
 #: Production parameters: hashed rows, width, n-gram lengths, texts in which a trained row occurs at least, passes, texts of a batch, first step.
 BUCKETS, WIDTH, LENGTHS, MIN_TEXTS, PASSES, BATCH, STEP = 1 << 18, 8, (3, 5), 5, 12, 64, 0.8
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 #: Signs cut from both ends of a word.
 EDGES = ".,;:!?\"'()[]{}|%&$#*-_"
 
@@ -188,22 +188,17 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-_BUILT: dict[str, Scorer] = {}
-
-
 def scores(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """id_col, held_out, score, predicted."""
     sent, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(ids, held, texts):
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Scorer(sent.value)
-        s = [_BUILT[key].score(t) for t in texts.to_pylist()]
+        scorer = built("toxicity", key, lambda: Scorer(sent.value))
+        s = [scorer.score(t) for t in texts.to_pylist()]
         return {id_col: ids, "held_out": held, "score": s, "predicted": [int(x >= threshold) for x in s]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, held_out(id_col).alias("h"), text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, held_out boolean, score double, predicted int", 1000)
+    return map_columns(df.select(id_col, held_out(id_col).alias("h"), text_or_empty(text_col).alias("t")), run, f"{id_col} {kind}, held_out boolean, score double, predicted int", 1000, "toxicity")
 
 
 def keep_below(df: DataFrame, model: dict, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -211,9 +206,7 @@ def keep_below(df: DataFrame, model: dict, threshold: float = 0.5, text_col: str
     sent, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def below(texts: pd.Series) -> pd.Series:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Scorer(sent.value)
-        return pd.Series([_BUILT[key].score(t) < threshold for t in texts])
+        scorer = built("toxicity", key, lambda: Scorer(sent.value))
+        return pd.Series([scorer.score(t) < threshold for t in texts])
 
     return df.where(F.pandas_udf(below, "boolean")(text_or_empty(text_col)))
