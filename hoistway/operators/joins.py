@@ -64,3 +64,10 @@ def with_overlap(rows: DataFrame, others: DataFrame, name: str, slot_us: int) ->
     shared = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
     covered = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in ("cam", "lo", "hi")]).agg(F.sum(shared).alias(name))
     return rows.join(covered, ["cam", "lo", "hi"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def attributed(points: DataFrame, episodes: DataFrame, pad_us: int, slot_us: int = 6 * 3600 * US) -> DataFrame:
+    """points whose episode_id is null get the least id of the episodes around them, if any; what is set stays."""
+    spans = episodes.select("cam", F.col("id").alias("found"), (F.col("start_us") - pad_us).alias("lo"), (F.col("end_us") + pad_us).alias("hi"))
+    best = point_in_interval(points.where("episode_id IS NULL"), spans, "lo", "hi", slot_us).groupBy("p.id").agg(F.min("i.found").alias("found"))
+    return points.join(best, "id", "left").withColumn("episode_id", F.coalesce("episode_id", "found")).drop("found")

@@ -19,8 +19,9 @@ def greedy_match(emitted: DataFrame, truth: DataFrame, tolerance_us: int) -> Dat
     """cam, emitted_us, truth_us, kind: emissions in time order take the nearest unused truth within the tolerance (the earlier of two equally near);
     kind is matched, unmatched (emission alone) or missed (truth alone). Work is cut at silences longer than the tolerance: no match crosses one."""
     both = emitted.select("cam", "ts_us", F.lit(0).alias("kind")).unionByName(truth.select("cam", "ts_us", F.lit(1).alias("kind")))
-    w = Window.partitionBy("cam").orderBy("ts_us", "kind")
-    both = both.withColumn("new", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > tolerance_us).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w))
+    both = carry.last_before(carry.with_day(both.withColumn("id", F.col("kind"))), ["cam"], {"prev": F.struct("ts_us")})
+    both = carry.total_up_to(both, ["cam"], {"island": F.coalesce((F.col("ts_us") - F.col("prev.ts_us") > tolerance_us).cast("int"), F.lit(1))}, ties=True)
+    both = both.select("cam", "ts_us", "kind", "island")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -39,7 +40,7 @@ def greedy_match(emitted: DataFrame, truth: DataFrame, tolerance_us: int) -> Dat
         out = pd.DataFrame(rows, columns=["cam", "emitted_us", "truth_us", "kind"])
         return out.astype({"emitted_us": "Int64", "truth_us": "Int64"})
 
-    return both.withColumn("task", F.pmod(F.xxhash64("cam", "island"), F.lit(64))).groupBy("task").applyInPandas(match, "cam string, emitted_us long, truth_us long, kind string")
+    return both.withColumn("task", F.pmod(F.xxhash64("cam", "island"), F.lit(tasks_for(both)))).groupBy("task").applyInPandas(match, "cam string, emitted_us long, truth_us long, kind string")
 
 
 def tasks_for(rows: DataFrame, each: int = 50_000) -> int:
@@ -67,58 +68,95 @@ def throttled(rows: DataFrame, least_us: int) -> DataFrame:
 
 
 def debounced_cycles(door: DataFrame, hold_us: int) -> DataFrame:
-    """cam, door_version, cycles: runs of states that end within hold_us of their start are dropped, greedily, equal neighbours join, and closings count."""
+    """cam, door_version, runs, cycles: runs of states that end within hold_us of their start are dropped, greedily, equal neighbours join, and closings count.
+    Behind a silence of hold_us nothing before it is dropped any more, so work is cut there: a part needs only the state that it starts from."""
+    keys = ["cam", "door_version"]
+    rows = carry.with_day(door.where("door_state IS NOT NULL").select(*keys, "ts_us", "id", "door_state"))
+    rows = carry.last_before(rows, keys, {"before": F.struct("ts_us", "door_state")})
+    rows = carry.total_up_to(rows, keys, {"part": (F.col("before").isNull() | (F.col("ts_us") - F.col("before.ts_us") >= hold_us)).cast("int")})
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "id"], kind="stable")
-        states, starts = [], []
-        times, names = pdf["ts_us"].tolist(), pdf["door_state"].tolist()
-        for t, s in zip(times, names):
-            if states and states[-1] == s:
-                continue
-            if states and t - starts[-1] < hold_us:
-                states.pop(), starts.pop()
+        out = []
+        for key, part in pdf.sort_values(["ts_us", "id"], kind="stable").groupby([*keys, "part"], sort=False):
+            entry = part["entry"].iloc[0]
+            states, starts = ([entry], [-(1 << 62)]) if isinstance(entry, str) else ([], [])
+            known = len(states)
+            for t, s in zip(part["ts_us"].tolist(), part["door_state"].tolist()):
                 if states and states[-1] == s:
                     continue
-            states.append(s), starts.append(t)
-        n = sum(b == "closed" and a in ("closing", "open") for a, b in zip(states, states[1:]))
-        return pd.DataFrame({"cam": [pdf["cam"].iloc[0]], "door_version": [pdf["door_version"].iloc[0]], "runs": [len(states)], "cycles": [n]})
+                if states and t - starts[-1] < hold_us:
+                    states.pop(), starts.pop()
+                    if states and states[-1] == s:
+                        continue
+                states.append(s), starts.append(t)
+            out.append((*key[:2], len(states) - known, sum(b == "closed" and a in ("closing", "open") for a, b in zip(states, states[1:]))))
+        return pd.DataFrame(out, columns=["cam", "door_version", "runs", "cycles"])
+
+    task = F.pmod(F.xxhash64(*keys, "part"), F.lit(tasks_for(rows)))
+    parts = rows.select(*keys, "part", "ts_us", "id", "door_state", F.col("before.door_state").alias("entry"), task.alias("task")).groupBy("task").applyInPandas(walk, "cam string, door_version string, runs long, cycles long")
+    return parts.groupBy(*keys).agg(F.sum("runs").alias("runs"), F.sum("cycles").alias("cycles"))
+
+
+def committed(seen: DataFrame, settle_us: int) -> DataFrame:
+    """cam, id, lo, hi: of intervals detected again and again (cam, id, lo, hi, seen_us), in the order they were seen, those that have settled (seen settle_us or more behind
+    their end) and don't overlap one committed before. Work is cut where no interval reaches, which bounds it; groups go to tasks by a hash."""
+    rows = carry.with_day(seen.withColumns({"ts_us": F.col("lo"), "order": F.struct("hi", "seen_us", "id")}).withColumnRenamed("id", "row").withColumn("id", F.col("order")))
+    reach = rows.groupBy("cam", carry.DAY).agg(F.max("hi").alias("__reach"))
+    reach = reach.withColumn("__reach", F.max("__reach").over(Window.partitionBy("cam").orderBy(carry.DAY).rowsBetween(Window.unboundedPreceding, -1)))
+    within = F.max("hi").over(Window.partitionBy("cam", carry.DAY).orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = carry.joined(rows.withColumn("__within", within), reach, ["cam"]).withColumn("upto", F.greatest("__within", "__reach"))
+    rows = carry.total_up_to(rows, ["cam"], {"island": (F.col("upto").isNull() | (F.col("lo") >= F.col("upto"))).cast("int")})
+
+    def commit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (cam, _), part in pdf.sort_values(["seen_us", "lo", "hi", "row"], kind="stable").groupby(["cam", "island"], sort=False):
+            taken: list[tuple[int, int]] = []
+            for r in part.itertuples():
+                if r.seen_us - r.hi >= settle_us and not any(r.lo < hi and lo < r.hi for lo, hi in taken):
+                    taken.append((r.lo, r.hi))
+                    out.append((cam, r.row, r.lo, r.hi))
+        return pd.DataFrame(out, columns=["cam", "id", "lo", "hi"])
+
+    task = F.pmod(F.xxhash64("cam", "island"), F.lit(tasks_for(rows)))
+    return rows.select("cam", "island", "row", "lo", "hi", "seen_us", task.alias("task")).groupBy("task").applyInPandas(commit, "cam string, id long, lo long, hi long")
+
 
-    return door.where("door_state IS NOT NULL").select("cam", "door_version", "ts_us", "id", "door_state").groupBy("cam", "door_version").applyInPandas(walk, "cam string, door_version string, runs long, cycles long")
+def on_grid(values: np.ndarray, q: float) -> np.ndarray:
+    """Which values lie within max(3 ms, 2 %) of a positive multiple of q."""
+    steps = np.round(values / q)
+    return (steps >= 1) & (np.abs(values - steps * q) <= max(0.003, 0.02 * q))
 
 
 def quantum_of(values: np.ndarray, counts: np.ndarray) -> float | None:
-    """The sampling step in a pool of values: candidates are the most frequent values and their differences, clustered within max(3 ms, 2 %), refined three times by
-    least squares; the largest with at least 55 % of the pool on its grid. Null below 30 values."""
+    """The sampling step in a pool of positive values at millisecond steps: candidates are the twelve most frequent values and the differences of neighbours among them, 5 ms at
+    least; those within max(3 ms, 2 %) of a cluster's first are one, for which its most frequent member stands; each is refined three times by
+    least squares, and the largest with at least 55 % of the pool on its grid is the step. Null below 30 values. Of equal counts the smaller value comes first."""
     if counts.sum() < 30:
         return None
-    top = np.sort(values[np.argsort(-counts, kind="stable")[:12]])
-    raw = np.sort(np.concatenate([top, np.diff(top)]))
-    found, group = [], []
-    for x in raw[raw > 0.02]:
-        if group and x - group[0] > max(0.003, 0.02 * group[0]):
-            found.append(float(np.mean(group)))
-            group = []
-        group.append(x)
-    found += [float(np.mean(group))] if group else []
+    often = dict(zip(values.tolist(), counts.tolist()))
+    top = np.sort(values[np.lexsort((values, -counts))[:12]])
+    raw = sorted({x for x in [*top.tolist(), *np.round(np.diff(top), 3).tolist()] if x >= 0.005})
+    clusters: list[list[float]] = []
+    for x in raw:
+        if clusters and x - clusters[-1][0] <= max(0.003, 0.02 * x):
+            clusters[-1].append(x)
+        else:
+            clusters.append([x])
     best = None
-    for q in found:
+    for q in [max(c, key=lambda x: often.get(x, 0)) for c in clusters]:
         for _ in range(3):
-            steps = np.round(values / q)
-            on = (steps > 0) & (np.abs(values - steps * q) <= max(0.003, 0.02 * q))
+            on, steps = on_grid(values, q), np.round(values / q)
             if not on.any():
                 break
             q = float((counts[on] * values[on] * steps[on]).sum() / (counts[on] * steps[on] ** 2).sum())
-        steps = np.round(values / q)
-        share = counts[(steps > 0) & (np.abs(values - steps * q) <= max(0.003, 0.02 * q))].sum() / counts.sum()
-        if share >= 0.55 and (best is None or q > best):
+        if counts[on_grid(values, q)].sum() / counts.sum() >= 0.55 and (best is None or q > best):
             best = q
     return best
 
 
 def sampling_quantum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n, quantum_s. Values are counted at millisecond steps first, so a group is at most its distinct values."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.round(F.col(value), 3).alias("v")).agg(F.count("*").alias("c"))
+    """keys, n, quantum_s. Positive values are counted at millisecond steps first, so a group is at most its distinct values."""
+    counted = df.where(F.col(value) > 0).groupBy(*keys, F.round(F.col(value), 3).alias("v")).agg(F.count("*").alias("c"))
 
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
@@ -199,4 +237,4 @@ def descents(samples: DataFrame, near_open: float, close_at: float) -> DataFrame
             rows.append((key, len(times), (times[found[1]] - times[found[0]]) / US if found else None, ramp(times, values)))
         return pd.DataFrame(rows, columns=["window_id", "n", "descent_s", "ramp_s"])
 
-    return samples.withColumn("task", F.pmod(F.xxhash64("window_id"), F.lit(64))).groupBy("task").applyInPandas(measure, "window_id long, n long, descent_s double, ramp_s double")
+    return samples.withColumn("task", F.pmod(F.xxhash64("window_id"), F.lit(tasks_for(samples)))).groupBy("task").applyInPandas(measure, "window_id long, n long, descent_s double, ramp_s double")

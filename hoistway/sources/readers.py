@@ -16,9 +16,9 @@ def ndjson(spark: SparkSession, path: str, ddl: str, stream: bool = False) -> tu
     return parsed.where(~bad).select([f"r.{f.name}" for f in struct(ddl)]), parsed.where(bad).select("value")
 
 
-def comment_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def comment_csv(spark: SparkSession, path: str, ddl: str, header: bool = True) -> DataFrame:
     """CSV whose leading lines with # are notes."""
-    return spark.read.csv(path, schema=struct(ddl), header=True, comment="#")
+    return spark.read.csv(path, schema=struct(ddl), header=header, comment="#")
 
 
 def log_samples(spark: SparkSession, path: str, pattern: str, fields: dict[str, str]) -> DataFrame:
@@ -27,12 +27,12 @@ def log_samples(spark: SparkSession, path: str, pattern: str, fields: dict[str,
     return line.select([F.regexp_extract("value", pattern, i).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields.items(), 1)])
 
 
-def sidecar(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A JSON sidecar; a missing or unreadable one is empty, that is unknown."""
+def sidecar(spark: SparkSession, path: str, ddl: str, multi_line: bool = True) -> DataFrame:
+    """JSON sidecars, one a file or one a line; a missing or unreadable one is empty, that is unknown."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(struct(ddl)).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
+        return spark.read.schema(struct(ddl)).option("mode", "DROPMALFORMED").option("multiLine", multi_line).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

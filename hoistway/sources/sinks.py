@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -9,6 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset and driver and executors are one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="hoistway-")
+    return at.rstrip("/")
+
+
+class RunLedger:
+    """An append-only table of runs: stage, start, seconds, rows and error of each. Keeping the ledger never fails a run."""
+
+    def __init__(self, spark: SparkSession, path: str, keep_days: float = 14) -> None:
+        self.spark, self.path, self.keep_s = spark, path, keep_days * 86_400
+
+    def run(self, stage: str, work: Callable[[], int | None]):
+        """What work gives; its duration goes to the ledger, its error too before it is raised again."""
+        began, rows, error = time.time(), None, None
+        try:
+            rows = work()
+            return rows
+        except Exception as e:
+            error = f"{type(e).__name__}: {str(e)[:200]}"
+            raise
+        finally:
+            try:
+                one = [(stage, began, time.time() - began, rows if isinstance(rows, int) else None, error)]
+                self.spark.createDataFrame(one, "stage string, began double, seconds double, n_rows long, error string").write.mode("append").parquet(self.path)
+            except Exception as e:  # noqa: BLE001  a ledger that can't be written must not stop the work
+                print(f"run ledger: {type(e).__name__}: {str(e)[:200]}", file=sys.stderr)
+
+    def read(self, now: float) -> DataFrame:
+        """The runs of the last keep_days."""
+        return self.spark.read.parquet(self.path).where(F.col("began") >= now - self.keep_s)
+
+
 def materialise(df: DataFrame, path: str, keys: list[str], now: float) -> None:
     """Replaces the partitions that df holds, and no others, so a rerun of an era is idempotent."""
     df.withColumn("computed_at", F.lit(now)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

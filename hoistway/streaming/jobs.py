@@ -6,13 +6,15 @@ batch and stream are compared."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.sinks import shared_dir
+
 US = 1_000_000
 STATES = ("closed", "opening", "open", "closing")
 
@@ -126,12 +128,21 @@ def audited_episodes(records: DataFrame, gap_us: int, longest_us: int) -> DataFr
     return records.groupBy("cam").applyInPandasWithState(step, out, EPISODE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
-    import tempfile
+def send_batches(stream: DataFrame, sender: Callable[[str, list[str], str], None], url: str, what: str, rows: int = 500):
+    """Starts a query that hands each micro-batch to sender(url, lines of JSON, what) from its partitions, at most ``rows`` lines a call. The sender is pickled to the
+    executors; a batch may be sent again after a failure, so receivers deduplicate."""
+
+    def post(lines: Iterator) -> None:
+        held: list[str] = []
+        for line in lines:
+            held.append(line[0])
+            if len(held) >= rows:
+                sender(url, held, what)
+                held = []
+        if held:
+            sender(url, held, what)
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (at or tempfile.mkdtemp(prefix="hoistway-stream-")).rstrip("/")
+    return stream.writeStream.trigger(availableNow=True).foreachBatch(lambda df, _: df.select(F.to_json(F.struct(*df.columns))).foreachPartition(post)).start()
 
 
 def run_available(stream: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 US = 1_000_000
@@ -174,6 +175,10 @@ def edge_cycles(samples: DataFrame, p: Edge | None = None) -> DataFrame:
         "values array<double>, state string, start long, full long, close long, below long, last long, abandoned long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: How long a track's state is kept without samples (longer than a track may be unseen), and how late a sample may come.
+IDLE_MS, LATE = 60_000, "10 minutes"
+
+
 class TrackCounter:
     """One track: armed after two samples in a zone, counted after two in the other one at least 0.35 away; a track unseen for six seconds starts anew."""
 
@@ -203,14 +208,20 @@ class TrackCounter:
 
 
 def track_transits(frames: DataFrame) -> DataFrame:
-    """cam, track_id, ts_us, outcome (in, out, rejected) from a stream of track samples (cam, track_id, ts_us, zone, y)."""
+    """cam, track_id, ts_us, outcome (in, out, rejected) from a stream of track samples (cam, track_id, ts_us, zone, y). A track unseen when the watermark is
+    IDLE_MS behind its last sample is forgotten: it would start anew in any case. Samples later than LATE are dropped."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         counter, rows = TrackCounter(state.get if state.exists else None), []
         for r in pd.concat(list(batches)).sort_values("ts_us", kind="stable").itertuples():
             if outcome := counter.step(int(r.ts_us), r.zone if isinstance(r.zone, str) else None, float(r.y)):
                 rows.append((key[0], int(key[1]), int(r.ts_us), outcome))
         state.update(counter.saved())
+        state.setTimeoutTimestamp(max(counter.last // 1000 + IDLE_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["cam", "track_id", "ts_us", "outcome"])
 
-    return frames.groupBy("cam", "track_id").applyInPandasWithState(run, "cam string, track_id long, ts_us long, outcome string", "zone string, frames long, origin string, at double, last long", "append", GroupStateTimeout.NoTimeout)
+    timed = frames.withColumn("__at", F.timestamp_micros("ts_us")).withWatermark("__at", LATE)
+    return timed.groupBy("cam", "track_id").applyInPandasWithState(run, "cam string, track_id long, ts_us long, outcome string", "zone string, frames long, origin string, at double, last long", "append", GroupStateTimeout.EventTimeTimeout)
