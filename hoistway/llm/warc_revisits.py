@@ -5,9 +5,9 @@ same canonical URL (an as-of join on (date, record id)): if the validators that
 revisit, and the response's headers are merged with those fields that a 304 may update. If they disagree, or there is no validator in common or no
 earlier response, the revisit stays unresolved and says why; no older response is tried.
 
-Plan: the as-of join is a running last() over (URL, day, date, id), so that even a URL with a third of all rows is split by day; a day whose first
-revisit comes before its first response takes the last response of an earlier day, found by a second running last() over one
-row for each URL and day. Only ids, dates and headers pass the windows; payloads are joined afterwards by the response's id, if asked for.
+Plan: the as-of join is a running last() over (URL, hour, date, id), so that even a URL with a third of all rows is split by hour; an hour whose first
+revisit comes before its first response takes the last response of an earlier hour, found by a second running last() over one
+row for each URL and hour. Only ids, dates and headers pass the windows; payloads are joined afterwards by the response's id, if asked for.
 
 Defined results: a null URL or date matches nothing (status no_original); repeated records each get a row; equal dates are ordered by record id;
 header names compare without case and come out in lower case; the last of repeated fields counts. Columns other than those of RECORD are ignored.
@@ -44,17 +44,17 @@ def _etag(headers: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """A row for each revisit: record_id, canonical_url, date, response_id, status, headers (merged where resolved, else its own)."""
     r = records.select("record_id", "warc_type", canonical_url(F.col("target_uri")).alias("url"), "date", _lower_names(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))).alias("headers")).where(F.col("warc_type").isin("response", "revisit"))
-    r = r.withColumn("day", F.to_date("date"))
+    r = r.withColumn("hour", F.floor(F.unix_seconds("date") / 3600))
     full = F.when((F.col("warc_type") == "response") & F.col("date").isNotNull(), F.struct("record_id", "headers"))
     known = r.where(F.col("url").isNotNull() & F.col("date").isNotNull())
-    within = Window.partitionBy("url", "day").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = known.withColumn("same_day", F.last(full, ignorenulls=True).over(within)).where("warc_type = 'revisit'")
-    days = known.where("warc_type = 'response'").groupBy("url", "day").agg(F.max_by(F.struct("record_id", "headers"), F.struct("date", "record_id")).alias("last"))
-    wanted = seen.where("same_day IS NULL").select("url", "day").distinct()
-    line = days.select("url", "day", "last").unionByName(wanted.withColumn("last", F.lit(None).cast(days.schema["last"].dataType)))
-    line = line.withColumn("n", F.datediff("day", F.lit("1970-01-01"))).withColumn("earlier", F.last("last", ignorenulls=True).over(Window.partitionBy("url").orderBy("n").rangeBetween(Window.unboundedPreceding, -1)))
-    carried = line.where("last IS NULL AND earlier IS NOT NULL").select("url", "day", "earlier")
-    joined = seen.join(carried, ["url", "day"], "left").withColumn("original", F.coalesce("same_day", "earlier"))
+    within = Window.partitionBy("url", "hour").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = known.withColumn("same_hour", F.last(full, ignorenulls=True).over(within)).where("warc_type = 'revisit'")
+    hours = known.where("warc_type = 'response'").groupBy("url", "hour").agg(F.max_by(F.struct("record_id", "headers"), F.struct("date", "record_id")).alias("last"))
+    wanted = seen.where("same_hour IS NULL").select("url", "hour").distinct()
+    line = hours.select("url", "hour", "last").unionByName(wanted.withColumn("last", F.lit(None).cast(hours.schema["last"].dataType)))
+    line = line.withColumn("earlier", F.last("last", ignorenulls=True).over(Window.partitionBy("url").orderBy("hour").rangeBetween(Window.unboundedPreceding, -1)))
+    carried = line.where("last IS NULL AND earlier IS NOT NULL").select("url", "hour", "earlier")
+    joined = seen.join(carried, ["url", "hour"], "left").withColumn("original", F.coalesce("same_hour", "earlier"))
     lost = r.where("warc_type = 'revisit' AND (url IS NULL OR date IS NULL)").withColumn("original", F.lit(None).cast(joined.schema["original"].dataType))
     cols = ["record_id", "url", "date", "headers", "original"]
     return _checked(joined.select(cols).unionByName(lost.select(cols)))

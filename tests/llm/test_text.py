@@ -162,6 +162,29 @@ def test_revisits(spark):
     assert got[3][:2] == ("validator_mismatch", None) and got[4][0] == got[5][0] == got[6][0] == "no_original" and got[7][0] == "no_validator"
     assert got[9] == ("resolved", 8, {"last-modified": "m", "expires": "e"}) and len(got) == 7
     assert warc_revisits.resolve(df.limit(0)).count() == 0
+    more = df.unionByName(df.where("record_id IN (1, 2)")).withColumns({c: F.lit("x") for c in ("url", "hour", "last", "status", "payload")})
+    again = [(r.record_id, r.status, r.response_id) for r in warc_revisits.resolve(more).collect()]
+    assert sorted(again) == sorted([(i, s, o) for i, (s, o, _) in got.items()] + [(2, "resolved", 1)])
+
+
+def test_revisits_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["response", "revisit"]), rng.choice(["a.com/x", "http://b.com/", None]), rng.randrange(0, 20) * 1_800, {"ETag": f'"{rng.randrange(2)}"'} if rng.random() < 0.8 else {}) for i in range(150)]
+    df = spark.createDataFrame(rows, "record_id long, warc_type string, target_uri string, s long, headers map<string,string>").withColumn("date", F.timestamp_seconds("s"))
+    got = {r.record_id: (r.status, r.response_id) for r in warc_revisits.resolve(df).collect()}
+    for i, kind, url, at, headers in rows:
+        if kind == "revisit":
+            before = [r for r in rows if r[1] == "response" and r[2] == url and url and (r[3], r[0]) < (at, i)]
+            old = max(before, key=lambda r: (r[3], r[0]), default=None)
+            if old is None:
+                want = ("no_original", None)
+            elif "ETag" not in headers or "ETag" not in old[4]:
+                want = ("no_validator", None)
+            else:
+                want = ("resolved", old[0]) if headers["ETag"] == old[4]["ETag"] else ("validator_mismatch", None)
+            assert got[i] == want
 
 
 def _labelled(spark, path, label):
