@@ -34,6 +34,14 @@ def index_rank(q: float) -> Column:
     return at_rank(F.floor(F.lit(q) * (F.col("n") - 1)) + 1)
 
 
+def linear(q: float) -> Column:
+    """Aggregate: the linear percentile, between the two values around q (n - 1)."""
+    at = F.lit(q) * (F.col("n") - 1)
+    lo, hi = at_rank(F.floor(at) + 1), at_rank(F.ceil(at) + 1)
+    whole = F.lit(q) * (F.max("n") - 1)
+    return lo + (whole - F.floor(whole)) * (hi - lo)
+
+
 def median_interval() -> tuple[Column, Column]:
     """Aggregates: order-statistic interval of the median, null below six values."""
     n, half = F.col("n"), F.lit(Z95) * F.sqrt(F.col("n")) / 2

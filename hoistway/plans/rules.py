@@ -285,7 +285,8 @@ def ag13_rtt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     door = a.door(spark, sf_dir)
     sure = F.col("floor").isNotNull() & F.col("reason").isin("ok", "single_panel")
     known = door.groupBy("cam").agg(F.bool_or(sure).alias("reads"), F.bool_or(F.col("floor") == "G").alias("home"))
-    h = _trips(spark, sf_dir).groupBy("cam", cycles.labelled_local_hour(F.col("ts_us")).alias("hour")).agg(F.count("*").alias("trips"), F.percentile("rtt_s", 0.5).alias("m"))
+    t = _trips(spark, sf_dir).withColumn("hour", cycles.labelled_local_hour(F.col("ts_us")))
+    h = stats.ranked(t, ["cam", "hour"], "rtt_s").groupBy("cam", "hour").agg(F.max("n").alias("trips"), stats.linear(0.5).alias("m"))
     grid = a.channels(spark).select(F.concat(F.lit("ch"), "channel").alias("cam"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("hour"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     state = F.when(no(F.col("reads")), "uncalibrated").when(no(F.col("home")), "designed").when(F.col("trips").isNull(), "pending").when(F.col("trips") < 3, "refused").otherwise("ok")
@@ -322,9 +323,9 @@ def ag20_camera_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     door = carry.with_day(a.door(spark, sf_dir))
     dwell = carry.first_after(door.select("cam", "ts_us", "id", "door_state", carry.DAY), ["cam"], {"next": F.col("ts_us")}).where("door_state = 'open' AND next > ts_us")
     opens = carry.last_before(door.where("door_state = 'open'"), ["cam"], {"prev": F.col("ts_us")}).withColumn("headway", (F.col("ts_us") - F.col("prev")) / US)
-    m = opens.groupBy("cam").agg(F.count("*").alias("stops"), F.percentile("headway", 0.5).alias("med"), F.percentile("headway", 0.9).alias("p90"))
+    m = opens.groupBy("cam").agg(F.count("*").alias("stops")).join(stats.ranked(opens, ["cam"], "headway").groupBy("cam").agg(stats.linear(0.5).alias("med"), stats.linear(0.9).alias("p90")), "cam", "left")
     idle = opens.join(F.broadcast(m), "cam").groupBy("cam").agg(F.count_if(F.col("headway") > F.greatest(F.lit(36000), 3 * F.col("med"))).alias("idle"))  # m has a row for each camera
-    d = dwell.groupBy("cam").agg(F.round(F.percentile((F.col("next") - F.col("ts_us")) / US, 0.5), 4).alias("median_dwell_s"))
+    d = stats.ranked(dwell.withColumn("dwell", (F.col("next") - F.col("ts_us")) / US), ["cam"], "dwell").groupBy("cam").agg(F.round(stats.linear(0.5), 4).alias("median_dwell_s"))
     c = a.episode(spark, sf_dir).where("occupancy_frames > 0").groupBy("cam").agg(F.max("occupancy_max").alias("most_people"))
     hourly = opens.groupBy("cam", cycles.labelled_local_hour(F.col("ts_us")).alias("hour")).agg(F.count("*").alias("n")).groupBy("cam").agg(F.array_sort(F.collect_list(F.struct("hour", "n"))).alias("h"))
     by_hour = hourly.select("cam", F.array_join(F.transform("h", lambda x: F.concat(x["hour"], F.lit(":"), x["n"])), ",").alias("by_hour"))
@@ -343,7 +344,8 @@ def ag20_camera_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sx17_rtt_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the median round trip its stops explain (dwell and five seconds of door and transfer each), and the interval that the fleet's lifts imply."""
     door = carry.first_after(carry.with_day(a.door(spark, sf_dir).select("cam", "ts_us", "id", "door_state")), ["cam"], {"next": F.col("ts_us")})
-    d = door.withColumn("d", (F.col("next") - F.col("ts_us")) / US).where("door_state = 'open' AND d > 0 AND d < 90000").groupBy("cam").agg(F.percentile("d", 0.5).alias("dwell"))
-    r = _trips(spark, sf_dir).groupBy("cam").agg(F.count("*").alias("trips"), F.percentile("rtt_s", 0.5).alias("rtt"), F.percentile("n_stops", 0.5).alias("stops"))
+    d = stats.ranked(door.withColumn("d", (F.col("next") - F.col("ts_us")) / US).where("door_state = 'open' AND d > 0 AND d < 90000"), ["cam"], "d").groupBy("cam").agg(stats.linear(0.5).alias("dwell"))
+    t = _trips(spark, sf_dir)
+    r = stats.ranked(t, ["cam"], "rtt_s").groupBy("cam").agg(F.max("n").alias("trips"), stats.linear(0.5).alias("rtt")).join(stats.ranked(t, ["cam"], "n_stops").groupBy("cam").agg(stats.linear(0.5).alias("stops")), "cam")
     explained = F.col("stops") * (F.col("dwell") + 1500)
     return r.join(d, "cam", "left").select("cam", "trips", F.round("rtt", 4).alias("median_rtt_s"), F.round(explained, 4).alias("explained_s"), rounded(explained / F.col("rtt")).alias("share"), F.round(F.col("rtt") / 7, 4).alias("implied_interval_s"))

@@ -114,9 +114,9 @@ query("wn6_round_trips", a.ctes("door") + ", " + TRIPS + " SELECT * FROM trips")
 def ag12_rtt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _trips(spark, sf_dir)
     ok = F.col("rtt_s").between(9000, 180000)
-    head = t.groupBy(*cycles.ERA).agg(F.count("*").alias("trips"), F.count_if(F.col("rtt_s") < 9000).alias("short"), F.count_if(F.col("rtt_s") > 180000).alias("long"), F.round(F.percentile(F.when(ok, F.col("rtt_s")), 0.5), 4).alias("median_s"))
-    p85 = stats.ranked(t.where(ok), cycles.ERA, "rtt_s").groupBy(*cycles.ERA).agg(stats.nearest_rank(0.85).alias("p85_s"))
-    return head.join(p85, cycles.ERA, "left")
+    head = t.groupBy(*cycles.ERA).agg(F.count("*").alias("trips"), F.count_if(F.col("rtt_s") < 9000).alias("short"), F.count_if(F.col("rtt_s") > 180000).alias("long"))
+    middle = stats.ranked(t.where(ok), cycles.ERA, "rtt_s").groupBy(*cycles.ERA).agg(F.round(stats.linear(0.5), 4).alias("median_s"), stats.nearest_rank(0.85).alias("p85_s"))
+    return head.join(middle, cycles.ERA, "left")
 
 
 @query(
@@ -124,7 +124,9 @@ def ag12_rtt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     a.ctes("door") + ", " + TRIPS + f""" SELECT cam, {LOCAL_HOUR} AS hour, count(*) AS trips, round(median(rtt_s), 4) AS median_s, least(10, max(n_stops)) AS most_stops FROM trips GROUP BY 1, 2""",
 )
 def ag13_rtt_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trips(spark, sf_dir).groupBy("cam", cycles.labelled_local_hour(F.col("ts_us")).alias("hour")).agg(F.count("*").alias("trips"), F.round(F.percentile("rtt_s", 0.5), 4).alias("median_s"), F.least(F.lit(10), F.max("n_stops")).alias("most_stops"))
+    t = _trips(spark, sf_dir).withColumn("hour", cycles.labelled_local_hour(F.col("ts_us")))
+    middle = stats.ranked(t, ["cam", "hour"], "rtt_s").groupBy("cam", "hour").agg(F.round(stats.linear(0.5), 4).alias("median_s"))
+    return t.groupBy("cam", "hour").agg(F.count("*").alias("trips"), F.least(F.lit(10), F.max("n_stops")).alias("most_stops")).join(middle, ["cam", "hour"])
 
 
 STOPS = """

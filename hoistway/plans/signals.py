@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import carry, cycles, joins, leftovers
 from ..registry import query
 from ..registry import sql_query as q
@@ -186,7 +187,8 @@ def sk9_export_rtt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sk9_export_rtt_per_hour", a.ctes("door") + ", " + TRIPS + f" SELECT cam, {DAY} AS day, CAST(floor((ts_us + 19800000000) / 3600000000) AS BIGINT) % 24 AS hour, count(*) AS trips, round(median(rtt_s), 4) AS median_s FROM trips WHERE rtt_s BETWEEN 9000 AND 180000 GROUP BY 1, 2, 3")
 def sk9_export_rtt_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _trips(spark, sf_dir).where("rtt_s BETWEEN 9000 AND 180000")
-    return t.groupBy("cam", F.floor((F.col("ts_us") + a.LOCAL_US) / a.DAY_US).alias("day"), cycles.labelled_local_hour(F.col("ts_us")).alias("hour")).agg(F.count("*").alias("trips"), F.round(F.percentile("rtt_s", 0.5), 4).alias("median_s"))
+    t = t.withColumns({"day": F.floor((F.col("ts_us") + a.LOCAL_US) / a.DAY_US), "hour": cycles.labelled_local_hour(F.col("ts_us"))})
+    return stats.ranked(t, ["cam", "day", "hour"], "rtt_s").groupBy("cam", "day", "hour").agg(F.max("n").alias("trips"), F.round(stats.linear(0.5), 4).alias("median_s"))
 
 
 @query("sf15_json_payloads", a.ctes("door") + " SELECT cam, count(*) AS n_rows, count(*) FILTER (WHERE floor IS NOT NULL) AS with_floor, round(sum(close_travel_s), 4) AS total_s, count(DISTINCT reason) AS reasons FROM door GROUP BY 1")
