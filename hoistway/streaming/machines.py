@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,25 +28,47 @@ class Signal:
     longest_descent: int = 12 * US
 
 
+class Band:
+    """The last values of a signal, also in order, so that a percentile takes no sort for each sample."""
+
+    def __init__(self, values: list[float], size: int) -> None:
+        self.values, self.ordered, self.size = list(values), sorted(values), size
+
+    def add(self, value: float) -> None:
+        self.values.append(value)
+        insort(self.ordered, value)
+        if len(self.values) > self.size:
+            del self.ordered[bisect_left(self.ordered, self.values.pop(0))]
+
+    def ranked(self, q: float) -> float:
+        return self.ordered[int(q * (len(self.ordered) - 1))]
+
+    def linear(self, q: float) -> float:
+        at = q * (len(self.ordered) - 1)
+        lo = int(at)
+        hi = min(lo + 1, len(self.ordered) - 1)
+        return self.ordered[lo] + (at - lo) * (self.ordered[hi] - self.ordered[lo])
+
+
 class DoorMachine:
     """States from one camera's samples. A level must be held before it becomes the state; between levels the door is moving; a movement that takes too long is
     abandoned and the state is unknown (None) until a level is held again; after a closing a new opening waits for the refractory time."""
 
     def __init__(self, p: Signal, saved: tuple | None = None) -> None:
         self.p = p
-        self.values, self.state, self.level, self.since, self.left, self.closed = (list(saved[0]), *saved[1:]) if saved else ([], None, None, 0, 0, -(1 << 62))
+        values, self.state, self.level, self.since, self.left, self.closed = saved or ([], None, None, 0, 0, -(1 << 62))
+        self.band = Band(values, p.window)
 
     def saved(self) -> tuple:
-        return (self.values, self.state, self.level, self.since, self.left, self.closed)
+        return (self.band.values, self.state, self.level, self.since, self.left, self.closed)
 
     def step(self, t: int, value: float) -> list[tuple[int, str | None]]:
         """New states from one sample, with the time from which they hold."""
         p = self.p
-        self.values = (self.values + [value])[-p.window :]
-        if len(self.values) < p.least:
+        self.band.add(value)
+        if len(self.band.values) < p.least:
             return []
-        ordered = sorted(self.values)
-        lo, hi = ordered[int(0.1 * (len(ordered) - 1))], ordered[int(0.9 * (len(ordered) - 1))]
+        lo, hi = self.band.ranked(0.1), self.band.ranked(0.9)
         if hi <= lo:
             return []
         x = min(1.0, max(0.0, (value - lo) / (hi - lo)))
@@ -106,10 +128,11 @@ class EdgeMachine:
 
     def __init__(self, p: Edge, saved: tuple | None = None) -> None:
         self.p = p
-        self.values, self.state, self.start, self.full, self.close, self.below, self.last, self.abandoned = (list(saved[0]), *saved[1:]) if saved else ([], "closed", None, None, None, None, None, 0)
+        values, self.state, self.start, self.full, self.close, self.below, self.last, self.abandoned = saved or ([], "closed", None, None, None, None, None, 0)
+        self.band = Band(values, p.window)
 
     def saved(self) -> tuple:
-        return (self.values, self.state, self.start, self.full, self.close, self.below, self.last, self.abandoned)
+        return (self.band.values, self.state, self.start, self.full, self.close, self.below, self.last, self.abandoned)
 
     def _end(self, t: int) -> tuple | None:
         """open start, open full, close start, close full, close travel (None if withheld), quality; None if the cycle's start was not seen."""
@@ -123,10 +146,10 @@ class EdgeMachine:
     def step(self, t: int, value: float) -> tuple | None:
         """The cycle that ends with this sample, if one does."""
         p = self.p
-        self.values = (self.values + [value])[-p.window :]
-        if len(self.values) < p.least:
+        self.band.add(value)
+        if len(self.band.values) < p.least:
             return None
-        lo, hi = np.percentile(self.values, (10, 90))
+        lo, hi = self.band.linear(0.1), self.band.linear(0.9)
         if hi - lo < p.least_span:
             return None
         x = min(1.0, max(0.0, (value - lo) / (hi - lo)))
