@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,20 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within this block, but those to be kept, are removed at its end: nothing lazy that reads them may leave it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for at in _OPEN.pop():
+            _remove(spark, at)
+
+
+def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: cuts lineage so that lost executors cost no recomputation."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/hoistway-{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    if _OPEN and not keep:
+        _OPEN[-1].append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Removes a table that stored() wrote, when nothing reads it any more."""
     spark = df.sparkSession
     for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, f)
 
 
 class Scratch:
