@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoistway.llm import bpe_automaton, decontaminate, labelled, line_dedup, ngram_join, toxicity
-from hoistway.llm.common import stored, table
+from hoistway.llm.common import drop_stored, passing, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with passing(spark):  # what a stage stored on its way goes once its own rows are written, and so do the rows of the stage before
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
