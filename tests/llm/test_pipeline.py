@@ -67,3 +67,13 @@ def test_stages_on_odd_rows(spark, small, tmp_path):
         assert stage(spark, docs.limit(0), small).count() == 0 if name != "bpe" else True
     got = sorted((str(r.doc_id), r.n_tokens > 0) for r in docs.collect())
     assert got == [("1", True), ("1", True), ("3", False), ("4", False), ("6", True), ("6", True), ("None", True)]
+
+
+def test_run_leaves_only_its_last_table(spark, small, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from hoistway.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    out = p.run(spark, small)
+    left = sorted(x.name.split("-")[1] for x in tmp_path.iterdir())
+    assert left == ["decontaminate"] and out.count() > 0 and out.columns == ["doc_id", "lang", "source", "n_tokens", "tokens"]
