@@ -79,25 +79,30 @@ def flap_aware_cycles(door: DataFrame, th: Thresholds) -> DataFrame:
     return segs.where("close_us IS NOT NULL AND close_travel_s > 0").select(*ERA, "ts_us", "close_us", "floor", "dwell_s", "open_travel_s", "close_travel_s", kind.alias("class"))
 
 
-def round_trips(door: DataFrame, home: str) -> DataFrame:
-    """From each closing at home to the next opening at home strictly later, with the stops between. A closing's floor is the last one read since the closing before it, an
-    opening's the last one read."""
+def carried_floors(door: DataFrame) -> DataFrame:
+    """door with close and open (whether the row closes a cycle or opens) and the floor each carries: a closing's is the last one read since the closing before it (carried, null
+    where none was), an opening's the last one read (read)."""
     at, carries = F.struct("ts_us", "id"), carry.last_before
     rows = carries(carry.with_day(door), ERA, {"before": F.struct("door_state")})
     prev = F.coalesce("before.door_state", F.lit(""))
     is_close = F.coalesce((F.col("door_state") == "closed") & prev.isin("closing", "open"), F.lit(False))
     is_open = F.coalesce((F.col("door_state") == "open") & (prev != "open"), F.lit(False))
-    rows = rows.withColumns({"close": is_close.cast("int"), "open": is_open})
-    rows = carries(rows, ERA, {"since": F.when(F.col("close") == 1, at)})
-    rows = carries(rows, ERA, {"read": F.when(F.col("floor").isNotNull(), F.struct(at.alias("at"), "floor"))}, own=True)
+    rows = carries(rows.withColumns({"close": is_close.cast("int"), "open": is_open}), ERA, {"since": F.when(is_close, at)})
+    rows = carries(rows, ERA, {"last": F.when(F.col("floor").isNotNull(), F.struct(at.alias("at"), "floor"))}, own=True)
+    fresh = F.col("since").isNull() | (F.col("last.at") > F.col("since"))
+    return rows.withColumns({"read": F.col("last.floor"), "carried": F.when(fresh, F.col("last.floor"))})
+
+
+def round_trips(door: DataFrame, home: str) -> DataFrame:
+    """From each closing at home to the next opening at home strictly later, with the stops between."""
+    at, rows = F.struct("ts_us", "id"), carried_floors(door)
     rows = carry.total_up_to(rows, ERA, {"closes": F.col("close")}, ties=True)
-    returns = F.when(F.col("open") & (F.col("read.floor") == home), F.struct("ts_us", "closes"))
+    returns = F.when(F.col("open") & (F.col("read") == home), F.struct("ts_us", "closes"))
     # openings of the closing's own time don't count, so the first one after is looked up from the last row of each time
     rows = carry.first_after(rows, ERA, {"back": returns})
     last_of_time = F.max_by("back", at).over(Window.partitionBy(*ERA, carry.DAY, "ts_us"))
     rows = rows.withColumn("back", last_of_time)
-    fresh = F.col("since").isNull() | (F.col("read.at") > F.col("since"))
-    found = rows.where((F.col("close") == 1) & (F.col("read.floor") == home) & fresh & F.col("back").isNotNull())
+    found = rows.where((F.col("close") == 1) & (F.col("carried") == home) & F.col("back").isNotNull())
     return found.select(*ERA, "ts_us", F.col("back.ts_us").alias("back_us"), ((F.col("back.ts_us") - F.col("ts_us")) / US).alias("rtt_s"), (F.col("back.closes") - F.col("closes")).alias("n_stops"))
 
 

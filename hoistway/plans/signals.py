@@ -12,8 +12,8 @@ from ..operators import carry, cycles, joins, leftovers
 from ..registry import query
 from ..registry import sql_query as q
 from ..sources import adapters as a
-from ..sources import readers, sinks
-from .sequences import FLAP_CYCLES, HOUR_US, STATE_CYCLES, TRIPS, US, _flap_cycles, _trips
+from ..sources import readers, schemas, sinks
+from .sequences import FLAP_CYCLES, HOUR_US, STATE_CYCLES, STOPS, TRIPS, US, _flap_cycles, _stops, _trips, wn24_last_descents
 
 floor_number = lambda c: F.when(F.col(c) == "G", 0).otherwise(F.expr(f"try_cast({c} AS INT)"))
 
@@ -171,6 +171,61 @@ def sr5_committed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leftovers.committed(seen, 150 * US)
 
 
+# ---- parts of the walks, each on its own --------------------------------------------------------------------------------------------------------
+@query("wn3_cycles_by_era", a.ctes("door") + "," + FLAP_CYCLES + " SELECT cam, split_part(door_version, '+', 1) AS era, class, count(*) AS n, max(close_us) AS last_us FROM fc GROUP BY 1, 2, 3")
+def wn3_cycles_by_era(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle never straddles eras: the walk runs within camera and era."""
+    return _flap_cycles(spark, sf_dir).groupBy("cam", F.split_part("door_version", F.lit("+"), F.lit(1)).alias("era"), "class").agg(F.count("*").alias("n"), F.max("close_us").alias("last_us"))
+
+
+@query("wn5_floor_carry", a.ctes("door") + ", " + TRIPS + " SELECT id, cam, CASE WHEN close = 1 THEN 'close' ELSE 'open' END AS edge, CASE WHEN close = 1 THEN cf ELSE opf END AS floor FROM d2 WHERE close = 1 OR opens = 1")
+def wn5_floor_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cycles.carried_floors(a.door(spark, sf_dir)).where("close = 1 OR open")
+    closing = F.col("close") == 1
+    return rows.select("id", "cam", F.when(closing, "close").otherwise("open").alias("edge"), F.when(closing, F.col("carried")).otherwise(F.col("read")).alias("floor"))
+
+
+@query("jn10_stop_floors", a.ctes("door") + "," + STOPS + " SELECT cam, floor, count(*) AS n, min(ts_us) AS first_us FROM stops GROUP BY 1, 2")
+def jn10_stop_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The floor of a stop by the as-of search both ways; null where no read is near enough."""
+    return _stops(spark, sf_dir).groupBy("cam", "floor").agg(F.count("*").alias("n"), F.min("ts_us").alias("first_us"))
+
+
+@query("jn11_next_home_open", a.ctes("door") + ", " + TRIPS + " SELECT cam, door_version, ts_us, back_us FROM trips")
+def jn11_next_home_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trips(spark, sf_dir).select("cam", "door_version", "ts_us", "back_us")
+
+
+@query("wn23_ramp_estimators")
+def wn23_ramp_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows whose ramp holds the levels long enough, with the seconds between its sustained crossings."""
+    return wn24_last_descents(spark, sf_dir).where("ramp_s IS NOT NULL").select("window_id", "n", "ramp_s")
+
+
+@query("sf1_iso_to_epoch", """WITH t AS (SELECT o_orderkey AS id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS midnight FROM orders)
+    SELECT id, CASE id % 6 WHEN 0 THEN midnight + 45296000000 WHEN 1 THEN midnight + 45296000000 - 19800000000 WHEN 2 THEN midnight + 45296000000 + 14400000000 WHEN 3 THEN midnight + 45296500000 - 19800000000 END AS us FROM t""")
+def sf1_iso_to_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with an offset, without one (the building's clock), with fractions, empty and unreadable."""
+    day, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 6
+    text = F.when(kind == 0, F.concat(day, F.lit("T12:34:56Z"))).when(kind == 1, F.concat(day, F.lit("T12:34:56"))).when(kind == 2, F.concat(day, F.lit("T12:34:56-0400"))).when(kind == 3, F.concat(day, F.lit("T12:34:56.5"))).when(kind == 4, "").otherwise("yesterday")
+    return a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), readers.iso_to_us(text).alias("us"))
+
+
+@query("sf2_cli_times", """WITH t AS (SELECT o_orderkey AS id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS midnight FROM orders) SELECT id, CASE id % 3 WHEN 0 THEN midnight - 19800000000 WHEN 1 THEN midnight + 21600000000 - 19800000000 END AS us FROM t""")
+def sf2_cli_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds as typed: a day, a day and an hour, or what can't be read; all on the building's clock."""
+    day, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 3
+    text = F.when(kind == 0, day).when(kind == 1, F.concat(day, F.lit(" 06:00"))).otherwise("6 am")
+    return a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), readers.iso_to_us(text).alias("us"))
+
+
+@query("sc2_missing_table", "SELECT CAST(0 AS BIGINT) AS n, 5 AS n_columns")
+def sc2_missing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that isn't there is empty, with its schema."""
+    t = schemas.read_or_empty(spark, f"{sf_dir}/no_such_table.parquet", "id long, cam string, ts_us long, floor string, door_state string")
+    return t.agg(F.count("*").alias("n")).withColumn("n_columns", F.lit(len(t.columns)))
+
+
 # ---- exports and payloads -----------------------------------------------------------------------------------------------------------------------
 DAY = "CAST(floor((ts_us + 19800000000) / 86400000000) AS BIGINT)"
 q("sk9_export_transits", "SELECT id, cam, ts_us, direction, track_id, CASE WHEN ts_us < 1705363200000000 THEN 'count-v1' ELSE 'count-v2' END AS counting_version FROM {transit}")

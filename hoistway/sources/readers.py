@@ -46,7 +46,8 @@ def newest_files(spark: SparkSession, path: str, camera_pattern: str = r"/(ch[0-
 
 
 def iso_to_us(text: Column) -> Column:
-    """Epoch microseconds of an ISO time; one without offset is on the building's clock (+05:30); null if it can't be read."""
+    """Epoch microseconds of an ISO time; one without offset is on the building's clock (+05:30), a day alone is its midnight; null if it can't be read."""
+    text = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.concat(text, F.lit("T00:00:00"))).when(text.rlike(r"^[0-9-]{10}[T ][0-9]{2}:[0-9]{2}$"), F.concat(text, F.lit(":00"))).otherwise(text)
     has_zone = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
     whole = F.regexp_replace(F.when(has_zone, text).otherwise(F.concat(text, F.lit("+05:30"))), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
     return F.unix_micros(F.try_to_timestamp(whole))
