@@ -24,7 +24,7 @@ q("pf1_half_open", "SELECT count(*) AS n, count(*) FILTER (WHERE ts_us = 1704672
 q("pf4_rolling_window", "SELECT cam, count(*) AS n FROM {door} WHERE ts_us >= 1706659200000000 - 7 * 86400000000 GROUP BY cam")
 q(
     "pf13_two_gates",
-    """SELECT cam, basis, confirmer, persons, basis AND confirmer AND persons > 0 AS printable FROM (SELECT cam, count(*) FILTER (WHERE status = 'reviewed') >= 20 AS basis, bool_or(occupancy_degraded) IS NOT NULL AS confirmer, sum(machine_boarded) AS persons FROM {episode} GROUP BY cam)""",
+    """SELECT cam, basis, confirmer, persons, basis AND confirmer AND persons > 0 AS printable FROM (SELECT cam, count(*) FILTER (WHERE status = 'reviewed') >= 20 AS basis, count(*) FILTER (WHERE human_boarded IS NOT NULL AND NOT occupancy_degraded) >= 5 AS confirmer, sum(machine_boarded) AS persons FROM {episode} GROUP BY cam)""",
 )
 q(
     "jn18_fallback_chain",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -374,3 +376,14 @@ def sk14_stale_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.materialise(rows, at, ["cam"], 0.0)
     sinks.materialise(rows.where("cam = 'ch16'"), at, ["cam"], 100.0)
     return sinks.served(spark, at, rows.select("cam"), ["cam"], 130.0, 60.0).select("cam", "n", "age_s", "state")
+
+
+@query("sk15_stage_ledger", a.ctes("door", "transit") + " SELECT 'broken' AS stage, CAST(NULL AS BIGINT) AS n_rows, true AS failed, true AS timed UNION ALL SELECT 'door', count(*), false, true FROM door UNION ALL SELECT 'transit', count(*), false, true FROM transit")
+def sk15_stage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of three stages, one of which fails: each has a row, its duration and what it wrote."""
+    ledger = sinks.RunLedger(spark, _folder(spark, "ledger"))
+    ledger.run("door", a.door(spark, sf_dir).count)
+    ledger.run("transit", a.transit(spark, sf_dir).count)
+    with contextlib.suppress(ZeroDivisionError):
+        ledger.run("broken", lambda: 1 // 0)
+    return ledger.read(time.time()).select("stage", "n_rows", F.col("error").isNotNull().alias("failed"), (F.col("seconds") >= 0).alias("timed"))
