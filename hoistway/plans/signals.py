@@ -200,8 +200,8 @@ def jn11_next_home_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wn23_ramp_estimators")
 def wn23_ramp_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows whose ramp holds the levels long enough, with the seconds between its sustained crossings."""
-    return wn24_last_descents(spark, sf_dir).where("ramp_s IS NOT NULL").select("window_id", "n", "ramp_s")
+    """Seconds between the sustained crossings of each window's own levels; null where they aren't held long enough."""
+    return wn24_last_descents(spark, sf_dir).select("window_id", "n", "ramp_s")
 
 
 @query("sf1_iso_to_epoch", """WITH t AS (SELECT o_orderkey AS id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS midnight FROM orders)
