@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, html_extract, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
+from . import bpe_automaton, decontaminate, html_extract, importance_resample, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
 from .common import table
 from .labelled import fitted
 
@@ -102,3 +102,12 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, class_key, component_key, text_hash of every document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark's n-grams."""
+    return importance_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_importance_resample"] = importance_resample.ORACLE
