@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, html_extract, importance_resample, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
+from . import bpe_automaton, decontaminate, filter_audit, html_extract, importance_resample, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
 from .common import table
 from .labelled import fitted
 
@@ -104,6 +104,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step and counts of every source, order of the five filters and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op11_filter_audit"] = filter_audit.ORACLE
+
+
 @query
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every document, drawn towards the benchmark's n-grams."""
