@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, filter_audit, html_extract, importance_resample, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
+from . import bpe_automaton, decontaminate, filter_audit, grid_join, html_extract, importance_resample, line_dedup, ngram_join, quality_fm, token_counts, topk, toxicity, warc_revisits
 from .common import table
 from .labelled import fitted
 
@@ -120,3 +120,12 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op12_importance_resample"] = importance_resample.ORACLE
+
+
+@query
+def op13_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_grid_join"] = grid_join.ORACLE
