@@ -120,7 +120,7 @@ _BOX = "lo array<double>, hi array<double>, centre array<double>, radius double,
 
 def _in_blocks(ordered: DataFrame) -> DataFrame:
     """label, dims, node, n, p, u, part, run (the number of its block within its range), and the block's summary in its first row."""
-    label = ordered.schema["label"].dataType.simpleString()
+    label, block_rows = ordered.schema["label"].dataType.simpleString(), BLOCK_ROWS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("")
@@ -144,7 +144,7 @@ def _in_blocks(ordered: DataFrame) -> DataFrame:
                         yield block()
                         run += 1
                     held, size, key = [], 0, (labels[lo].as_py(), int(dims[lo]))
-                most = min(BLOCK_ROWS, max(64, BLOCK_BYTES // (8 * max(1, int(dims[lo]))))) if hi > lo else 1
+                most = min(block_rows, max(64, BLOCK_BYTES // (8 * max(1, int(dims[lo]))))) if hi > lo else 1
                 while lo < hi:
                     take = min(hi - lo, most - size)
                     held.append(batch.slice(lo, take).select(["label", "dims", "node", "n", "p", "u"]))
@@ -255,12 +255,12 @@ def _compared(leaves: DataFrame, placed: DataFrame, boxes: DataFrame, eps: float
     return sent.groupBy("a", "b").applyInArrow(compare, "node long, links long, to long")
 
 
-def _certain(judged: DataFrame, level: int, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _certain(judged: DataFrame, level: int, placed: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links and edges of what lies in pairs of intervals of a level that are certain: (node, links, to), and edges between intervals."""
     sure = judged.where("kind = 1")
-    sides = sure.select(F.col("a").alias("own"), F.col("n_b").alias("links"), F.col("least_b").alias("to")).unionByName(sure.where("a <> b").select(F.col("b").alias("own"), F.col("n_a").alias("links"), F.col("least_a").alias("to")))
-    gained = sides.groupBy("own").agg(F.sum("links").alias("links"), F.min("to").alias("to"))
-    return placed.select("node", F.shiftright("block", RADIX * level).alias("own")).join(gained, "own").select("node", "links", "to"), sure.select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    sides = sure.select("label", "dims", F.col("a").alias("own"), F.col("n_b").alias("links"), F.col("least_b").alias("to")).unionByName(sure.where("a <> b").select("label", "dims", F.col("b").alias("own"), F.col("n_a").alias("links"), F.col("least_a").alias("to")))
+    gained = keep(sides.groupBy("label", "dims", "own").agg(F.sum("links").alias("links"), F.min("to").alias("to")), "gained")
+    return placed.select("label", "dims", "node", F.shiftright("block", RADIX * level).alias("own")).join(gained, ["label", "dims", "own"]).select("node", "links", "to"), sure.select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
 
 
 def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
@@ -283,7 +283,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     edges = found.select(F.col("node").alias("a"), F.col("to").alias("b"))
     for level, pairs in enumerate(judged):
         if pairs.where("kind = 1").limit(1).count():
-            more, between = _certain(pairs, level, placed)
+            more, between = _certain(pairs, level, placed, keep)
             more = keep(more, "certain")
             found = found.unionByName(more)
             edges = edges.unionByName(more.select(F.col("node").alias("a"), F.col("to").alias("b"))).unionByName(between)
@@ -291,7 +291,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     sums = found.groupBy("node").agg((F.sum("links") - 1).alias("n_links"))
     own = classes.select("node", "h1", "h2", "least").join(part_of, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = keep(own, "members")
-    least = own.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = keep(own.groupBy("label").agg(F.min("least").alias("component_id")), "least")  # stored, so that joins with a component of a third of all rows can be split
     result = stored(own.join(least, "label").join(sums, "node").select("h1", "h2", "n_links", "component_id"), "vectors", keep=True)
     keep.drop()
     out = rows.select("id", "h1", "h2").join(result, ["h1", "h2"], "left").select(
