@@ -311,3 +311,51 @@ def test_linear_time_identity():
     i, v = np.array([3, 9, 70, 500]), np.array([0.5, 1.0, 2.0, 0.1])
     pairs = sum(model["factors"][i[a]] @ model["factors"][i[b]] * v[a] * v[b] for a in range(4) for b in range(a))
     assert abs(quality_fm.raw_score(model, i, v) - (0.3 + model["linear"][i] @ v + pairs)) < 1e-9
+
+
+LINE = "<p>This is a line of the story that goes on and on for a while, with some words in it.</p>"
+
+
+def test_names_within_articles_raise_doubt_only():
+    plain = "This is a line of the story that goes on and on for a while, with some words in it."
+    story, five = LINE * 5, "\n".join([plain] * 5)
+    for inner in (f"<form id=aspnetForm>{story}</form>", f"<div class='form-content'>{story}</div>", f"<div class=banner>{story}</div>"):
+        for tag in ("main", "article"):
+            assert html_extract.extract(f"<body><nav><a href=x>menu</a></nav><{tag}><h1>Title</h1>{inner}</{tag}></body>", None) == f"Title\n{five}"
+    sections = "".join(f"<section {name}>{story}</section>" for name in ("id='search-algorithms'", "id='legal-history'", "class='side-effects'"))
+    boxes = "<div class='related-posts'><a href=x>one more story to read on this very site, with many words in its title</a></div><div id=share-this>Share this</div>"
+    assert html_extract.extract(f"<body><article><h1>T</h1>{sections}{boxes}</article></body>", None) == "\n".join(["T", five, five, five])
+    gone = f"<div STYLE='Display : NONE'>{LINE}</div><p aria-hidden=TRUE>hidden</p><div class=user-feedback>{LINE}</div><section class=discussion>{LINE * 2}</section><div id=comments>{LINE * 3}</div><form>{LINE}</form>"
+    assert html_extract.extract(f"<body><article><h1>T</h1>{story}{gone}</article></body>", None) == f"T\n{five}"
+    assert html_extract.extract(f"<body><div class=ad>{LINE}</div><article><h1>T</h1><p>short</p></article></body>", None) == "T\nshort"
+
+
+def test_doubtful_elements_that_repeat_on_a_host(spark):
+    notice = "<div class='legal-notes'><p>All that stands here may be read by all who come by, and by others, at any time of day.</p></div>"
+    page = lambda i: f"<body><article><h1>T{i}</h1>{LINE * 4}<div class='search-history'><p>{' '.join(f'w{i}x{k}' for k in range(20))}</p></div>{notice}</article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(6)] + [(9, "http://b.example/", page(9))]
+    got = {r.page_id: r.text for r in html_extract.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("All that stands" not in got[i] and f"w{i}x19" in got[i] for i in range(6))
+    assert "All that stands" in got[9] and "w9x19" in got[9]
+
+
+@pytest.mark.parametrize("piece", ["<b>x", "<div>x", "<span>x", "<b class=ad>x", "<li></li>", "<a href=x>y", "<i><p>", "</div>", "<td>q", "<div><i class=ad>", "<form>x"])
+def test_nesting_costs_a_step_for_each_tag(piece):
+    import sys
+
+    def steps(n):
+        count = 0
+
+        def seen(frame, event, _):
+            nonlocal count
+            count += event == "line"
+            return seen
+
+        sys.settrace(seen)
+        try:
+            html_extract.extract(piece * n, None)
+        finally:
+            sys.settrace(None)
+        return count
+
+    assert steps(2000) < 2.2 * steps(1000)
