@@ -19,6 +19,7 @@ can't clash. Places are positions in the compared form of the text.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -227,9 +228,13 @@ def aligned(g: Grams, points: np.ndarray, text_lo: np.ndarray, text_hi: np.ndarr
     return out
 
 
+#: Ranges of code points of scripts that are written without spaces between words (fixed values): Thai to Myanmar, Khmer, Han with kana and bopomofo, Yi, Han supplements.
+SPACELESS = re.compile("[\u0e00-\u109f\u1780-\u17ff\u2e80-\u312f\u31a0-\u9fff\ua000-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def at_words(text: str, item: str) -> int:
-    """Where the item first stands in the text with no letter or digit going on across its ends; -1 if nowhere."""
-    goes_on = lambda a, b: a.isalnum() and b.isalnum()
+    """Where the item first stands in the text with no letter or digit going on across its ends; -1 if nowhere. Scripts without spaces have no such ends."""
+    goes_on = lambda a, b: a.isalnum() and b.isalnum() and not SPACELESS.match(a) and not SPACELESS.match(b)
     at = text.find(item)
     while at >= 0 and (goes_on(text[max(0, at - 1) : at], item[0]) or goes_on(item[-1], text[at + len(item) : at + len(item) + 1])):
         at = text.find(item, at + 1)

@@ -8,10 +8,10 @@ come from.
 At scoring, softmax weights times table are one number for each bucket, as everything up to the softmax is linear; a word's number
 is kept by each Python worker. Only the model (one float for each bucket) is broadcast.
 
-Defined results: null, empty and wordless texts get the score of the bias alone. Any length of text is scored whole: a word of more than LONG characters
-(a text without spaces, words joined by signs) becomes pieces that hold all its n-grams, and what stands between its signs, each as a word. Rows that
-repeat give repeated scores. If all labelled rows have one class, or there are none, the logit is 4 for the class met and -4 for none, that is a
-score of 0.982 or 0.018 for every text.
+Defined results: null, empty and wordless texts get the score of the bias alone. Any length of text is scored whole: a word that signs
+join of several counts as a whole and by its parts, whatever its length, and a text without spaces is one word with all its n-grams. Rows that repeat
+give repeated scores. If all labelled rows have one class, or there are none, the logit is 4 for the class met and -4 for none, that is a score of
+0.982 or 0.018 for every text.
 """
 
 from __future__ import annotations
@@ -36,29 +36,20 @@ KEPT_WORDS = 300_000
 EDGES = ".,;:!?\"'()[]{}|%&$#*-_"
 
 
-#: Longest word that is handled as one, and the signs that join words (not those that stand for letters, as in sh*t).
+#: Longest word whose number a worker keeps, and the signs that join words (not those that stand for letters, as in sh*t).
 LONG, JOINTS = 64, re.compile(r"[_.,;:/\\|<>=\"'()\[\]{}&?#+~^`\u2010-\u2027\u3001\u3002\u3008-\u3011\uff01\uff0c\uff0e\uff1a\uff1b\uff1f-]+")
 
 
-def pieces(word: str) -> list[str]:
-    """A long word in consecutive pieces that overlap by one character less than the longest n-gram, and its parts between signs."""
-    over = max(LENGTHS) - 1
-    cut = lambda x: [x[i : i + LONG] for i in range(0, max(1, len(x) - over), LONG - over)]
-    parts = [x for x in JOINTS.split(word) if x]
-    return cut(word) + ([p for x in parts for p in cut(x)] if len(parts) > 1 else [])
-
-
-def split_words(text: str) -> list[str]:
-    """The words between white space in lower case; long ones as their pieces."""
-    words = text.lower().split()
-    if len(text) <= LONG or max(map(len, words), default=0) <= LONG:
-        return words
-    return [p for w in words for p in ([w] if len(w) <= LONG or len(w.strip(EDGES)) <= LONG else pieces(w.strip(EDGES)))]
-
-
 def words_of(text: str) -> list[str]:
-    """The distinct words without the signs at their ends, in the order of the text."""
-    return list(dict.fromkeys([x.strip(EDGES) for x in dict.fromkeys(split_words(text))]))
+    """The distinct words between white space in lower case, without the signs at their ends, each followed by its parts between joining signs, if it has any."""
+    out = {}
+    for word in dict.fromkeys(x.strip(EDGES) for x in dict.fromkeys(text.lower().split())):
+        out[word] = None
+        if not word.isalnum():
+            parts = [x for x in JOINTS.split(word) if x]
+            if len(parts) > 1:
+                out.update(dict.fromkeys(parts))
+    return list(out)
 
 
 def grams_of(word: str) -> list[int]:

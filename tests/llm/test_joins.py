@@ -234,3 +234,12 @@ def test_clean_takes_short_items_at_words_and_items_without_id(spark):
     bench = spark.createDataFrame([(1, "yes"), (2, "zq"), (None, "the quick brown fox jumps")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 6]
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(0, 1), (1, 1), (2, 1), (3, 2), (5, 1)]
+
+
+def test_short_items_in_scripts_without_spaces(spark):
+    from hoistway.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "他在北京大学读书"), (2, "the catalogue"), (3, "the cat sat"), (4, "เขาอยู่ที่บ้านหลังนี้"), (5, "서울대학교")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "北京大学"), (2, "cat"), (3, "บ้าน"), (4, "대학")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 4)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 5]

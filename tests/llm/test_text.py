@@ -218,7 +218,9 @@ def test_long_words_are_read_to_their_end():
     run = lambda n, letters="qwertzuiopasdfghjklyxcvbnm": "".join(rng.choice(letters) for _ in range(n))
     for word in (run(65), run(128), run(5_000), "".join(chr(0x4E00 + rng.randrange(5_000)) for _ in range(500)), "=" * 100):
         assert {word[i : i + n] for n in toxicity.LENGTHS for i in range(len(word) - n + 1)} <= {p[i : i + n] for p in toxicity.words_of(word) for n in toxicity.LENGTHS for i in range(len(p) - n + 1)}
-        assert max(map(len, toxicity.words_of(word))) <= toxicity.LONG
+    for n in range(62, 68):  # no length at which words are read otherwise
+        word = run(n)
+        assert toxicity.words_of(word) == [word] and toxicity.words_of(f"({word}_idiot)") == [f"{word}_idiot", word, "idiot"]
     assert {"idiot", "sh*t"} <= set(toxicity.words_of(run(100) + "_idiot." + run(70) + "/sh*t"))
     weights = [0.0] * toxicity.BUCKETS
     for g in toxicity.grams_of("idiot"):
