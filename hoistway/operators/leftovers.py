@@ -1,4 +1,4 @@
-"""Order-dependent operators that no window expresses: greedy matching, debouncing, quantum detection and label admission, as applyInPandas per key.
+"""Order-dependent operators that no window expresses: greedy matching, debouncing and quantum detection, as applyInPandas per key.
 
 Keys are (camera, era), or (camera, day) where the rule allows a cut between days, so groups stay bounded."""
 
@@ -165,41 +165,6 @@ def sampling_quantum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.groupBy(*keys).applyInPandas(detect, ", ".join(f"{k} string" for k in keys) + ", n long, quantum_s double")
 
 
-def label_admission(door: DataFrame, max_gap_us: int = 4500 * US, speed: float = 3.0, min_reads: int = 2) -> DataFrame:
-    """cam, floor, reads, support, component, admitted: labels as a graph whose edges are changes between consecutive confident reads within the gap, at a plausible speed.
-    Pairs are counted in Catalyst; a camera's graph has at most as many nodes as labels. A label is admitted if it has enough reads and
-    stands in the component that has most of them."""
-    w = Window.partitionBy("cam", "door_version").orderBy("ts_us", "id")
-    reads = door.where("floor IS NOT NULL AND reason IN ('ok', 'single_panel')")
-    number = lambda c: F.when(F.col(c) == "G", 0).otherwise(F.expr(f"try_cast({c} AS INT)"))
-    pairs = reads.withColumns({"p": F.lag("floor").over(w), "dt": (F.col("ts_us") - F.lag("ts_us").over(w)) / (300 * US)}).where(F.col("p").isNotNull() & (F.col("p") != F.col("floor")) & (F.col("dt") * 300 * US <= max_gap_us))
-    near = pairs.where(F.abs(number("floor") - number("p")) <= speed * F.col("dt")).groupBy("cam", "p", "floor").agg(F.count("*").alias("c"))
-    counts = reads.groupBy("cam", F.col("floor").alias("p")).agg(F.count("*").alias("c")).withColumn("floor", F.lit(None).cast("string"))
-
-    def admit(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf[pdf.floor.isna()].set_index("p")["c"].sort_index()
-        up = {n: n for n in nodes.index}
-
-        def root(n):
-            while up[n] != n:
-                n = up[n]
-            return n
-
-        support = dict.fromkeys(nodes.index, 0)
-        for r in pdf[~pdf.floor.isna()].itertuples():
-            support[r.p] += r.c
-            support[r.floor] += r.c
-            a, b = sorted((root(r.p), root(r.floor)))
-            up[b] = a
-        total: dict[str, int] = {}
-        for n in nodes.index:
-            total[root(n)] = total.get(root(n), 0) + int(nodes[n])
-        main = min(total, key=lambda k: (-total[k], k)) if total else None
-        return pd.DataFrame({"cam": pdf["cam"].iloc[0], "floor": nodes.index, "reads": nodes.to_numpy(), "support": [support[n] for n in nodes.index], "component": [root(n) for n in nodes.index], "admitted": [root(n) == main and nodes[n] >= min_reads for n in nodes.index]})
-
-    return counts.unionByName(near).groupBy("cam").applyInPandas(admit, "cam string, floor string, reads long, support long, component string, admitted boolean")
-
-
 def last_descent(values: list[float], near_open: float, close_at: float) -> tuple[int, int] | None:
     """Positions of the last full descent: a sample at or above near_open, then the first at or below close_at; a later top restarts."""
     top, found = None, None

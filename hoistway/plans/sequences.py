@@ -349,11 +349,6 @@ def sx6_sampling_quantum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leftovers.sampling_quantum(a.door(spark, sf_dir).where("door_state = 'closing'"), cycles.ERA, "close_travel_s")
 
 
-@query("sx19_label_admission")
-def sx19_label_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leftovers.label_admission(a.door(spark, sf_dir))
-
-
 @query("wn24_last_descents")
 def wn24_last_descents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last full descent and the ramp of the signal k in the six hours around each episode."""

@@ -110,6 +110,15 @@ def channels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, 1, f"lift {i + 1}" if i != 5 else "") for i, c in enumerate(CAMS)], "channel int, is_lift int, label string")
 
 
+#: Declared floors: cam, floor that a person labelled, and those admitted by an earlier derivation.
+LABELLED = (("ch16", "G"), ("ch27", "G"), ("ch27", "12"), ("ch29", "3"), ("ch30", "G"), ("ch30", "40"), ("ch32", "G"), ("ch37", "20"))
+PRIOR = (("ch34", "G"), ("ch34", "P1"), ("ch29", "G"), ("ch29", "7"), ("ch16", "8"), ("ch16", "9"))
+
+
+def declared_floors(spark: SparkSession, rows: tuple) -> DataFrame:
+    return spark.createDataFrame(list(rows), "cam string, floor string")
+
+
 #: The same streams for DuckDB; a query's SQL starts with "WITH " + the ones it needs, joined by commas.
 SQL = {
     "ev": """ev AS (SELECT event_id AS id, 'site-A' AS gateway_id, 'ch' || list_extract([16,27,29,30,32,34,37], CAST(user_id % 7 AS INTEGER) + 1) AS cam,
@@ -131,6 +140,10 @@ SQL = {
 }
 
 
+SQL["labelled"] = "labelled AS (SELECT * FROM (VALUES " + ", ".join(map(str, LABELLED)) + ") t(cam, floor))"
+SQL["prior"] = "prior AS (SELECT * FROM (VALUES " + ", ".join(map(str, PRIOR)) + ") t(cam, floor))"
+
+
 def ctes(*names: str) -> str:
     """CTEs by name, with what they rest on."""
     needed = [*(["ev"] if {"door", "transit", "episode"} & set(names) else []), *names]

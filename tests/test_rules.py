@@ -173,31 +173,6 @@ def test_sampling_quantum(spark):
         assert got[k][0] == sum(v > 0 for v in p) and (got[k][1] is None) == (want is None) and (want is None or abs(got[k][1] - want) < 1e-9), k
 
 
-def test_label_admission(spark):
-    rows = stream(10, 400, gaps=(1, 60, 300, 4_000))
-    got = {(r.cam, r.floor): (r.reads, r.support, r.admitted) for r in leftovers.label_admission(spark.createDataFrame(rows, SCHEMA)).collect()}
-    for cam, part in by_cam(rows).items():
-        sure = [r for r in part if r[3] is not None and r[4] in ("ok", "single_panel")]
-        number = lambda f: 0 if f == "G" else int(f)
-        edges = []
-        for version in {r[6] for r in sure}:
-            own = [r for r in sure if r[6] == version]
-            for a, b in zip(own, own[1:]):
-                if a[3] != b[3] and b[2] - a[2] <= 4_500 * US and abs(number(a[3]) - number(b[3])) <= 3.0 * (b[2] - a[2]) / (300 * US):
-                    edges.append((a[3], b[3]))
-        labels = sorted({r[3] for r in sure})
-        group = {x: {x} for x in labels}
-        for a, b in edges:
-            if group[a] is not group[b]:
-                group[a] |= group[b]
-                for x in group[b]:
-                    group[x] = group[a]
-        reads = {x: sum(r[3] == x for r in sure) for x in labels}
-        main = min({min(g): g for g in group.values()}.items(), key=lambda kv: (-sum(reads[x] for x in kv[1]), kv[0]))[1]
-        for x in labels:
-            assert got[cam, x] == (reads[x], sum(x in e for e in edges), x in main and reads[x] >= 2)
-
-
 def test_run_ledger_and_sender(spark, tmp_path):
     from hoistway.sources.sinks import RunLedger
     from hoistway.streaming import jobs
