@@ -54,6 +54,7 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bits = [F.col("n") < LEAST_WORDS, 100 * F.col("distinct") < DISTINCT * F.col("n"), 100 * F.col("capitals").cast("long") > CAPITALS * F.col("length"), F.col("signs")]
     narrow = stored(counted.select("doc_id", "part", "digest", sum(b.cast("int") * (1 << i) for i, b in enumerate(bits)).alias("own")), "masks", keep=True)
     first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    first = stored(first, "first", keep=True)  # a table of its own, so that a join with a text of a third of all rows can be split
     marked = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     repeated = F.coalesce((F.col("doc_id") > F.col("first")).cast("int"), F.lit(0)) * (1 << FILTERS.index("E"))
     one = narrow.join(first, "digest", "left").join(marked, "doc_id", "left")
