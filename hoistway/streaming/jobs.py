@@ -1,4 +1,5 @@
-"""Structured Streaming jobs: validated ingest, deduplication within a watermark, door cycles and crossing episodes with state.
+"""Structured Streaming jobs: validated ingest, deduplication within a watermark, door cycles, crossing episodes and committed intervals in the order of event time, and
+late attribution as a join of two streams.
 
 Each job works on any streaming DataFrame of the given columns; run_available() drains a stream into a Parquet table and reads it back, which is also how
 batch and stream are compared."""
@@ -8,12 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.sinks import shared_dir
+from .ordered import in_order
 
 US = 1_000_000
 STATES = ("closed", "opening", "open", "closing")
@@ -32,46 +32,31 @@ def deduplicated(transits: DataFrame, late: str = "1 day") -> DataFrame:
     return transits.withWatermark("at", late).dropDuplicatesWithinWatermark(["gateway_id", "cam", "track_id", "direction", "ts_bucket"])
 
 
-def door_cycles(events: DataFrame) -> DataFrame:
-    """State-only cycles as they close: closed right after closing or open, null states kept. Events of a batch are put in order by (ts_us, id); state is the last
-    state of each camera and era."""
+class Cycles:
+    """State-only cycles of one camera and era: closed right after closing or open; null states count as states."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = state.get[0] if state.exists else ""
-        pdf = pd.concat(list(batches)).sort_values(["ts_us", "id"], kind="stable")
-        rows = []
-        for r in pdf.itertuples():
-            now = r.door_state if isinstance(r.door_state, str) else None
-            if now == "closed" and prev in ("closing", "open"):
-                rows.append((key[0], key[1], r.ts_us, r.id))
-            prev = now
-        state.update((prev,))
-        yield pd.DataFrame(rows, columns=["cam", "door_version", "ts_us", "id"])
+    def __init__(self, saved: list | None = None) -> None:
+        self.prev = saved[0] if saved else ""
 
-    return events.groupBy("cam", "door_version").applyInPandasWithState(step, "cam string, door_version string, ts_us long, id long", "prev string", "append", GroupStateTimeout.NoTimeout)
+    def step(self, r: dict) -> list[tuple]:
+        prev, self.prev = self.prev, r["door_state"]
+        return [(r["ts_us"], r["id"])] if self.prev == "closed" and prev in ("closing", "open") else []
 
+    def expire(self, us: int) -> list[tuple]:
+        return []
 
-def crossing_episodes(transits: DataFrame, gap_us: int, longest_us: int) -> DataFrame:
-    """Episodes of crossings: one ends when the next crossing comes more than gap_us later or would make it longer than longest_us. State is the open episode of each camera;
-    the last one stays open until a crossing ends it."""
+    def due(self) -> int | None:
+        return None
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = list(state.get) if state.exists else None  # start, last, in, out
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts_us", "id"], kind="stable").itertuples():
-            if now is not None and (r.ts_us - now[1] > gap_us or r.ts_us - now[0] > longest_us):
-                rows.append((key[0], *now))
-                now = None
-            now = now or [r.ts_us, r.ts_us, 0, 0]
-            now[1] = r.ts_us
-            now[2 if r.direction == "in" else 3] += 1
-        state.update(tuple(now))
-        yield pd.DataFrame(rows, columns=["cam", "start_us", "end_us", "boarded", "alighted"])
+    def saved(self) -> list | None:
+        return [self.prev]
 
-    return transits.groupBy("cam").applyInPandasWithState(step, "cam string, start_us long, end_us long, boarded long, alighted long", "start long, last long, boarded long, alighted long", "append", GroupStateTimeout.NoTimeout)
+
+def door_cycles(events: DataFrame, late_us: int) -> DataFrame:
+    """cam, door_version, ts_us, id of each closing, in the order of event time."""
+    return in_order(events, ["cam", "door_version"], ["ts_us", "id", "door_state"], Cycles, "ts_us long, id long", late_us)
 
 
-EPISODE = "start_us long, end_us long, boarded long, alighted long, frames long, audited long, det_max long, det_sum long, occupancy_max long, segments long, dropped long, track_ids array<long>"
 DEGRADED = 0.2
 
 
@@ -80,52 +65,109 @@ def refused(transits: int, frames: int, audited: int, tracks: int) -> str | None
     return "no_transits" if not transits else "no_frames" if not frames else "no_tracks" if audited and not tracks else None
 
 
-def audited_episodes(records: DataFrame, gap_us: int, longest_us: int) -> DataFrame:
-    """Episodes with their evidence from a stream with a watermark on at: crossings (direction in or out) and analysed frames (direction null) of cam, ts_us, id, at, direction, track_ids,
-    detections (null where a frame is not audited), occupancy, segments and dropped (since the record before). Crossings make an episode as in crossing_episodes(); frames
-    within gap_us of its last crossing are its own. A later record ends it, or the watermark once it is gap_us behind the last crossing, so the last one of a camera is emitted too.
-    Refused episodes stay, with the reason."""
-    names = ["cam", "start_us", "end_us", "boarded", "alighted", "frames", "distinct_tracks", "det_max", "det_mean", "occupancy_max", "degraded", "refused"]
+class Episodes:
+    """Episodes of one camera's crossings with their evidence. A crossing more than gap_us behind the last one, or one that would make the episode longer than
+    longest_us, begins a new one. Frames within gap_us of the last crossing belong to its episode. A later record ends it, or the watermark once it is gap_us behind the last crossing."""
 
-    def row(cam: str, e: list) -> tuple:
-        start, end, boarded, alighted, frames, audited, most, total, peak, segments, dropped, tracks = e
-        seen = segments + dropped
-        return (cam, start, end, boarded, alighted, frames, len(tracks), most, total / audited if audited else 0.0, peak, bool(seen and dropped / seen > DEGRADED), refused(boarded + alighted, frames, audited, len(tracks)))
+    COUNTS = ("boarded", "alighted", "frames", "audited", "det_max", "det_sum", "occupancy_max", "segments", "dropped")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, rows = list(state.get) if state.exists else None, []
-        if state.hasTimedOut:
-            rows, now = [row(key[0], now)], None
-        else:
-            for r in pd.concat(list(batches)).sort_values(["ts_us", "id"], kind="stable").itertuples():
-                crossing = isinstance(r.direction, str)
-                if now is not None and (r.ts_us - now[1] > gap_us or crossing and r.ts_us - now[0] > longest_us):
-                    rows.append(row(key[0], now))
-                    now = None
-                if now is None and not crossing:
-                    continue
-                now = now or [r.ts_us, r.ts_us, *[0] * 9, []]
-                if crossing:
-                    now[1] = r.ts_us
-                    now[2 if r.direction == "in" else 3] += 1
-                else:
-                    now[4] += 1
-                    if not pd.isna(r.detections):
-                        now[5:8] = [now[5] + 1, max(now[6], int(r.detections)), now[7] + int(r.detections)]
-                    now[8] = now[8] if pd.isna(r.occupancy) else max(now[8], int(r.occupancy))
-                if r.track_ids is not None:
-                    now[11] = sorted({*now[11], *map(int, r.track_ids)})
-                now[9:11] = [n if pd.isna(x) else n + int(x) for n, x in zip(now[9:11], (r.segments, r.dropped))]
-        if now is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(tuple(now))
-            state.setTimeoutTimestamp(max((now[1] + gap_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=names)
+    def __init__(self, gap_us: int, longest_us: int, saved: dict | None = None) -> None:
+        self.gap_us, self.longest_us, self.now = gap_us, longest_us, saved
 
-    out = "cam string, start_us long, end_us long, boarded long, alighted long, frames long, distinct_tracks long, det_max long, det_mean double, occupancy_max long, degraded boolean, refused string"
-    return records.groupBy("cam").applyInPandasWithState(step, out, EPISODE, "append", GroupStateTimeout.EventTimeTimeout)
+    def _end(self) -> list[tuple]:
+        e, self.now = self.now, None
+        seen = e["segments"] + e["dropped"]
+        why = refused(e["boarded"] + e["alighted"], e["frames"], e["audited"], len(e["tracks"]))
+        mean = e["det_sum"] / e["audited"] if e["audited"] else 0.0
+        return [(e["start"], e["last"], e["boarded"], e["alighted"], e["frames"], len(e["tracks"]), e["det_max"], mean, e["occupancy_max"], bool(seen and e["dropped"] / seen > DEGRADED), why)]
+
+    def step(self, r: dict) -> list[tuple]:
+        t, crossing = r["ts_us"], r["direction"] is not None
+        out = self._end() if self.now and (t - self.now["last"] > self.gap_us or crossing and t - self.now["start"] > self.longest_us) else []
+        if self.now is None and not crossing:
+            return out
+        e = self.now = self.now or {"start": t, "last": t, "tracks": [], **dict.fromkeys(self.COUNTS, 0)}
+        if crossing:
+            e["last"] = t
+            e["boarded" if r["direction"] == "in" else "alighted"] += 1
+        else:
+            e["frames"] += 1
+            if r["detections"] is not None:
+                e["audited"], e["det_max"], e["det_sum"] = e["audited"] + 1, max(e["det_max"], int(r["detections"])), e["det_sum"] + int(r["detections"])
+            e["occupancy_max"] = max(e["occupancy_max"], int(r["occupancy"] or 0))
+        e["tracks"] = sorted({*e["tracks"], *map(int, r["track_ids"] or ())})
+        for k in ("segments", "dropped"):
+            e[k] += int(r[k] or 0)
+        return out
+
+    def expire(self, us: int) -> list[tuple]:
+        return self._end() if self.now and us - self.now["last"] > self.gap_us else []
+
+    def due(self) -> int | None:
+        return self.now["last"] + self.gap_us + 1 if self.now else None
+
+    def saved(self) -> dict | None:
+        return self.now
+
+
+def audited_episodes(records: DataFrame, gap_us: int, longest_us: int, late_us: int) -> DataFrame:
+    """Episodes from a stream of crossings (direction in or out) and analysed frames (direction null): cam, ts_us, id, direction, track_ids, detections (null where a
+    frame is not audited), occupancy, segments and dropped (since the record before). Refused episodes stay, with the reason."""
+    out = "start_us long, end_us long, boarded long, alighted long, frames long, distinct_tracks long, det_max long, det_mean double, occupancy_max long, degraded boolean, refused string"
+    columns = ["ts_us", "id", "direction", "track_ids", "detections", "occupancy", "segments", "dropped"]
+    return in_order(records, ["cam"], columns, lambda saved: Episodes(gap_us, longest_us, saved), out, late_us)
+
+
+class Commits:
+    """Intervals that sliding passes detect again and again, in the order they are seen: each is settled once, when it is seen settle_us or more behind its end and overlaps none that
+    was settled before with the same kind of outcome; one that overlaps a committed interval is the same again. Settled intervals are forgotten keep_us behind their end,
+    which is how far back a pass may look at most."""
+
+    def __init__(self, settle_us: int, keep_us: int, saved: dict | None = None) -> None:
+        self.settle_us, self.keep_us = settle_us, keep_us
+        self.taken, self.rejected = (saved["taken"], saved["rejected"]) if saved else ([], [])
+
+    def step(self, r: dict) -> list[tuple]:
+        lo, hi, seen = r["lo"], r["hi"], r["ts_us"]
+        meets = lambda held: any(lo < h and x < hi for x, h in held)
+        if seen - hi < self.settle_us or meets(self.taken) or r["reason"] is not None and meets(self.rejected):
+            return []
+        (self.taken if r["reason"] is None else self.rejected).append((lo, hi))
+        return [(r["id"], lo, hi, r["reason"] or "committed")]
+
+    def expire(self, us: int) -> list[tuple]:
+        self.taken, self.rejected = ([x for x in held if x[1] >= us - self.keep_us] for held in (self.taken, self.rejected))
+        return []
+
+    def due(self) -> int | None:
+        ends = [h for _, h in [*self.taken, *self.rejected]]
+        return min(ends) + self.keep_us + 1 if ends else None
+
+    def saved(self) -> dict | None:
+        return {"taken": self.taken, "rejected": self.rejected} if self.taken or self.rejected else None
+
+
+def committed_intervals(seen: DataFrame, settle_us: int, keep_us: int, late_us: int) -> DataFrame:
+    """cam, id, lo, hi, outcome (committed, or why not) from a stream of detections: cam, id, lo, hi, reason (null if the measurement is sound), ts_us (when it was seen)."""
+    return in_order(seen, ["cam"], ["ts_us", "id", "lo", "hi", "reason"], lambda saved: Commits(settle_us, keep_us, saved), "id long, lo long, hi long, outcome string", late_us)
+
+
+def late_attribution(transits: DataFrame, episodes: DataFrame, pad_us: int, longest_us: int, late_us: int, slot_us: int) -> DataFrame:
+    """id, episode_id: each transit (cam, id, ts_us) with the episodes (cam, id, ts_us (their start), end_us) around it, pad_us wide on either side, and with null once none can come any
+    more. A join of two streams by camera, time slot and range: either side waits in state until both watermarks have passed what could still meet it. No episode is longer
+    than longest_us. Of several episodes attributions() keeps one."""
+    late, seconds = f"{late_us // 1000} milliseconds", lambda us: f"INTERVAL '{us // US}' SECOND"
+    t = transits.select("cam", "id", F.col("ts_us").alias("t_us"), F.timestamp_micros("ts_us").alias("t_at"), F.floor(F.col("ts_us") / slot_us).alias("slot")).withWatermark("t_at", late)
+    e = episodes.select(F.col("cam").alias("e_cam"), F.col("id").alias("episode_id"), F.col("ts_us").alias("start_us"), "end_us", F.timestamp_micros("ts_us").alias("e_at")).withWatermark("e_at", late)
+    e = e.withColumn("e_slot", F.explode(F.sequence(F.floor((F.col("start_us") - pad_us) / slot_us), F.floor((F.col("end_us") + pad_us) / slot_us))))
+    near = f"t_at >= e_at - {seconds(pad_us)} AND t_at <= e_at + {seconds(pad_us + longest_us)}"  # what state may be dropped by
+    on = f"cam = e_cam AND slot = e_slot AND {near} AND t_us >= start_us - {pad_us} AND t_us <= end_us + {pad_us}"
+    return t.join(e, F.expr(on), "leftOuter").select("id", "episode_id")
+
+
+def attributions(matches: DataFrame) -> DataFrame:
+    """One row for each transit, the least id of its episodes: setting it again changes nothing."""
+    return matches.where("id IS NOT NULL").groupBy("id").agg(F.min("episode_id").alias("episode_id"))
 
 
 def send_batches(stream: DataFrame, sender: Callable[[str, list[str], str], None], url: str, what: str, rows: int = 500):

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .ordered import in_order
+
 US = 1_000_000
 
 
@@ -92,17 +94,32 @@ class DoorMachine:
         return [(self.since, level)]
 
 
-def door_signal(samples: DataFrame, p: Signal | None = None) -> DataFrame:
-    """cam, ts_us, door_state: state changes from a stream of samples (cam, ts_us, value)."""
-    p = p or Signal()
+class _Sampled:
+    """A machine of this module over the rows of a stream."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = DoorMachine(p, state.get if state.exists else None)
-        rows = [(key[0], t, s) for r in pd.concat(list(batches)).sort_values("ts_us", kind="stable").itertuples() for t, s in machine.step(int(r.ts_us), float(r.value))]
-        state.update(machine.saved())
-        yield pd.DataFrame(rows, columns=["cam", "ts_us", "door_state"])
+    def __init__(self, machine) -> None:
+        self.machine = machine
 
-    return samples.groupBy("cam").applyInPandasWithState(run, "cam string, ts_us long, door_state string", "values array<double>, state string, level string, since long, left long, closed long", "append", GroupStateTimeout.NoTimeout)
+    def step(self, r: dict) -> list[tuple]:
+        if r["value"] is None:
+            return []
+        found = self.machine.step(int(r["ts_us"]), float(r["value"]))
+        return found if isinstance(found, list) else [found] if found else []
+
+    def expire(self, us: int) -> list[tuple]:
+        return []
+
+    def due(self) -> int | None:
+        return None
+
+    def saved(self) -> list:
+        return list(self.machine.saved())
+
+
+def door_signal(samples: DataFrame, late_us: int, p: Signal | None = None) -> DataFrame:
+    """cam, ts_us, door_state: state changes from a stream of samples (cam, ts_us, id, value), in the order of event time; null and NaN values are no samples."""
+    p = p or Signal()
+    return in_order(samples, ["cam"], ["ts_us", "id", "value"], lambda saved: _Sampled(DoorMachine(p, saved)), "ts_us long, door_state string", late_us)
 
 
 @dataclass(frozen=True)
@@ -182,20 +199,11 @@ class EdgeMachine:
         return None
 
 
-def edge_cycles(samples: DataFrame, p: Edge | None = None) -> DataFrame:
-    """cam, the four times, close_travel_us and quality of each cycle from a stream of samples (cam, ts_us, value); null and NaN values are no samples."""
+def edge_cycles(samples: DataFrame, late_us: int, p: Edge | None = None) -> DataFrame:
+    """cam, the four times, close_travel_us and quality of each cycle from a stream of samples (cam, ts_us, id, value), in the order of event time; null and NaN values are no samples."""
     p = p or Edge()
-    columns = ["cam", "open_start_us", "open_full_us", "close_start_us", "close_full_us", "close_travel_us", "quality"]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = EdgeMachine(p, state.get if state.exists else None)
-        found = (machine.step(int(r.ts_us), float(r.value)) for r in pd.concat(list(batches)).dropna(subset=["value"]).sort_values(["ts_us", "value"], kind="stable").itertuples())
-        rows = [(key[0], *c) for c in found if c]
-        state.update(machine.saved())
-        yield pd.DataFrame(rows, columns=columns).astype({"close_travel_us": "Int64"})
-
-    return samples.groupBy("cam").applyInPandasWithState(run, "cam string, open_start_us long, open_full_us long, close_start_us long, close_full_us long, close_travel_us long, quality string",
-        "values array<double>, state string, start long, full long, close long, below long, last long, abandoned long", "append", GroupStateTimeout.NoTimeout)
+    out = "open_start_us long, open_full_us long, close_start_us long, close_full_us long, close_travel_us long, quality string"
+    return in_order(samples, ["cam"], ["ts_us", "id", "value"], lambda saved: _Sampled(EdgeMachine(p, saved)), out, late_us)
 
 
 #: How long a track's state is kept without samples (longer than a track may be unseen), and how late a sample may come.

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from hoistway.sources import adapters, readers, schemas, sinks
-from hoistway.streaming import jobs
+from hoistway.streaming import jobs, ordered
 
 
 def test_absent_table_is_empty_with_its_schema(spark, tmp_path):
@@ -71,7 +71,8 @@ def test_stream_cycles_carry_state_between_batches(spark, tmp_path, files):
     for f in range(files):
         (src / f"{f}.json").write_text("\n".join(json.dumps(r) for r in rows[f * per : (f + 1) * per]))
     stream = spark.readStream.schema("cam string, door_version string, ts_us long, id long, door_state string").option("maxFilesPerTrigger", 1).json(str(src))
-    got = sorted(r.id for r in jobs.run_available(jobs.door_cycles(stream)).collect())
+    stream = ordered.Closable(stream)
+    got = sorted(r.id for r in ordered.drain(jobs.door_cycles(stream.rows, 1_000_000), [stream]).collect())
     assert got == [3, 7]
 
 
@@ -86,10 +87,11 @@ def test_audited_episodes_have_their_evidence_and_time_out(spark, tmp_path):
         (src / f"{f}.json").write_text("\n".join(json.dumps(r | {"id": i}) for i, r in enumerate(part)))
         os.utime(src / f"{f}.json", (1_700_000_000 + f, 1_700_000_000 + f))  # files are read in the order of their times
     schema = "cam string, ts_us long, id long, direction string, track_ids array<long>, detections long, occupancy long, segments long, dropped long"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)).selectExpr("*", "timestamp_micros(ts_us) AS at").withWatermark("at", "30 seconds")
-    got = {(r.cam, r.start_us // s): r for r in jobs.run_available(jobs.audited_episodes(stream, 8 * s, 25 * s)).collect()}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+    stream = ordered.Closable(stream)
+    got = {(r.cam, r.start_us // s): r for r in ordered.drain(jobs.audited_episodes(stream.rows, 8 * s, 25 * s, 30 * s), [stream]).collect()}
     a = got["a", 1]
     assert (a.end_us, a.boarded, a.alighted, a.frames, a.distinct_tracks, a.det_max, a.det_mean, a.occupancy_max, a.degraded, a.refused) == (3 * s, 1, 1, 2, 2, 3, 2.0, 5, True, None)
     assert got["b", 4].refused == "no_tracks" and got["c", 5].refused == "no_frames" and not got["b", 4].degraded
-    assert got["d", 1].end_us == 22 * s and set(got) == {("a", 1), ("b", 4), ("c", 5), ("d", 1)}
+    assert got["d", 1].end_us == 22 * s and set(got) == {("a", 1), ("b", 4), ("c", 5), ("d", 1), ("d", 29), ("e", 60)}
     assert jobs.refused(0, 5, 0, 0) == "no_transits"
