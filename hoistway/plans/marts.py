@@ -102,18 +102,6 @@ q(
       SELECT cam, BUCKET(ts_us + 19800000000, 3600000000) % 24 AS hour, 1 AS n FROM {transit} UNION ALL
       SELECT cam, BUCKET(start_us + 19800000000, 3600000000) % 24 AS hour, machine_boarded AS n FROM {episode} WHERE machine_boarded > 0) GROUP BY 1, 2""",
 )
-q(
-    "ag4_observed_hour_means",
-    """WITH c AS (SELECT DISTINCT cam, BUCKET(ts_us + 19800000000, 3600000000) AS h FROM {door}),
-    t AS (SELECT cam, BUCKET(ts_us + 19800000000, 3600000000) AS h, count(*) AS n FROM {transit} GROUP BY 1, 2)
-    SELECT c.cam, c.h % 24 AS hour, count(*) AS observed_days, sum(coalesce(t.n, 0)) AS total, round(sum(coalesce(t.n, 0)) / DOUBLED(count(*)), 6) AS mean_n
-    FROM c LEFT JOIN t ON c.cam = t.cam AND c.h = t.h GROUP BY 1, 2""",
-)
-q(
-    "ag4_peak_hour",
-    """WITH t AS (SELECT cam, BUCKET(ts_us + 19800000000, 3600000000) % 24 AS hour, count(*) AS n FROM {transit} GROUP BY 1, 2)
-    SELECT hour, sum(n) AS fleet, round(stddev_samp(n) / avg(n), 6) AS cv, count(*) AS lifts FROM t GROUP BY hour HAVING count(*) >= 3""",
-)
 q(
     "ag6_reason_counts",
     """SELECT cam, door_version, count(*) FILTER (WHERE reason LIKE 'no_%') AS n_no_read, count(*) FILTER (WHERE reason = 'ambiguous') AS n_ambiguous,
@@ -131,21 +119,6 @@ q(
     """SELECT cam, sum(CASE WHEN direction = 'in' THEN 1 ELSE 0 END) AS boarded, sum(CASE WHEN direction = 'in' THEN 0 WHEN direction IS NULL THEN 1 ELSE 1 END) AS alighted,
       sum(CASE WHEN direction = 'in' AND ts_us >= 1706553000000000 THEN 1 ELSE 0 END) AS boarded_today, max(nullif(ts_us, 0)) AS last_us FROM {transit} GROUP BY cam""",
 )
-q(
-    "ag9_day_lift_matrix",
-    """WITH days AS (SELECT DISTINCT BUCKET(ts_us + 19800000000, 86400000000) AS day FROM {door}),
-    seen AS (SELECT DISTINCT cam, BUCKET(ts_us + 19800000000, 86400000000) AS day FROM {door}),
-    n AS (SELECT cam, BUCKET(ts_us + 19800000000, 86400000000) AS day, count(*) AS n FROM {transit} GROUP BY 1, 2),
-    grid AS (SELECT day, 'ch' || CAST(channel AS STRING) AS cam FROM (SELECT day, UNNEST(FLEET(16, 27, 29, 30, 32, 34, 37)) AS channel FROM days)),
-    cells AS (SELECT c.day, c.cam, CASE WHEN s.cam IS NOT NULL THEN coalesce(n.n, 0) END AS n FROM grid c LEFT JOIN seen s ON s.cam = c.cam AND s.day = c.day LEFT JOIN n ON n.cam = c.cam AND n.day = c.day)
-    SELECT day, cam, sum(n) AS n, count(*) - count(n) AS dark FROM cells GROUP BY GROUPING SETS ((day, cam), (day), (cam), ())""",
-)
-q(
-    "ag10_demand_log",
-    """WITH t AS (SELECT cam, BUCKET(ts_us + 19800000000, 3600000000) AS h, CASE WHEN ts_us < 1705363200000000 THEN 'count-v1' ELSE 'count-v2' END AS version, direction FROM {transit})
-    SELECT h, version, coalesce(cam, 'FLEET') AS lift, count(*) FILTER (WHERE direction = 'in') AS boarded, count(*) FILTER (WHERE direction IS DISTINCT FROM 'in') AS alighted
-    FROM t GROUP BY GROUPING SETS ((h, version, cam), (h, version))""",
-)
 q(
     "ag11_named_windows",
     """WITH e AS (SELECT cam, BUCKET(start_us + 19800000000, 3600000000) % 24 AS hour, machine_boarded AS b, machine_alighted AS a FROM {episode}),
@@ -206,12 +179,6 @@ q(
         avg(CASE WHEN ts_us < 1706400000000000 THEN CASE WHEN floor IS NULL THEN 0.0 ELSE 1.0 END END) AS base, avg(CASE WHEN ts_us >= 1706400000000000 THEN CASE WHEN floor IS NULL THEN 0.0 ELSE 1.0 END END) AS recent
       FROM {door} WHERE ts_us >= 1705795200000000 GROUP BY cam)""",
 )
-q(
-    "ag26_coverage_pct",
-    """WITH s AS (SELECT DISTINCT cam, BUCKET(ts_us, 3600000000) AS slot FROM {door}),
-    u AS (SELECT slot FROM (SELECT DISTINCT BUCKET(ts_us, 3600000000) AS slot FROM {door}) x WHERE NOT EXISTS (SELECT 1 FROM {gaps} g WHERE g.gap_cam IS NULL AND x.slot * 3600000000 + 1800000000 >= g.start_us AND x.slot * 3600000000 + 1800000000 < g.end_us))
-    SELECT s.cam, count(*) AS observed, round(least(100.0, 100.0 * count(*) / (SELECT count(*) FROM u)), 4) AS coverage_pct FROM s JOIN u ON s.slot = u.slot GROUP BY s.cam""",
-)
 q(
     "ag27_boundaries",
     """SELECT e.cam AS lift, e.version, e.from_us, count(*) FILTER (WHERE t.ts_us < e.from_us) AS rows_before, count(*) FILTER (WHERE t.ts_us >= e.from_us) AS rows_after
