@@ -14,9 +14,13 @@ Z95 = 1.959963984540054
 
 def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, v, upto (rows with a value of at most v), n (rows of the key). Nulls take no part."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    return ranked_counts(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")), keys)
+
+
+def ranked_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, v, c, upto, n from value counts (keys, v, c)."""
     own = Window.partitionBy(*keys)
-    return counts.select(*keys, "v", F.sum("c").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(own).alias("n"))
+    return counts.select(*keys, "v", "c", F.sum("c").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(own).alias("n"))
 
 
 def at_rank(rank: Column) -> Column:

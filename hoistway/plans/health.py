@@ -245,18 +245,3 @@ def sk16_declared_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPECS = [("ch16", "frames", "operator", 13), ("ch27", "frames", None, 13), ("ch29", "frames", "operator", 13), ("ch30", None, "operator", 13), ("ch32", "weight", "service", 10), ("ch34", "frames", "operator", None), ("ch37", "weight", "service", 10)]
 
-
-@query(
-    "pf13_printable_loads",
-    "WITH s AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in SPECS) + """) t(cam, basis, confirmer, persons)),
-    p AS (SELECT *, basis IS NOT NULL AND confirmer IS NOT NULL AND coalesce(persons, 0) > 0 AS printable FROM s)
-    SELECT a.cam, a.printable, concat_ws(',', CASE WHEN a.basis IS NULL THEN 'no basis' END, CASE WHEN a.confirmer IS NULL THEN 'not confirmed' END, CASE WHEN coalesce(a.persons, 0) <= 0 THEN 'no rated persons' END) AS refused,
-      count(*) FILTER (WHERE a.printable AND b.printable AND a.cam <> b.cam AND a.basis = b.basis) AS comparable_with FROM p a, p b GROUP BY 1, 2, 3""",
-)
-def pf13_printable_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lift's loading may be printed if its basis, its confirmation and the rated persons are all declared, and compared with lifts of the same basis only."""
-    s = spark.createDataFrame(SPECS, "cam string, basis string, confirmer string, persons int")
-    missing = [(F.col("basis").isNull(), "no basis"), (F.col("confirmer").isNull(), "not confirmed"), (F.coalesce("persons", F.lit(0)) <= 0, "no rated persons")]
-    p = s.withColumns({"refused": F.concat_ws(",", *[F.when(c, text) for c, text in missing]), "printable": ~(missing[0][0] | missing[1][0] | missing[2][0])})
-    same = F.sum(F.col("printable").cast("long")).over(Window.partitionBy("basis"))
-    return p.select("cam", "printable", "refused", F.when(F.col("printable"), same - 1).otherwise(0).alias("comparable_with"))

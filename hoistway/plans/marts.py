@@ -7,15 +7,7 @@ from ..registry import sql_query as q
 # scans, predicates, cleansing
 q("sc3_door_scan", "SELECT id, cam, ts_us, floor, door_state FROM {door} WHERE gateway_id = 'site-A' AND ts_us >= 1704672000000000 AND ts_us < 1705276800000000")
 q("sc4_transit_scan", "SELECT id, cam, ts_us, direction FROM {transit} WHERE ts_us IS NOT NULL AND ts_us >= 1704672000000000")
-q(
-    "sc5_clean_cycles",
-    """SELECT o.o_orderkey AS id, c.c_nationkey AS source_id, o.o_totalprice AS close_travel_s,
-      coalesce(o.o_totalprice > 0 AND (o.o_orderpriority IS NULL OR o.o_orderpriority = '1-URGENT'), false) AS clean,
-      CASE WHEN c.c_acctbal > 0 THEN round(c.c_acctbal, 2) END AS dwell_s
-    FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey""",
-)
 q("sc7_confident_reads", "SELECT id, cam, door_version, ts_us, floor FROM {door} WHERE floor IS NOT NULL AND coalesce(reason, '') IN ('', 'ok', 'single_panel')")
-q("sc8_channel_dimension", "SELECT 'ch' || CAST(channel AS STRING) AS cam, nullif(label, '') AS label, is_lift = 1 AS is_lift FROM {channels}")
 q(
     "sc9_precision",
     """SELECT cam, count(*) AS n_reviewed, count(*) FILTER (WHERE machine_boarded = human_boarded AND machine_alighted = human_alighted) AS n_exact,
@@ -23,7 +15,6 @@ q(
     FROM {episode} WHERE status = 'reviewed' GROUP BY cam""",
 )
 q("sc10_latest_per_camera", "SELECT cam, max(id) AS id, MAXBY(door_state, id) AS door_state, MAXBY(floor, id) AS floor FROM {door} GROUP BY cam")
-q("sc11_throttle_flags", "SELECT id, cam, k, k % 16 AS now_flags, CAST(floor(k / 16) AS BIGINT) % 16 AS sticky_flags, k % 2 = 1 AS under_voltage_now FROM {door} WHERE ts_us > 1706659200000000 - 172800000000")
 q("pf2_era_prefix", "SELECT id, cam, door_version FROM {door} WHERE door_version >= 'bbbb2222' AND door_version < 'bbbb2223'")
 q("pf3_local_days", "SELECT BUCKET(ts_us + 19800000000, 86400000000) AS local_day, cam, count(*) AS n FROM {door} WHERE ts_us >= 1705170600000000 AND ts_us < 1705775400000000 GROUP BY 1, 2")
 q(
@@ -91,11 +82,6 @@ q(
 )
 
 # aggregates
-q(
-    "ag2_crossing_rates",
-    """SELECT t.cam, e.version, count(*) FILTER (WHERE direction = 'in') AS boarded, count(*) FILTER (WHERE direction IS DISTINCT FROM 'in') AS alighted, round(count(*) / 720.0, 6) AS per_hour
-    FROM {transit} t JOIN {epochs} e ON e.cam IS NULL AND BUCKET(t.ts_us, 1) >= e.from_us AND (e.version = 'count-v2') = (t.ts_us >= 1705363200000000) GROUP BY 1, 2""",
-)
 q(
     "ag3_hour_profile",
     """SELECT cam, hour, sum(n) AS n FROM (
@@ -119,18 +105,6 @@ q(
     """SELECT cam, sum(CASE WHEN direction = 'in' THEN 1 ELSE 0 END) AS boarded, sum(CASE WHEN direction = 'in' THEN 0 WHEN direction IS NULL THEN 1 ELSE 1 END) AS alighted,
       sum(CASE WHEN direction = 'in' AND ts_us >= 1706553000000000 THEN 1 ELSE 0 END) AS boarded_today, max(nullif(ts_us, 0)) AS last_us FROM {transit} GROUP BY cam""",
 )
-q(
-    "ag11_named_windows",
-    """WITH e AS (SELECT cam, BUCKET(start_us + 19800000000, 3600000000) % 24 AS hour, machine_boarded AS b, machine_alighted AS a FROM {episode}),
-    w AS (SELECT 'am' AS name, 8 AS lo, 10 AS hi UNION ALL SELECT 'pm', 18, 20 UNION ALL SELECT 'all', 0, 24)
-    SELECT w.name, e.cam, count(*) AS cycles, sum(b) AS boarded, sum(a) AS alighted, round(sum(a + b) / DOUBLED((max(hi) - max(lo)) * 30), 6) AS per_hour FROM e JOIN w ON e.hour >= w.lo AND e.hour < w.hi GROUP BY 1, 2""",
-)
-q(
-    "ag14_occupancy_stats",
-    """SELECT cam, counting_version, count(*) FILTER (WHERE occupancy_frames > 0) AS measured, count(*) FILTER (WHERE occupancy_frames IS NULL) AS no_feature, count(*) FILTER (WHERE occupancy_frames = 0) AS no_evidence,
-      max(occupancy_max) FILTER (WHERE occupancy_frames > 0) AS peak, count(*) FILTER (WHERE occupancy_degraded) AS degraded,
-      round(sum(machine_boarded) FILTER (WHERE human_boarded IS NOT NULL) / DOUBLED(nullif(sum(human_boarded), 0)), 6) AS hand_ratio FROM {episode} GROUP BY 1, 2""",
-)
 q("ag17_era_list", "SELECT split_part(door_version, '+', 1) AS era, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT door_version) AS versions FROM {door} GROUP BY 1")
 q(
     "ag18_transition_matrix",
@@ -150,35 +124,7 @@ q(
       FROM {door} WINDOW w AS (PARTITION BY cam ORDER BY ts_us, id))
     SELECT cam, count(*) FILTER (WHERE f) AS floor_changes, count(*) FILTER (WHERE d) AS direction_changes, count(*) FILTER (WHERE s) AS state_changes, count(*) FILTER (WHERE gap < 300000000) AS short_gaps FROM c GROUP BY cam""",
 )
-q(
-    "ag20_headways",
-    """WITH h AS (SELECT cam, (ts_us - lag(ts_us) OVER (PARTITION BY cam ORDER BY ts_us, id)) / 1000000.0 AS headway FROM {door} WHERE door_state = 'open'),
-    m AS (SELECT cam, count(*) AS stops, PCT(headway, 0.5) AS med, PCT(headway, 0.9) AS p90 FROM h GROUP BY cam)
-    SELECT m.cam, m.stops, round(m.med, 4) AS median_s, round(m.p90, 4) AS p90_s, count(*) FILTER (WHERE h.headway > greatest(36000, 3 * m.med)) AS idle FROM m JOIN h ON h.cam = m.cam GROUP BY 1, 2, 3, 4""",
-)
 q("ag21_derived_precision", "SELECT cam, counting_version, count(*) AS reviewed, count(*) FILTER (WHERE human_boarded = machine_boarded AND human_alighted = machine_alighted) AS exact, count(*) >= 20 AS may_go_live FROM {episode} WHERE status = 'reviewed' GROUP BY 1, 2")
-q(
-    "ag22_boardings_per_open",
-    """WITH o AS (SELECT cam, BUCKET(ts_us + 19800000000, 86400000000) AS day, count(*) AS opens FROM (SELECT cam, ts_us, door_state, lag(door_state) OVER (PARTITION BY cam ORDER BY ts_us, id) AS prev FROM {door})
-      WHERE door_state = 'open' AND (prev IS NULL OR prev <> 'open') GROUP BY 1, 2),
-    b AS (SELECT cam, BUCKET(ts_us + 19800000000, 86400000000) AS day, count(*) AS boarded FROM {transit} WHERE direction = 'in' GROUP BY 1, 2),
-    r AS (SELECT o.cam, o.day, coalesce(b.boarded, 0) / DOUBLED(o.opens) AS ratio, row_number() OVER (PARTITION BY o.cam ORDER BY coalesce(b.boarded, 0) / DOUBLED(o.opens), o.day) AS rn, count(*) OVER (PARTITION BY o.cam) AS n FROM o LEFT JOIN b ON b.cam = o.cam AND b.day = o.day)
-    SELECT cam, max(n) AS days, round(max(CASE WHEN rn = CAST(floor(n / 2) AS BIGINT) + 1 THEN ratio END), 6) AS baseline, max(n) < 5 AS unknown FROM r GROUP BY cam""",
-)
-q(
-    "ag23_confidence_baseline",
-    """WITH d AS (SELECT cam, BUCKET(ts_us + 19800000000, 86400000000) AS day, count(*) AS n, avg(read_conf) AS conf FROM {door} WHERE floor IS NOT NULL GROUP BY 1, 2),
-    j AS (SELECT *, row_number() OVER (PARTITION BY cam ORDER BY day DESC) AS rn FROM d WHERE n >= 3)
-    SELECT cam, round(max(CASE WHEN rn = 1 THEN conf END), 6) AS recent, round(PCT(CASE WHEN rn BETWEEN 2 AND 15 THEN conf END, 0.5), 6) AS baseline, count(*) FILTER (WHERE rn BETWEEN 2 AND 15) AS base_days,
-      coalesce(PCT(CASE WHEN rn BETWEEN 2 AND 15 THEN conf END, 0.5) - max(CASE WHEN rn = 1 THEN conf END) > 0.05, false) AS dropped FROM j GROUP BY cam""",
-)
-q(
-    "ag24_floor_rate",
-    """SELECT cam, n_base, n_recent, CASE WHEN n_base < 60 OR n_recent < 5 OR base < 0.2 THEN 'unknown' WHEN recent <= 0.25 * base THEN 'collapsed' WHEN recent <= 0.5 * base THEN 'degraded' ELSE 'ok' END AS verdict FROM (
-      SELECT cam, count(*) FILTER (WHERE ts_us < 1706400000000000) AS n_base, count(*) FILTER (WHERE ts_us >= 1706400000000000) AS n_recent,
-        avg(CASE WHEN ts_us < 1706400000000000 THEN CASE WHEN floor IS NULL THEN 0.0 ELSE 1.0 END END) AS base, avg(CASE WHEN ts_us >= 1706400000000000 THEN CASE WHEN floor IS NULL THEN 0.0 ELSE 1.0 END END) AS recent
-      FROM {door} WHERE ts_us >= 1705795200000000 GROUP BY cam)""",
-)
 q(
     "ag27_boundaries",
     """SELECT e.cam AS lift, e.version, e.from_us, count(*) FILTER (WHERE t.ts_us < e.from_us) AS rows_before, count(*) FILTER (WHERE t.ts_us >= e.from_us) AS rows_after
@@ -205,11 +151,6 @@ q(
     """WITH r AS (SELECT cam, ts_us, id, count(*) OVER (PARTITION BY cam ORDER BY ts_us RANGE BETWEEN 89999999999 PRECEDING AND CURRENT ROW) AS n FROM {transit})
     SELECT cam, n AS peak, min(ts_us) AS at_us FROM r WHERE n = (SELECT max(n) FROM r r2 WHERE r2.cam = r.cam) GROUP BY 1, 2""",
 )
-q(
-    "wn10_silences",
-    """WITH s AS (SELECT cam, ts_us, lag(ts_us) OVER (PARTITION BY cam ORDER BY ts_us, id) AS prev FROM {door})
-    SELECT cam, prev AS from_us, ts_us AS to_us, BUCKET(ts_us - prev, 3600000000) AS hours FROM s WHERE ts_us - prev >= 9000000000""",
-)
 q(
     "wn11_speed_segments",
     """WITH m AS (SELECT cam, door_version, ts_us, id, CASE WHEN floor = 'G' THEN 0 ELSE CAST(CASE WHEN floor = 'G' THEN '0' ELSE floor END AS INT) END AS f FROM {door} WHERE floor IS NOT NULL AND reason IN ('ok', 'single_panel')),
@@ -262,13 +203,6 @@ q("so10_unmatched", "SELECT cam, ts_bucket FROM {transit} WHERE direction = 'in'
 
 # scalar functions
 q("sf3_local_clock", "SELECT id, BUCKET(ts_us + 19800000000, 86400000000) AS local_day, BUCKET(ts_us + 19800000000, 3600000000) % 24 AS local_hour, (BUCKET(ts_us + 19800000000, 86400000000) + 3) % 7 AS weekday FROM {door}")
-q(
-    "sf4_gap_union",
-    """WITH g AS (SELECT 'ch' || CAST(c.channel AS STRING) AS cam, g.start_us AS lo, g.end_us AS hi FROM {channels} c JOIN {gaps} g ON g.gap_cam IS NULL OR g.gap_cam = 'ch' || CAST(c.channel AS STRING)),
-    m AS (SELECT *, max(hi) OVER (PARTITION BY cam ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
-    i AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY cam ORDER BY lo, hi) AS island FROM m)
-    SELECT cam, sum(len) AS gap_us, count(*) AS islands FROM (SELECT cam, island, max(hi) - min(lo) AS len FROM i GROUP BY 1, 2) GROUP BY cam""",
-)
 q("sf5_era_keys", "SELECT DISTINCT door_version, coalesce(nullif(split_part(door_version, '+', 1), ''), 'unversioned') AS era FROM {door}")
 q("sf6_label_number", "SELECT floor, TRY_CAST(floor AS INT) AS number, count(*) AS n FROM {door} GROUP BY 1, 2")
 q(
@@ -321,11 +255,6 @@ q(
     """SELECT cam, n, CASE WHEN n >= 100 AND abs(m - 30) > h THEN 'HIGH' WHEN n >= 30 THEN 'MEDIUM' ELSE 'TOO EARLY' END AS level, CASE WHEN m - h > 30 THEN 'above' WHEN m + h < 30 THEN 'below' ELSE 'straddles' END AS verdict FROM (
       SELECT cam, count(*) AS n, avg(close_travel_s) AS m, 1.959963984540054 * stddev_samp(close_travel_s) / sqrt(count(*)) AS h FROM {door} WHERE door_state = 'closing' GROUP BY cam)""",
 )
-q(
-    "sx16_load_balance",
-    """WITH t AS (SELECT cam, count(*) AS n FROM {transit} GROUP BY cam)
-    SELECT count(*) AS lifts, round(stddev_samp(n) / avg(n), 6) AS cv, CASE WHEN stddev_samp(n) / avg(n) < 0.25 THEN 'balanced' WHEN stddev_samp(n) / avg(n) < 0.6 THEN 'uneven' ELSE 'skewed' END AS finding FROM t""",
-)
 q("sk2_transit_dedup", "SELECT gateway_id, cam, track_id, direction, ts_bucket, min(id) AS id FROM {transit} GROUP BY 1, 2, 3, 4, 5")
 q("sk3_latest_state", "SELECT gateway_id, cam, MAXBY(door_state, id) AS state, max(id) AS id, count(DISTINCT BUCKET(ts_us, 60000000)) AS history_rows FROM {door} GROUP BY 1, 2")
 q("sk4_derived_close", "SELECT id, CASE WHEN reason = 'ok' THEN round(close_travel_s - read_conf, 3) END AS close_travel_s FROM {door} WHERE door_state = 'closing' AND close_travel_s IS NOT NULL")

@@ -18,8 +18,6 @@ q(
     """SELECT BUCKET(ts_us + 19800000000, 86400000000) AS day, count(*) FILTER (WHERE cam = 'ch16') AS ch16, count(*) FILTER (WHERE cam = 'ch27') AS ch27, count(*) FILTER (WHERE cam = 'ch29') AS ch29, count(*) FILTER (WHERE cam = 'ch30') AS ch30,
       count(*) FILTER (WHERE cam = 'ch32') AS ch32, count(*) FILTER (WHERE cam = 'ch34') AS ch34, count(*) FILTER (WHERE cam = 'ch37') AS ch37 FROM {transit} GROUP BY 1""",
 )
-q("sk15_run_ledger", "SELECT BUCKET(ts_us, 3600000000) AS run, count(*) AS n_rows, max(ts_us) - min(ts_us) AS span_us FROM {door} WHERE ts_us > 1706659200000000 - 1209600000000 GROUP BY 1")
-q("sk16_era_notes", "SELECT e.version, e.from_us, coalesce(e.cam, 'fleet') AS scope, CASE WHEN e.cam IS NULL THEN 'fleet change' ELSE 'camera change' END AS note FROM {epochs} e")
 q("pf1_half_open", "SELECT count(*) AS n, count(*) FILTER (WHERE ts_us = 1704672000000000) AS at_start FROM {door} WHERE ts_us >= 1704672000000000 AND ts_us < 1704758400000000")
 q("pf4_rolling_window", "SELECT cam, count(*) AS n FROM {door} WHERE ts_us >= 1706659200000000 - 7 * 86400000000 GROUP BY cam")
 q(
@@ -31,27 +29,6 @@ q(
     """WITH own AS (SELECT cam, avg(read_conf) AS v FROM {door} WHERE door_version LIKE '%h3%' GROUP BY cam HAVING count(*) > 100), prior AS (SELECT cam, avg(read_conf) AS v FROM {door} WHERE door_version LIKE 'aaaa%' GROUP BY cam)
     SELECT coalesce(o.cam, p.cam) AS cam, round(coalesce(o.v, p.v, 0.5), 6) AS conf, CASE WHEN o.v IS NOT NULL THEN 'own' WHEN p.v IS NOT NULL THEN 'prior' ELSE 'default' END AS source FROM own o FULL OUTER JOIN prior p ON o.cam = p.cam""",
 )
-q(
-    "ag5_busiest_hour",
-    """WITH t AS (SELECT CASE WHEN ts_us < 1705363200000000 THEN 'count-v1' ELSE 'count-v2' END AS version, BUCKET(ts_us + 19800000000, 3600000000) % 24 AS hour, direction FROM {transit}),
-    v AS (SELECT version, count(*) FILTER (WHERE direction = 'in') AS n FROM t GROUP BY 1), b AS (SELECT version FROM v ORDER BY n DESC, version LIMIT 1)
-    SELECT t.version, t.hour, count(*) AS n FROM t JOIN b ON b.version = t.version GROUP BY 1, 2 ORDER BY n DESC, hour LIMIT 1""",
-)
-q(
-    "ag16_door_summary",
-    """SELECT cam, split_part(door_version, '+', 1) AS era, count(*) AS closes, round(avg(close_travel_s), 5) AS mean_s, round(100.0 * count(*) FILTER (WHERE close_travel_s > 50) / count(*), 4) AS over_pct, count(*) FILTER (WHERE reason <> 'ok') AS excluded
-    FROM {door} WHERE door_state = 'closing' GROUP BY 1, 2""",
-)
-q(
-    "ag25_fleet_health",
-    """WITH s AS (SELECT cam, max(ts_us) AS last_us, count(*) FILTER (WHERE ts_us > 1706400000000000) AS recent, avg(CASE WHEN floor IS NULL THEN DOUBLED(1) ELSE DOUBLED(0) END) AS dark FROM {door} GROUP BY cam)
-    SELECT cam, CASE WHEN 1706659200000000 - last_us > 86400000000 THEN 'silent' WHEN recent = 0 THEN 'stalled' WHEN dark > 0.9 THEN 'out_of_service' ELSE 'ok' END AS health, recent FROM s""",
-)
-q(
-    "ag29_peak_window_cycles",
-    """WITH h AS (SELECT cam, BUCKET(ts_us, 7200000000) AS w, count(*) AS n, row_number() OVER (PARTITION BY cam ORDER BY count(*) DESC, BUCKET(ts_us, 7200000000)) AS rn FROM {transit} GROUP BY cam, BUCKET(ts_us, 7200000000))
-    SELECT d.cam, count(*) AS cycles, round(avg(d.close_travel_s), 5) AS mean_s, max(h.n) AS crossings FROM {door} d JOIN h ON h.cam = d.cam AND h.rn = 1 AND BUCKET(d.ts_us, 7200000000) = h.w GROUP BY 1""",
-)
 q(
     "wn12_string_segments",
     """WITH p AS (SELECT cam, floor, lag(floor) OVER (PARTITION BY cam ORDER BY ts_us, id) AS prev, k FROM {door} WHERE floor IS NOT NULL OR k >= 90)
@@ -63,22 +40,6 @@ q(
     s AS (SELECT *, lag(ts_us) OVER (PARTITION BY cam, door_version ORDER BY ts_us, id) AS began FROM r WHERE prev IS NULL OR prev <> door_state)
     SELECT cam, door_version, count(*) AS cycles, count(*) FILTER (WHERE ts_us - began >= 900000000) AS held FROM s WHERE door_state = 'closed' AND prev IN ('closing', 'open') GROUP BY 1, 2""",
 )
-q(
-    "wn21_floor_dwells",
-    """WITH r AS (SELECT cam, ts_us, id, floor, CASE WHEN floor IS DISTINCT FROM lag(floor) OVER (PARTITION BY cam ORDER BY ts_us, id) THEN 1 ELSE 0 END AS new FROM {door} WHERE floor IS NOT NULL),
-    g AS (SELECT cam, floor, ts_us, sum(new) OVER (PARTITION BY cam ORDER BY ts_us, id) AS run FROM r)
-    SELECT cam, run, floor, min(ts_us) AS start_us, max(ts_us) - min(ts_us) AS dwell_us FROM g GROUP BY 1, 2, 3 HAVING max(ts_us) - min(ts_us) >= 600000000""",
-)
-q(
-    "wn22_smoothed_crossings",
-    """WITH s AS (SELECT cam, ts_us, id, avg(read_conf) OVER (PARTITION BY cam ORDER BY ts_us, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {door}), c AS (SELECT cam, v, lag(v) OVER (PARTITION BY cam ORDER BY ts_us, id) AS p FROM s)
-    SELECT cam, count(*) FILTER (WHERE v >= 0.7005 AND p < 0.7005) AS rises, count(*) FILTER (WHERE v < 0.3005 AND p >= 0.3005) AS falls FROM c GROUP BY cam""",
-)
-q(
-    "wn25_merged_clips",
-    """WITH m AS (SELECT cam, ts_us, 'door' AS src FROM {door} UNION ALL SELECT cam, ts_us, 'transit' FROM {transit}), g AS (SELECT cam, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY cam ORDER BY ts_us, src) AS gap FROM m)
-    SELECT cam, count(*) AS n, count(*) FILTER (WHERE gap > 3600000000) AS holes, max(gap) AS longest_us FROM g GROUP BY cam""",
-)
 q("sf8_normalised_range", "SELECT floor, upper(trim(replace(replace(floor || ' - ' || floor, ' - ', '-'), ',', ''))) AS range_text, count(*) AS n FROM {door} WHERE floor IS NOT NULL GROUP BY 1, 2")
 q("sf9_version_text", "SELECT cam, door_version, cam || ' [' || split_part(door_version, '+', 1) || ']' AS caption, count(*) AS n FROM {door} GROUP BY 1, 2")
 q(
@@ -93,7 +54,6 @@ q(
     SELECT p.id, count(*) % 2 = 1 AS inside FROM p JOIN e ON (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY p.id""",
 )
 q("sf19_glyphs", "SELECT glyph, count(*) AS n FROM (SELECT UNNEST(SPLITCHARS(floor)) AS glyph FROM {door} WHERE floor IS NOT NULL) WHERE glyph <> '' GROUP BY glyph")
-q("sf20_bit_flags", "SELECT k % 16 AS mask, count(*) AS n, count(*) FILTER (WHERE k % 2 = 1) AS bit0, count(*) FILTER (WHERE BUCKET(k, 2) % 2 = 1) AS bit1, count(*) FILTER (WHERE BUCKET(k, 4) % 2 = 1) AS bit2 FROM {door} GROUP BY 1")
 q(
     "sx4_verdict",
     """SELECT cam, door_version, CASE WHEN round(lo, 2) > 50 THEN 'clears above' WHEN round(hi, 2) < 50 THEN 'clears below' ELSE 'straddles' END AS verdict FROM (SELECT cam, door_version, avg(close_travel_s) - 1.959963984540054 * stddev_samp(close_travel_s) / sqrt(count(*)) AS lo,
@@ -109,34 +69,12 @@ q(
     """WITH r AS (SELECT cam, close_travel_s, row_number() OVER (PARTITION BY cam ORDER BY read_conf, id) - 1 AS i, count(*) OVER (PARTITION BY cam) AS n FROM {door} WHERE door_state = 'closing')
     SELECT cam, least(3, BUCKET(i, greatest(1, floor(n / 4)))) AS chunk, count(*) AS n, round(PCT(close_travel_s, 0.5) + 1e-7, 4) AS median_s FROM r GROUP BY 1, 2""",
 )
-q(
-    "sx11_best_threshold",
-    """WITH s AS (SELECT cam, BUCKET(read_conf * 100 + 0.5, 1) AS t, count(*) FILTER (WHERE door_state = 'open') AS p, count(*) FILTER (WHERE door_state <> 'open') AS n FROM {door} WHERE door_state IS NOT NULL GROUP BY 1, 2),
-    c AS (SELECT cam, t, sum(n) OVER (PARTITION BY cam ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below_n, sum(p) OVER (PARTITION BY cam ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above_p, sum(p + n) OVER (PARTITION BY cam) AS total FROM s),
-    r AS (SELECT *, row_number() OVER (PARTITION BY cam ORDER BY coalesce(below_n, 0) + above_p DESC, t) AS rn FROM c)
-    SELECT cam, t AS threshold, round((coalesce(below_n, 0) + above_p) / DOUBLED(total), 6) AS accuracy FROM r WHERE rn = 1""",
-)
-q(
-    "sx13_coefficients",
-    """WITH d AS (SELECT cam, split_part(door_version, '+', 1) AS era, close_travel_s AS close_s, read_conf * 20 AS open_s FROM {door} WHERE door_state = 'closing'),
-    u AS (SELECT cam, era, 'close travel' AS coefficient, 50.0 AS assumed, close_s AS v FROM d UNION ALL SELECT cam, era, 'open travel', 10.0, open_s FROM d)
-    SELECT cam, era, coefficient, DOUBLED(max(assumed)) AS assumed, count(v) AS n, round(avg(v) + 1e-7, 4) AS observed, CASE WHEN count(v) < 30 THEN 'too few' WHEN avg(v) > max(assumed) THEN 'above' ELSE 'below' END AS verdict FROM u GROUP BY 1, 2, 3""",
-)
-q(
-    "sx14_blockers",
-    """SELECT cam, CASE WHEN reads = 0 THEN 'no reads' WHEN confident < reads / 2 THEN 'few confident reads' WHEN floors < 5 THEN 'few floors' END AS blocker, reads, confident, floors FROM (SELECT cam, count(*) AS reads, count(*) FILTER (WHERE reason = 'ok') AS confident, count(DISTINCT floor) AS floors FROM {door} GROUP BY cam)""",
-)
 q(
     "so5_ranked_findings",
     """WITH f AS (SELECT cam, CASE WHEN avg(close_travel_s) > 50 THEN 1 WHEN count(*) < 50 THEN 3 ELSE 2 END AS priority, count(*) AS n FROM {door} WHERE door_state = 'closing' GROUP BY cam)
     SELECT row_number() OVER (ORDER BY priority, n DESC, cam) AS number, cam, priority, n FROM f""",
 )
 q("so9_known_cameras", "SELECT DISTINCT d.cam, d.cam IN (SELECT 'ch' || CAST(channel AS STRING) FROM {channels}) AS known FROM {door} d")
-q("sx17_rtt_components", "SELECT cam, count(*) AS opens, round(PCT(d, 0.5) + 1e-7, 3) AS median_dwell_s FROM (SELECT cam, door_state, (lead(ts_us) OVER (PARTITION BY cam ORDER BY ts_us, id) - ts_us) / 1000000.0 AS d FROM {door}) WHERE door_state = 'open' AND d > 0 AND d < 90000 GROUP BY cam")
-q(
-    "sx18_withheld",
-    """SELECT cam, door_version, CASE WHEN count(*) < 100 THEN 'too early' WHEN count(*) FILTER (WHERE floor IS NULL) > 0.5 * count(*) THEN 'dark floors' ELSE 'shown' END AS reason, count(*) AS n FROM {door} WHERE door_state IS NOT NULL GROUP BY 1, 2""",
-)
 q("sr6_freshest", "SELECT cam, BUCKET(ts_us, 3600000000) AS batch, MAXBY(door_state, ts_us) AS door_state, max(ts_us) AS ts_us FROM {door} GROUP BY 1, 2")
 q(
     "sr8_late_attribution",

@@ -65,27 +65,6 @@ def _flap_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("wn2_flap_aware_cycles", a.ctes("door") + "," + FLAP_CYCLES + " SELECT * FROM fc")(_flap_cycles)
 
 
-@query(
-    "ag1_cycle_summary",
-    a.ctes("door")
-    + ","
-    + FLAP_CYCLES
-    + f""", c AS (SELECT cam, door_version, count(*) AS n_all, count(*) FILTER (WHERE class = 'flap') AS n_flap, count(*) FILTER (WHERE class = 'reopened') AS n_reopened, count(*) FILTER (WHERE class = 'implausible') AS n_implausible,
-      list_sort(list(close_travel_s) FILTER (WHERE class = 'clean')) AS l, count(*) FILTER (WHERE class = 'clean' AND close_travel_s > 10) AS over FROM fc GROUP BY 1, 2)
-    SELECT cam, door_version, n_all, n_flap, n_reopened, n_implausible, coalesce(CAST(len(l) AS BIGINT), 0) AS n, {nr(0.5)} AS median, {nr(0.85)} AS p85,
-      CASE WHEN len(l) >= 6 THEN l[CAST(greatest(1, floor(len(l) / 2.0 - 1.959963984540054 * sqrt(len(l)) / 2)) AS BIGINT)] END AS lo, CASE WHEN len(l) >= 6 THEN l[CAST(least(len(l), ceil(1 + len(l) / 2.0 + 1.959963984540054 * sqrt(len(l)) / 2)) AS BIGINT)] END AS hi,
-      round(100.0 * over / len(l), 4) AS over_pct FROM c""",
-)
-def ag1_cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _flap_cycles(spark, sf_dir)
-    clean = c.where("class = 'clean'")
-    counts = c.groupBy(*cycles.ERA).agg(
-        F.count("*").alias("n_all"), *[F.count_if(F.col("class") == k).alias(f"n_{k}") for k in ("flap", "reopened", "implausible")], F.count_if((F.col("class") == "clean") & (F.col("close_travel_s") > 10)).alias("over")
-    )
-    s = stats.summary(clean, cycles.ERA, "close_travel_s").drop("least", "most")
-    return counts.join(s, cycles.ERA, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("over_pct", F.when(F.col("n") > 0, F.round(100.0 * F.col("over") / F.col("n"), 4))).drop("over")
-
-
 TRIPS = f"""{STATE_CYCLES},
 d AS (SELECT door.*, CASE WHEN cyc.id IS NOT NULL THEN 1 ELSE 0 END AS close, CASE WHEN door_state = 'open' AND coalesce(lag(door_state) OVER (PARTITION BY door.cam, door.door_version ORDER BY door.ts_us, door.id), '') <> 'open' THEN 1 ELSE 0 END AS opens FROM door LEFT JOIN cyc ON cyc.id = door.id),
 d1 AS (SELECT *, coalesce(sum(close) OVER (PARTITION BY cam, door_version ORDER BY ts_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM d),
@@ -119,16 +98,6 @@ def ag12_rtt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.join(middle, cycles.ERA, "left")
 
 
-@query(
-    "ag13_rtt_by_hour",
-    a.ctes("door") + ", " + TRIPS + f""" SELECT cam, {LOCAL_HOUR} AS hour, count(*) AS trips, round(median(rtt_s), 4) AS median_s, least(10, max(n_stops)) AS most_stops FROM trips GROUP BY 1, 2""",
-)
-def ag13_rtt_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _trips(spark, sf_dir).withColumn("hour", cycles.labelled_local_hour(F.col("ts_us")))
-    middle = stats.ranked(t, ["cam", "hour"], "rtt_s").groupBy("cam", "hour").agg(F.round(stats.linear(0.5), 4).alias("median_s"))
-    return t.groupBy("cam", "hour").agg(F.count("*").alias("trips"), F.least(F.lit(10), F.max("n_stops")).alias("most_stops")).join(middle, ["cam", "hour"])
-
-
 STOPS = """
 w0 AS (SELECT *, floor IS NOT NULL AND reason IN ('ok', 'single_panel') AS sure, last_value(door_state IGNORE NULLS) OVER (PARTITION BY cam ORDER BY ts_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM door),
 w1 AS (SELECT *, first_value(CASE WHEN door_state = 'closed' THEN ts_us END IGNORE NULLS) OVER a AS shut, first_value(CASE WHEN sure THEN ts_us END IGNORE NULLS) OVER a AS nt, first_value(CASE WHEN sure THEN floor END IGNORE NULLS) OVER a AS nf,
@@ -290,17 +259,6 @@ def sf12_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("cam").agg(F.max("n").alias("n"), stats.nearest_rank(0.5).alias("p50"), stats.nearest_rank(0.85).alias("p85"), stats.nearest_rank(0.95).alias("p95"), stats.index_rank(0.9).alias("p90_index"))
 
 
-@query(
-    "wn19_rolling_band",
-    a.ctes("door") + """, r AS (SELECT id, cam, k, count(*) OVER w AS n, min(k) OVER w AS lo, max(k) OVER w AS hi FROM door WINDOW w AS (PARTITION BY cam ORDER BY ts_us, id ROWS BETWEEN 599 PRECEDING AND CURRENT ROW))
-    SELECT id, CASE WHEN n >= 20 AND hi - lo >= 6 THEN round(least(1.0, greatest(0.0, (k - lo) / CAST(hi - lo AS DOUBLE))), 6) END AS openness FROM r""",
-)
-def wn19_rolling_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = cycles.era_order("cam").rowsBetween(-599, 0)
-    r = a.door(spark, sf_dir).select("id", "k", F.count("*").over(w).alias("n"), F.min("k").over(w).alias("lo"), F.max("k").over(w).alias("hi"))
-    return r.select("id", F.when((F.col("n") >= 20) & (F.col("hi") - F.col("lo") >= 6), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("k") - F.col("lo")) / (F.col("hi") - F.col("lo")))), 6)).alias("openness"))
-
-
 @query(
     "wn20_change_point",
     a.ctes("door") + """, h AS (SELECT cam, CAST(floor(ts_us / 86400000000) AS BIGINT) AS d, count(*) AS n, count(floor) AS f FROM door GROUP BY 1, 2),

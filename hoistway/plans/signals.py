@@ -221,13 +221,6 @@ def sf2_cli_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), readers.iso_to_us(text).alias("us"))
 
 
-@query("sc2_missing_table", "SELECT CAST(0 AS BIGINT) AS n, 5 AS n_columns")
-def sc2_missing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table that isn't there is empty, with its schema."""
-    t = schemas.read_or_empty(spark, f"{sf_dir}/no_such_table.parquet", "id long, cam string, ts_us long, floor string, door_state string")
-    return t.agg(F.count("*").alias("n")).withColumn("n_columns", F.lit(len(t.columns)))
-
-
 # ---- exports and payloads -----------------------------------------------------------------------------------------------------------------------
 DAY = "CAST(floor((ts_us + 19800000000) / 86400000000) AS BIGINT)"
 q("sk9_export_transits", "SELECT id, cam, ts_us, direction, track_id, CASE WHEN ts_us < 1705363200000000 THEN 'count-v1' ELSE 'count-v2' END AS counting_version FROM {transit}")
@@ -305,26 +298,6 @@ def sc16_json_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cams.join(glyphs, "cam", "left").join(floors, "cam", "left").select("cam", F.coalesce("glyphs", F.lit(0)).alias("glyphs"), F.coalesce("floors", F.lit(0)).alias("floors"))
 
 
-@query("sc13_json_sidecars", "SELECT 'ch' || channel AS cam, CASE WHEN channel NOT IN (32, 37) THEN channel % 10 + 4 END AS persons, channel IN (32, 37) AS unknown FROM (SELECT unnest([16, 27, 29, 30, 32, 34, 37]) AS channel)")
-def sc13_json_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sidecar beside each camera: one is missing and one holds no number; both are unknown, never guessed."""
-    at = _folder(spark, "sidecars")
-    number = F.col("channel") % 10 + 4
-    text = F.when(F.col("channel") == 37, '{"cam": "ch37", "persons": "many"}').otherwise(F.to_json(F.struct(F.concat(F.lit("ch"), "channel").alias("cam"), number.cast("string").alias("persons"))))
-    a.channels(spark).where("channel <> 32").select(text.alias("value")).write.text(at)
-    read = readers.sidecar(spark, at, "cam string, persons string", multi_line=False).select("cam", F.expr("try_cast(persons AS INT)").alias("persons"))
-    return a.channels(spark).select(F.concat(F.lit("ch"), "channel").alias("cam")).join(read, "cam", "left").withColumn("unknown", F.col("persons").isNull())
-
-
-@query("sc12_newest_files", "SELECT 'ch' || channel AS cam, true AS fresh FROM (SELECT unnest([16, 27, 29, 30, 32, 34, 37]) AS channel)")
-def sc12_newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The age of each camera's newest file; those written for this query are less than an hour old."""
-    at = _folder(spark, "clips")
-    for r in a.channels(spark).collect():  # a declared dimension of a few rows
-        spark.createDataFrame([("clip",)], "value string").write.text(f"{at}/ch{r.channel}")
-    return readers.newest_files(spark, at).select("cam", (F.unix_seconds(F.current_timestamp()) - F.unix_seconds("newest") < 3600).alias("fresh"))
-
-
 @query("sk7_export_with_notes", a.ctes("door") + " SELECT id, cam, floor, close_travel_s, 2 AS notes FROM door WHERE door_state = 'closed'")
 def sk7_export_with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export read again: nulls come back as nulls, and its notes stand beside it."""

@@ -85,4 +85,4 @@ def sql_query(name: str, sql: str) -> None:
     ORACLE_SQL[name] = duck
 
 
-from .plans import alphabet, demand, health, marts, more_marts, rules, sequences, signals, streams  # noqa: E402,F401  they register their queries
+from .plans import alphabet, degradation, demand, health, marts, more_marts, rules, sequences, signals, streams, summaries  # noqa: E402,F401  they register their queries

@@ -59,8 +59,12 @@ def drop_retired(spark: SparkSession, path: str, keys: list[str], live: DataFram
     kept = {tuple(r) for r in live.select(*keys).distinct().collect()}
     for r in spark.read.parquet(path).select(*keys).distinct().collect():
         if tuple(r) not in kept:
-            at = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={v}" for k, v in zip(keys, r))]))
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, "/".join([path, *(f"{k}={v}" for k, v in zip(keys, r))]))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def served(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str], now: float, stale_s: float) -> DataFrame:
