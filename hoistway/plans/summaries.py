@@ -89,8 +89,8 @@ f AS (
     {_figures("close", "lc", partials.CLOSE_EDGES)}, CAST(coalesce(len(lp), 0) AS BIGINT) AS prefilter_n, {_rank("lp", 0.5)} AS prefilter_median, {_rank("lp", 0.85)} AS prefilter_p85, {_figures("dwell", "ld", partials.DWELL_EDGES)}, {_figures("open", "lo_")},
     {_sum_out("transfer")}, {_sum_out("lost")}, {_sum_out("pax")}, CASE WHEN len(lc) > 0 THEN CAST(len(list_filter(lc, lambda x: x > {CLIFF})) AS BIGINT) END AS over FROM g LEFT JOIN p USING (cam, door_version)),
 w AS (SELECT *, CAST(over AS DOUBLE) / nullif(close_n, 0) AS sh, {Z * Z} AS z2 FROM f)
-SELECT * EXCLUDE (sh, z2), 100.0 * sh AS over_pct, greatest(0.0, 100 * (sh + z2 / (2 * close_n) - {Z} * sqrt(sh * (1 - sh) / close_n + z2 / (4.0 * close_n * close_n))) / (1 + z2 / close_n)) AS over_lo,
-  least(100.0, 100 * (sh + z2 / (2 * close_n) + {Z} * sqrt(sh * (1 - sh) / close_n + z2 / (4.0 * close_n * close_n))) / (1 + z2 / close_n)) AS over_hi,
+SELECT * EXCLUDE (sh, z2), 100.0 * sh AS over_pct, CASE WHEN close_n > 0 THEN greatest(0.0, 100 * (sh + z2 / (2 * close_n) - {Z} * sqrt(sh * (1 - sh) / close_n + z2 / (4.0 * close_n * close_n))) / (1 + z2 / close_n)) END AS over_lo,
+  CASE WHEN close_n > 0 THEN least(100.0, 100 * (sh + z2 / (2 * close_n) + {Z} * sqrt(sh * (1 - sh) / close_n + z2 / (4.0 * close_n * close_n))) / (1 + z2 / close_n)) END AS over_hi,
   CAST(floor_rejected AS DOUBLE) / nullif(prefilter_n, 0) AS floor_reject_share, coalesce(CAST(floor_rejected AS DOUBLE) / nullif(prefilter_n, 0) > {partials.WARN}, false) AS floor_reject_warn,
   CASE WHEN covered_s > 0 THEN cycles / (covered_s / 3600) END AS cycles_per_hour
 FROM w JOIN (SELECT cam, ({P.t1 - P.t0} - 60000000 * (SELECT count(*) FROM (SELECT unnest(range({P.t0}, {P.t1}, 60000000)) AS m) WHERE {gap("x.cam", "m")})) / 1000000.0::DOUBLE AS covered_s FROM (SELECT DISTINCT cam FROM door) x) USING (cam)"""
