@@ -37,31 +37,37 @@ def era_order(*keys: str) -> Window:
 
 def state_only_cycles(door: DataFrame) -> DataFrame:
     """Closings: closed right after closing or open. Null states stay in the sequence, so one between them abandons the cycle."""
-    prev = F.lag("door_state").over(era_order())
-    return door.withColumn("prev", prev).where("door_state = 'closed' AND prev IN ('closing', 'open')").drop("prev")
+    rows = carry.last_before(carry.with_day(door), ERA, {"before": F.struct("door_state")})
+    return rows.where("door_state = 'closed' AND before.door_state IN ('closing', 'open')").drop("before", carry.DAY)
+
+
+def gaps_s(cycles: DataFrame) -> DataFrame:
+    """cycles with gap, the seconds since the one before in their era (null for the first)."""
+    rows = carry.last_before(carry.with_day(cycles), ERA, {"before": F.col("ts_us")})
+    return rows.withColumn("gap", (F.col("ts_us") - F.col("before")) / US).drop("before", carry.DAY)
 
 
 def runs(door: DataFrame) -> DataFrame:
-    """Runs of equal states (nulls left out) with their first time, first close travel and first floor."""
-    w = era_order()
-    rows = door.where("door_state IS NOT NULL").withColumn("new", F.coalesce((F.col("door_state") != F.lag("door_state").over(w)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("new").over(w))
+    """Runs of equal states (nulls left out), numbered over the era, with their first time, first close travel and first floor."""
+    rows = carry.last_before(carry.with_day(door.where("door_state IS NOT NULL")), ERA, {"before": F.col("door_state")})
+    rows = rows.withColumn("new", F.coalesce((F.col("door_state") != F.col("before")).cast("int"), F.lit(1)))
+    rows = carry.total_up_to(rows, ERA, {"run": F.col("new")})
     order = F.struct("ts_us", "id")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
     return rows.groupBy(*ERA, "run", "door_state").agg(F.min("ts_us").alias("t"), first("close_travel_s").alias("ct"), first("floor").alias("fl"))
 
 
 def flap_aware_cycles(door: DataFrame, th: Thresholds) -> DataFrame:
-    """Closings by class: flap, reopened, implausible or clean, with dwell, open travel, start and floor."""
-    w = Window.partitionBy(*ERA).orderBy("run")
-    lag = lambda c: F.lag(c).over(w)
-    s, p = F.col("door_state"), F.col("p")
-    r = runs(door).withColumns({"p": lag("door_state"), "pt": lag("t"), "pct": lag("ct")})
+    """Closings by class: flap, reopened, implausible or clean, with dwell, open travel, start and floor. What one day hands to the next (the last run, the number of
+    segments so far, the last opening) is carried, so a task holds a day of an era."""
+    s, p = F.col("door_state"), F.col("before.door_state")
+    r = carry.with_day(runs(door).withColumns({"ts_us": F.col("t"), "id": F.col("run")}))
+    r = carry.last_before(r, ERA, {"before": F.struct("door_state", "t", "ct")})
     r = r.withColumns({"rb": F.coalesce((s == "opening") & (p == "closed"), F.lit(False)), "ra": F.coalesce((s == "closed") & (p == "closing"), F.lit(False))})
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    seg = F.sum(F.col("rb").cast("int")).over(w) + F.coalesce(F.sum(F.col("ra").cast("int")).over(before), F.lit(0))
-    r = r.withColumns({"seg": seg, "opg": F.last(F.when(F.col("rb"), F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    since = (F.col("t") - F.col("pt")) / US
+    # a segment begins with an opening and behind a closing
+    r = carry.total_up_to(r, ERA, {"begun": F.col("rb").cast("int") + F.col("ra").cast("int")}).withColumn("seg", F.col("begun") - F.col("ra").cast("int"))
+    r = carry.last_before(r, ERA, {"opg": F.when(F.col("rb"), F.col("t"))}, own=True)
+    since = (F.col("t") - F.col("before.t")) / US
     flap = ((s == "open") & (p == "closing") & (since < th.flap_s)) | ((s == "closing") & (p == "open") & (since < th.min_dwell_s))
     reopen = (s == "open") & (p == "closing") & (since >= th.flap_s)
     last = lambda value, when: F.max_by(value, F.when(when, F.col("run")))
@@ -70,13 +76,13 @@ def flap_aware_cycles(door: DataFrame, th: Thresholds) -> DataFrame:
         F.max(F.coalesce(reopen, F.lit(False))).alias("reopened"),
         last(since, (s == "closing") & (p == "open")).alias("dwell_s"),
         last((F.col("t") - F.col("opg")) / US, (s == "open") & (p == "opening")).alias("open_travel_s"),
-        F.min_by("t", F.when(F.col("rb") | (s == "open"), F.col("run"))).alias("ts_us"),
+        F.min_by("t", F.when(F.col("rb") | (s == "open"), F.col("run"))).alias("start_us"),
         F.min_by("fl", F.when((s == "open") & F.col("fl").isNotNull(), F.col("run"))).alias("floor"),
         F.max(F.when(F.col("ra"), F.col("t"))).alias("close_us"),
-        F.max(F.when(F.col("ra"), F.coalesce("pct", "ct"))).alias("close_travel_s"),
+        F.max(F.when(F.col("ra"), F.coalesce("before.ct", "ct"))).alias("close_travel_s"),
     )
     kind = F.when(F.col("flap"), "flap").when(F.col("reopened"), "reopened").when(~F.col("close_travel_s").between(th.travel_lo, th.travel_hi), "implausible").otherwise("clean")
-    return segs.where("close_us IS NOT NULL AND close_travel_s > 0").select(*ERA, "ts_us", "close_us", "floor", "dwell_s", "open_travel_s", "close_travel_s", kind.alias("class"))
+    return segs.where("close_us IS NOT NULL AND close_travel_s > 0").select(*ERA, F.col("start_us").alias("ts_us"), "close_us", "floor", "dwell_s", "open_travel_s", "close_travel_s", kind.alias("class"))
 
 
 def carried_floors(door: DataFrame) -> DataFrame:

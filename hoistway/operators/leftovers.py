@@ -9,62 +9,126 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import carry
+from . import carry, joins
 
 US = 1_000_000
 DAY_US = 86_400 * US
 
 
+def nearest_free(emitted: np.ndarray, truth: np.ndarray, tolerance_us: int) -> list[int]:
+    """For each of the sorted emissions the position of the nearest truth (sorted) that none before it took, the earlier of two equally near; -1 where none lies within the
+    tolerance. Taken truths are skipped by pointers that halve their way, so the pass is all but linear however many truths lie within the tolerance."""
+    n = len(truth)
+    down, up = list(range(n + 1)), list(range(n + 1))  # by position + 1 and by position: the next free one at or before, at or after; 0 and n stand for none
+
+    def free(pointer: list[int], i: int) -> int:
+        while pointer[i] != i:
+            pointer[i] = pointer[pointer[i]]
+            i = pointer[i]
+        return i
+
+    found, times = [], truth.tolist()
+    for x, at in zip(emitted.tolist(), np.searchsorted(truth, emitted, "right").tolist()):
+        before, after = free(down, at) - 1, free(up, at)
+        best = before if before >= 0 and (after == n or x - times[before] <= times[after] - x) else after
+        if best == n or abs(times[best] - x) > tolerance_us:
+            found.append(-1)
+            continue
+        down[best + 1], up[best] = best, best + 1
+        found.append(best)
+    return found
+
+
 def greedy_match(emitted: DataFrame, truth: DataFrame, tolerance_us: int) -> DataFrame:
     """cam, emitted_us, truth_us, kind: emissions in time order take the nearest unused truth within the tolerance (the earlier of two equally near);
-    kind is matched, unmatched (emission alone) or missed (truth alone). Work is cut at silences longer than the tolerance: no match crosses one."""
+    kind is matched, unmatched (emission alone) or missed (truth alone). Work is cut wherever no emission on one side is within the tolerance of a truth on the other, so a
+    camera that emits without end is cut at each stretch without truths, and one with truths without end at each stretch without emissions."""
     both = emitted.select("cam", "ts_us", F.lit(0).alias("kind")).unionByName(truth.select("cam", "ts_us", F.lit(1).alias("kind")))
-    both = carry.last_before(carry.with_day(both.withColumn("id", F.col("kind"))), ["cam"], {"prev": F.struct("ts_us")})
-    both = carry.total_up_to(both, ["cam"], {"island": F.coalesce((F.col("ts_us") - F.col("prev.ts_us") > tolerance_us).cast("int"), F.lit(1))}, ties=True)
-    both = both.select("cam", "ts_us", "kind", "island")
+    e, t = (F.when(F.col("kind") == k, F.col("ts_us")) for k in (0, 1))
+    both = carry.last_before(carry.with_day(both.withColumn("id", F.col("kind"))), ["cam"], {"e_before": e, "t_before": t})
+    both = carry.first_after(both, ["cam"], {"e_after": e, "t_after": t})
+    spans = lambda lo, hi: F.coalesce(hi - F.col(lo) <= tolerance_us, F.lit(False))
+    joined = spans("t_before", F.coalesce(e, "e_after")) | spans("e_before", F.coalesce(t, "t_after"))
+    both = carry.total_up_to(both, ["cam"], {"island": (~joined).cast("int")}, ties=True).select("cam", "ts_us", "kind", "island")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (cam, _), part in pdf.groupby(["cam", "island"], sort=False):
-            e, t = np.sort(part.loc[part.kind == 0, "ts_us"].to_numpy()), np.sort(part.loc[part.kind == 1, "ts_us"].to_numpy())
-            free = np.ones(len(t), bool)
-            for x in e:
-                near = np.flatnonzero(free & (np.abs(t - x) <= tolerance_us))
-                if len(near):
-                    best = near[np.argmin(np.abs(t[near] - x))]
-                    free[best] = False
-                    rows.append((cam, x, t[best], "matched"))
-                else:
-                    rows.append((cam, x, None, "unmatched"))
-            rows += [(cam, None, x, "missed") for x in t[free]]
-        out = pd.DataFrame(rows, columns=["cam", "emitted_us", "truth_us", "kind"])
-        return out.astype({"emitted_us": "Int64", "truth_us": "Int64"})
+        parts = []
+        for cam, part in pdf.groupby("cam", sort=False):  # islands of one camera don't reach each other, so those of a task are matched in one pass
+            e, t = (np.sort(part.loc[part.kind == k, "ts_us"].to_numpy()) for k in (0, 1))
+            found = np.array(nearest_free(e, t, tolerance_us), dtype=np.int64)
+            hit, left = found >= 0, np.ones(len(t), bool)
+            left[found[hit]] = False
+            took = pd.array(np.where(hit, t[found] if len(t) else 0, 0), dtype="Int64")
+            took[~hit] = pd.NA
+            parts.append(pd.DataFrame({"cam": cam, "emitted_us": pd.array(e, dtype="Int64"), "truth_us": took, "kind": np.where(hit, "matched", "unmatched")}))
+            parts.append(pd.DataFrame({"cam": cam, "emitted_us": pd.array([pd.NA] * int(left.sum()), dtype="Int64"), "truth_us": pd.array(t[left], dtype="Int64"), "kind": "missed"}))
+        return pd.concat(parts)
 
     return both.withColumn("task", F.pmod(F.xxhash64("cam", "island"), F.lit(tasks_for(both)))).groupBy("task").applyInPandas(match, "cam string, emitted_us long, truth_us long, kind string")
 
 
+def graded(emitted: DataFrame, truth: DataFrame, still: DataFrame, tolerance_us: int, first: bool, slot_us: int) -> DataFrame:
+    """greedy_match with the windows in which the door is known to stand still (still: cam, lo_us, hi_us, both ends within): an emission in one is a phantom. ``first``: windows
+    convict before truths are matched, so no emission within one may take a truth (a score). Else they convict what was left unmatched (a grade)."""
+
+    def within(rows: DataFrame, at: str) -> DataFrame:
+        times = rows.select("cam", F.col(at).alias("ts_us")).distinct()
+        inside = joins.point_in_interval(times, still.select("cam", "lo_us", "hi_us"), "lo_us", "hi_us", slot_us).select(F.col("p.cam").alias("cam"), F.col("p.ts_us").alias(at)).distinct()
+        return inside.withColumn("phantom", F.lit(True))
+
+    if not first:
+        rows = greedy_match(emitted, truth, tolerance_us)
+        alone = rows.join(within(rows.where("kind = 'unmatched'"), "emitted_us"), ["cam", "emitted_us"], "left")
+        kind = F.when((F.col("kind") == "unmatched") & F.col("phantom"), "phantom").otherwise(F.col("kind"))
+        return alone.select("cam", "emitted_us", "truth_us", kind.alias("kind"))
+    told = emitted.select("cam", F.col("ts_us").alias("emitted_us")).join(within(emitted, "ts_us").withColumnRenamed("ts_us", "emitted_us"), ["cam", "emitted_us"], "left")
+    rows = greedy_match(told.where("phantom IS NULL").select("cam", F.col("emitted_us").alias("ts_us")), truth, tolerance_us)
+    return rows.unionByName(told.where("phantom").select("cam", "emitted_us", F.lit(None).cast("long").alias("truth_us"), F.lit("phantom").alias("kind")))
+
+
 def tasks_for(rows: DataFrame, each: int = 50_000) -> int:
     """How many tasks hold about ``each`` rows."""
     return max(1, -(-rows.count() // each))
 
 
 def throttled(rows: DataFrame, least_us: int) -> DataFrame:
-    """The rows (cam, id, ts_us) kept if each needs least_us since the last one kept. What follows such a silence is always kept, so work is cut there."""
-    found = carry.last_before(carry.with_day(rows), ["cam"], {"prev": F.col("ts_us")})
-    found = carry.total_up_to(found, ["cam"], {"island": (F.col("prev").isNull() | (F.col("ts_us") - F.col("prev") >= least_us)).cast("int")})
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.sort_values(["ts_us", "id"], kind="stable").groupby(["cam", "island"], sort=False):
-            last = None
-            for r in part.itertuples():
-                if last is None or r.ts_us - last >= least_us:
-                    out.append((r.cam, r.id, r.ts_us))
-                    last = r.ts_us
-        return pd.DataFrame(out, columns=["cam", "id", "ts_us"])
-
-    task = F.pmod(F.xxhash64("cam", "island"), F.lit(tasks_for(rows)))
-    return found.select("cam", "id", "ts_us", "island", task.alias("task")).groupBy("task").applyInPandas(keep, "cam string, id long, ts_us long")
+    """The rows (cam, id, ts_us) kept if each needs least_us (above 0) since the last one kept; of one time the least id. A day's effect is a function: where the first one kept stands sets
+    where the last one does, and only rows within least_us of the day's start can be first. Those functions are made day by day, composed in order over one row for each camera and day, and each day is
+    then walked from the time handed to it: a camera that is never silent is as many tasks as days."""
+    rows = carry.with_day(rows.select("cam", "id", "ts_us"))
+
+    def effect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.unique(pdf["ts_us"].to_numpy())
+        after = np.searchsorted(t, t + least_us, "left").tolist()
+        last = t.tolist()
+        for i in range(len(t) - 1, -1, -1):
+            if after[i] < len(t):
+                last[i] = last[after[i]]
+        open_to = int(np.searchsorted(t, int(key[1]) * DAY_US + least_us, "left")) + 1  # and the first row behind it
+        return pd.DataFrame({"cam": [key[0]], "day": [key[1]], "firsts": [t[:open_to].tolist()], "lasts": [last[:open_to]]})
+
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        handed, kept = [], None
+        for r in pdf.sort_values("day").itertuples():
+            handed.append((r.cam, r.day, kept))
+            at = 0 if kept is None else int(np.searchsorted(np.asarray(r.firsts), kept + least_us, "left"))
+            kept = int(r.lasts[at]) if at < len(r.firsts) else kept
+        out = pd.DataFrame(handed, columns=["cam", carry.DAY, "kept_us"])
+        return out.astype({"kept_us": "Int64"})
+
+    def walk(key: tuple, day: pd.DataFrame, handed: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values(["ts_us", "id"], kind="stable").drop_duplicates("ts_us")
+        kept, chosen = handed["kept_us"].iloc[0], []
+        at = 0 if pd.isna(kept) else int(np.searchsorted(day["ts_us"].to_numpy(), int(kept) + least_us, "left"))
+        after = np.searchsorted(day["ts_us"].to_numpy(), day["ts_us"].to_numpy() + least_us, "left").tolist()
+        while at < len(day):
+            chosen.append(at)
+            at = after[at]
+        return day.iloc[chosen][["cam", "id", "ts_us"]]
+
+    effects = rows.groupBy("cam", carry.DAY).applyInPandas(effect, "cam string, day long, firsts array<long>, lasts array<long>")
+    handed = effects.groupBy("cam").applyInPandas(compose, f"cam string, {carry.DAY} long, kept_us long")
+    return rows.groupBy("cam", carry.DAY).cogroup(handed.groupBy("cam", carry.DAY)).applyInPandas(walk, "cam string, id long, ts_us long")
 
 
 def debounced_cycles(door: DataFrame, hold_us: int) -> DataFrame:

@@ -33,9 +33,8 @@ STATE_CYCLES = """cyc AS (SELECT cam, door_version, ts_us, id FROM (SELECT *, la
     SELECT cam, hour, cycles, {nr(0.5)} AS median_gap_s FROM s""",
 )
 def wn4_state_cycles_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cycles.state_only_cycles(a.door(spark, sf_dir))
-    gap = (F.col("ts_us") - F.lag("ts_us").over(cycles.era_order())) / US
-    g = c.select("cam", cycles.labelled_local_hour(F.col("ts_us")).alias("hour"), gap.alias("gap"))
+    c = cycles.gaps_s(cycles.state_only_cycles(a.door(spark, sf_dir)))
+    g = c.select("cam", cycles.labelled_local_hour(F.col("ts_us")).alias("hour"), "gap")
     middle = stats.ranked(g, ["cam", "hour"], "gap").groupBy("cam", "hour").agg(stats.nearest_rank(0.5).alias("median_gap_s"))
     return g.groupBy("cam", "hour").agg(F.count("*").alias("cycles")).join(middle, ["cam", "hour"], "left")
 
@@ -290,13 +289,54 @@ def sf17_cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "b").select("a", "b", F.round(F.when(size > 0, dot(F.col("x"), F.col("y")) / F.sqrt(size)).otherwise(0.0), 6).alias("ncc"))
 
 
-# order-dependent leftovers: iterative, per camera and era; rows-only checks here, brute force in the tests
-@query("jn12_greedy_match")
+def matched_sql(emissions: str) -> str:
+    """A walk over each camera's emissions that carries the list of truths still free."""
+    return f"""e AS (SELECT cam, ts_us, row_number() OVER (PARTITION BY cam ORDER BY ts_us) AS rn FROM {emissions}),
+walk AS (
+  SELECT cam, CAST(0 AS BIGINT) AS rn, NULL::BIGINT AS emitted_us, NULL::BIGINT AS truth_us, coalesce(list(ts_us ORDER BY ts_us) FILTER (WHERE door_state = 'opening'), []) AS free FROM door GROUP BY cam
+  UNION ALL
+  SELECT cam, rn, x, hit, CASE WHEN hit IS NULL THEN free ELSE list_concat(free[1:list_position(free, hit) - 1], free[list_position(free, hit) + 1:]) END
+  FROM (SELECT w.cam, e.rn, e.ts_us AS x, w.free, list_sort(list_transform(list_filter(w.free, lambda t: abs(t - e.ts_us) <= {TRUTH_US}), lambda t: {{'d': abs(t - e.ts_us), 't': t}}))[1].t AS hit FROM walk w JOIN e ON e.cam = w.cam AND e.rn = w.rn + 1)),
+m AS (SELECT cam, emitted_us, truth_us, CASE WHEN truth_us IS NULL THEN 'unmatched' ELSE 'matched' END AS kind FROM walk WHERE rn > 0
+  UNION ALL SELECT cam, NULL, unnest(free), 'missed' FROM (SELECT cam, arg_max(free, rn) AS free FROM walk GROUP BY cam))"""
+
+
+TRUTH_US = 1800 * US
+EMITTED = "(SELECT cam, ts_us FROM door WHERE door_state = 'open')"
+WITHIN = "EXISTS (SELECT 1 FROM episode s WHERE s.cam = x.cam AND {0} BETWEEN s.start_us AND s.end_us + 300000000)"
+
+
+def _closings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a counter emits (open), the truth (opening), and windows in which the door stands still (300 s beyond each episode)."""
+    d, e = a.door(spark, sf_dir), a.episode(spark, sf_dir)
+    still = e.select("cam", F.col("start_us").alias("lo_us"), (F.col("end_us") + 300 * US).alias("hi_us"))
+    return d.where("door_state = 'open'").select("cam", "ts_us"), d.where("door_state = 'opening'").select("cam", "ts_us"), still
+
+
+@query("jn12_greedy_match", a.ctes("door").replace("WITH ", "WITH RECURSIVE ", 1) + f", {matched_sql(EMITTED)} SELECT * FROM m")
 def jn12_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = a.door(spark, sf_dir)
-    return leftovers.greedy_match(d.where("door_state = 'open'").select("cam", "ts_us"), d.where("door_state = 'opening'").select("cam", "ts_us"), 1800 * US)
+    emitted, truth, _ = _closings(spark, sf_dir)
+    return leftovers.greedy_match(emitted, truth, TRUTH_US)
+
 
+@query(
+    "jn12_truth_score",
+    a.ctes("door", "episode").replace("WITH ", "WITH RECURSIVE ", 1) + f""", told AS (SELECT cam, ts_us, {WITHIN.format('x.ts_us')} AS phantom FROM {EMITTED} x), {matched_sql('(SELECT cam, ts_us FROM told WHERE NOT phantom)')}
+    SELECT * FROM m UNION ALL SELECT cam, ts_us, NULL, 'phantom' FROM told WHERE phantom""",
+)
+def jn12_truth_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leftovers.graded(*_closings(spark, sf_dir), TRUTH_US, True, HOUR_US)
+
+
+@query(
+    "jn12_truth_grade",
+    a.ctes("door", "episode").replace("WITH ", "WITH RECURSIVE ", 1) + f", {matched_sql(EMITTED)} SELECT cam, emitted_us, truth_us, CASE WHEN kind = 'unmatched' AND {WITHIN.format('x.emitted_us')} THEN 'phantom' ELSE kind END AS kind FROM m x",
+)
+def jn12_truth_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leftovers.graded(*_closings(spark, sf_dir), TRUTH_US, False, HOUR_US)
 
+
+# order-dependent leftovers: iterative, per camera and era; rows-only checks here, brute force in the tests
 @query("wn15_debounced_cycles")
 def wn15_debounced_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leftovers.debounced_cycles(a.door(spark, sf_dir), 300 * US)
