@@ -23,11 +23,6 @@ q(
     WHERE NOT EXISTS (SELECT 1 FROM {gaps} g WHERE t.ts_us >= g.start_us AND t.ts_us < g.end_us AND (g.gap_cam IS NULL OR g.gap_cam = t.cam))""",
 )
 q("pf6_guard_cut", "SELECT cam, count(*) FILTER (WHERE ts_us < 1704326400000000) AS n_preguard, count(*) FILTER (WHERE ts_us >= 1704326400000000) AS n_kept FROM {door} GROUP BY cam")
-q(
-    "pf7_admit_floor",
-    """SELECT id, CASE WHEN ok THEN floor END AS floor, CASE WHEN floor IS NULL OR ok THEN reason ELSE 'invalid_label:' || substr(floor, 1, 24) END AS reason
-    FROM (SELECT id, floor, reason, MATCHES(floor, '^(G|[0-9][0-9]?)$') AND (floor = 'G' OR CAST(CASE WHEN floor = 'G' THEN '0' ELSE floor END AS INT) BETWEEN 1 AND 40) AS ok FROM {door})""",
-)
 q(
     "pf8_label_shape",
     """SELECT floor, CASE WHEN MATCHES(floor, '^(G|LG|UG|B|B1|B2|P[1-9]|M[0-9]?[0-9]?)$') THEN 'named' WHEN NOT MATCHES(floor, '^[0-9]+$') THEN 'shape'

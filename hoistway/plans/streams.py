@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import adapters as a
+from ..operators.admission import admit_floors
+from ..sources.sinks import shared_dir
 from ..streaming import jobs, machines
+from ..streaming.ingest import DoorIngest, HeartbeatIngest, ingest
 from ..streaming.ordered import END_US, Closable, drain
 from .sequences import STATE_CYCLES
 
@@ -36,10 +41,46 @@ def sr3_stream_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(jobs.door_cycles(events.rows, LATE_US), [events])
 
 
-@query("sk1_stream_ingest", a.ctes("door") + " SELECT id, cam, door_state, CASE WHEN direction IN ('up', 'down') THEN direction END AS direction, CASE WHEN cam NOT IN ('ch16', 'ch27', 'ch29', 'ch30', 'ch32', 'ch34') THEN 'unknown_cam' END AS reject FROM door")
-def sk1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = a.door(_Stream(spark, sf_dir), sf_dir).select("id", "cam", "door_state", "direction")
-    return jobs.run_available(jobs.validated(events, ["ch16", "ch27", "ch29", "ch30", "ch32", "ch34"]))
+KNOWN = [f"ch{c}" for c in a.CAMS[:6]]
+RANGES = ", ".join(f"('{cam}', {lo}, {hi})" for cam, (lo, hi) in a.FLOOR_RANGES.items())
+ADMITTED = f"""adm AS (SELECT d.*, floor IS NULL OR floor = 'G' OR regexp_full_match(floor, 'P[0-9]') OR (regexp_full_match(floor, '[0-9][0-9]?') AND (r.cam IS NULL OR TRY_CAST(floor AS INT) BETWEEN r.lo AND r.hi)) AS fits
+  FROM door d LEFT JOIN (VALUES {RANGES}) r(cam, lo, hi) ON r.cam = d.cam)"""
+FLOOR = "CASE WHEN fits THEN floor END AS floor, CASE WHEN fits THEN reason ELSE 'invalid_label:' || left(floor, 24) END AS reason"
+
+
+@query("pf7_admit_floor", a.ctes("door") + f", {ADMITTED} SELECT id, {FLOOR} FROM adm")
+def pf7_admit_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = spark.createDataFrame([(cam, *r) for cam, r in a.FLOOR_RANGES.items()], "cam string, lo int, hi int")
+    return admit_floors(a.door(spark, sf_dir).select("id", "cam", "floor", "reason"), ranges).select("id", "floor", "reason")
+
+
+@query(
+    "sk1_door_ingest",
+    a.ctes("door") + f""", {ADMITTED} SELECT 'doors' AS into, id, cam, ts_us, {FLOOR}, CASE WHEN direction IN ('up', 'down') THEN direction END AS direction, door_state, NULL AS reject FROM adm WHERE cam <> 'ch37'
+    UNION ALL SELECT 'rejects', id, cam, ts_us, floor, reason, CASE WHEN direction IN ('up', 'down') THEN direction END, door_state, 'unknown_cam' FROM adm WHERE cam = 'ch37'""",
+)
+def sk1_door_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Door events as a stream into the table of doors and that of rejects; both are read back."""
+    sink = DoorIngest(f"{shared_dir(spark)}/doors-{uuid.uuid4().hex}", KNOWN, a.FLOOR_RANGES)
+    ingest(a.door(_Stream(spark, sf_dir), sf_dir), sink.write)
+    return sink.doors(spark).withColumns({"into": F.lit("doors"), "reject": F.lit(None).cast("string")}).unionByName(sink.rejects(spark).withColumn("into", F.lit("rejects")))
+
+
+HEARTBEAT_US, KEPT_US = 18_000 * a.US, 14 * a.DAY_US
+
+
+@query(
+    "sk3_heartbeat_ingest",
+    a.ctes("door").replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT cam, id, ts_us, row_number() OVER (PARTITION BY cam ORDER BY ts_us, id) AS rn, row_number() OVER (PARTITION BY cam ORDER BY ts_us DESC, id DESC) AS back FROM door),
+    h AS (SELECT cam, rn, id, ts_us, ts_us AS kept, true AS keeps FROM o WHERE rn = 1 UNION ALL
+      SELECT o.cam, o.rn, o.id, o.ts_us, CASE WHEN o.ts_us - h.kept >= {HEARTBEAT_US} THEN o.ts_us ELSE h.kept END, o.ts_us - h.kept >= {HEARTBEAT_US} FROM h JOIN o ON o.cam = h.cam AND o.rn = h.rn + 1)
+    SELECT 'history' AS into, cam, id, ts_us FROM h WHERE keeps AND ts_us // {a.DAY_US} >= (SELECT max(ts_us) - {KEPT_US} FROM door) // {a.DAY_US} UNION ALL SELECT 'current', cam, id, ts_us FROM o WHERE back = 1""",
+)
+def sk3_heartbeat_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Door rows stand for heartbeats: the current state of each camera, and the throttled history of the last 14 days."""
+    sink = HeartbeatIngest(f"{shared_dir(spark)}/heartbeats-{uuid.uuid4().hex}", HEARTBEAT_US, KEPT_US)
+    ingest(a.door(_Stream(spark, sf_dir), sf_dir).select("id", "cam", "ts_us"), sink.write)
+    return sink.current(spark).withColumn("into", F.lit("current")).unionByName(sink.history(spark).withColumn("into", F.lit("history")))
 
 
 @query("sk2_stream_dedup", a.ctes("transit") + " SELECT gateway_id, cam, track_id, direction, ts_bucket FROM transit GROUP BY ALL")

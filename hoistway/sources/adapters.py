@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 GATEWAY = "site-A"
 #: Cameras of the fleet, in the order of user_id modulo 7.
 CAMS = (16, 27, 29, 30, 32, 34, 37)
+#: Declared: the numbers that some cameras' floors lie within; others admit every number.
+FLOOR_RANGES = {"ch16": (1, 40), "ch27": (5, 60), "ch30": (1, 9)}
 US = 1_000_000
 DAY_US = 86_400 * US
 #: Fixed value: the building's clock, UTC+05:30 without daylight saving.
