@@ -56,3 +56,16 @@ def total_up_to(df: DataFrame, keys: list[str], values: dict[str, Column], ties:
     within = own.orderBy("ts_us").rangeBetween(Window.unboundedPreceding, 0) if ties else own.orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumns({n: F.sum(v).over(within) for n, v in values.items()})
     return joined(rows, days, keys).withColumns({n: F.coalesce(n, F.lit(0)) + F.coalesce(f"__d_{n}", F.lit(0)) for n in values}).drop(*[f"__d_{n}" for n in values])
+
+
+def last_and_total(df: DataFrame, keys: list[str], last: dict[str, Column], totals: dict[str, Column]) -> DataFrame:
+    """last_before(own=True) and total_up_to() in one pass over the rows and one join with the days."""
+    order = F.struct("ts_us", "id")
+    days = df.groupBy(*keys, DAY).agg(*[F.max_by(v, F.when(v.isNotNull(), order)).alias(f"__d_{n}") for n, v in last.items()], *[F.sum(v).alias(f"__d_{n}") for n, v in totals.items()])
+    earlier = Window.partitionBy(*keys).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+    handed = [F.last(f"__d_{n}", ignorenulls=True).over(earlier).alias(f"__d_{n}") for n in last] + [F.sum(f"__d_{n}").over(earlier).alias(f"__d_{n}") for n in totals]
+    within = Window.partitionBy(*keys, DAY).orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({n: F.last(v, ignorenulls=True).over(within) for n, v in last.items()} | {n: F.sum(v).over(within) for n, v in totals.items()})
+    rows = joined(rows, days.select(*keys, DAY, *handed), keys)
+    both = {n: F.coalesce(n, f"__d_{n}") for n in last} | {n: F.coalesce(n, F.lit(0)) + F.coalesce(f"__d_{n}", F.lit(0)) for n in totals}
+    return rows.withColumns(both).drop(*[f"__d_{n}" for n in both])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
 from . import carry
 
 US = 1_000_000
@@ -59,14 +60,14 @@ def runs(door: DataFrame) -> DataFrame:
 
 def flap_aware_cycles(door: DataFrame, th: Thresholds) -> DataFrame:
     """Closings by class: flap, reopened, implausible or clean, with dwell, open travel, start and floor. What one day hands to the next (the last run, the number of
-    segments so far, the last opening) is carried, so a task holds a day of an era."""
+    segments so far, the last opening) is carried, so a task holds a day of an era. Runs and cycles are stored, as each carry and most callers read them more than once."""
     s, p = F.col("door_state"), F.col("before.door_state")
-    r = carry.with_day(runs(door).withColumns({"ts_us": F.col("t"), "id": F.col("run")}))
+    r = carry.with_day(stored(runs(door), "runs").withColumns({"ts_us": F.col("t"), "id": F.col("run")}))
     r = carry.last_before(r, ERA, {"before": F.struct("door_state", "t", "ct")})
     r = r.withColumns({"rb": F.coalesce((s == "opening") & (p == "closed"), F.lit(False)), "ra": F.coalesce((s == "closed") & (p == "closing"), F.lit(False))})
     # a segment begins with an opening and behind a closing
-    r = carry.total_up_to(r, ERA, {"begun": F.col("rb").cast("int") + F.col("ra").cast("int")}).withColumn("seg", F.col("begun") - F.col("ra").cast("int"))
-    r = carry.last_before(r, ERA, {"opg": F.when(F.col("rb"), F.col("t"))}, own=True)
+    r = carry.last_and_total(r, ERA, {"opg": F.when(F.col("rb"), F.col("t"))}, {"begun": F.col("rb").cast("int") + F.col("ra").cast("int")})
+    r = r.withColumn("seg", F.col("begun") - F.col("ra").cast("int"))
     since = (F.col("t") - F.col("before.t")) / US
     flap = ((s == "open") & (p == "closing") & (since < th.flap_s)) | ((s == "closing") & (p == "open") & (since < th.min_dwell_s))
     reopen = (s == "open") & (p == "closing") & (since >= th.flap_s)
@@ -82,7 +83,8 @@ def flap_aware_cycles(door: DataFrame, th: Thresholds) -> DataFrame:
         F.max(F.when(F.col("ra"), F.coalesce("before.ct", "ct"))).alias("close_travel_s"),
     )
     kind = F.when(F.col("flap"), "flap").when(F.col("reopened"), "reopened").when(~F.col("close_travel_s").between(th.travel_lo, th.travel_hi), "implausible").otherwise("clean")
-    return segs.where("close_us IS NOT NULL AND close_travel_s > 0").select(*ERA, F.col("start_us").alias("ts_us"), "close_us", "floor", "dwell_s", "open_travel_s", "close_travel_s", kind.alias("class"))
+    found = segs.where("close_us IS NOT NULL AND close_travel_s > 0").select(*ERA, F.col("start_us").alias("ts_us"), "close_us", "floor", "dwell_s", "open_travel_s", "close_travel_s", kind.alias("class"))
+    return stored(found, "cycles")
 
 
 def carried_floors(door: DataFrame) -> DataFrame:

@@ -243,7 +243,7 @@ q(
 )
 q(
     "sx12_estimator_scores",
-    """SELECT cam, count(*) AS n, round(corr(read_conf * 100, close_travel_s), 6) AS r, round(avg(abs(read_conf * 100 - close_travel_s)), 5) AS mae, round(avg(read_conf * 100 - close_travel_s), 5) AS bias, round(PCT(abs(read_conf * 100 - close_travel_s), 0.5), 5) AS median_abs FROM {door} GROUP BY cam""",
+    """SELECT cam, count(*) AS n, round(corr(read_conf * 100, close_travel_s), 6) AS r, round(avg(abs(read_conf * 100 - close_travel_s)), 5) AS mae, round(avg(abs(2.03 - close_travel_s)), 5) AS constant_mae, avg(abs(read_conf * 100 - close_travel_s)) < avg(abs(2.03 - close_travel_s)) AS beats_constant, round(avg(read_conf * 100 - close_travel_s), 5) AS bias, round(PCT(abs(read_conf * 100 - close_travel_s), 0.5), 5) AS median_abs FROM {door} GROUP BY cam""",
 )
 q(
     "sx15_confidence_level",

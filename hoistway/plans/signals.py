@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import carry, cycles, joins, leftovers
+from ..operators import carry, cycles, joins, leftovers, ramps
 from ..registry import query
 from ..registry import sql_query as q
 from ..sources import adapters as a
 from ..sources import readers, schemas, sinks
-from .sequences import FLAP_CYCLES, HOUR_US, STATE_CYCLES, STOPS, TRIPS, US, _flap_cycles, _stops, _trips, wn24_last_descents
+from .sequences import FLAP_CYCLES, HOUR_US, STATE_CYCLES, STOPS, TRIPS, US, _flap_cycles, _stops, _trips
 
 floor_number = lambda c: F.when(F.col(c) == "G", 0).otherwise(F.expr(f"try_cast({c} AS INT)"))
 
@@ -198,10 +198,22 @@ def jn11_next_home_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trips(spark, sf_dir).select("cam", "door_version", "ts_us", "back_us")
 
 
+RAMP = ramps.Ramp(rise=0.05)
+
+
 @query("wn23_ramp_estimators")
 def wn23_ramp_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds between the sustained crossings of each window's own levels; null where they aren't held long enough."""
-    return wn24_last_descents(spark, sf_dir).select("window_id", "n", "ramp_s")
+    """How long the signal k / 100 takes to its closed level in the six hours around each episode, by five estimators anchored at its start."""
+    e = a.episode(spark, sf_dir).select("cam", F.col("id").alias("window_id"), F.col("start_us").alias("anchor_us"), (F.col("start_us") - 3 * HOUR_US).alias("lo_us"), (F.col("start_us") + 3 * HOUR_US).alias("hi_us"))
+    pairs = joins.point_in_interval(a.door(spark, sf_dir).select("cam", "ts_us", (F.col("k") / 100.0).alias("value")), e, "lo_us", "hi_us", 6 * HOUR_US)
+    return ramps.estimates(pairs.select("i.window_id", "p.ts_us", "p.value", "i.anchor_us"), RAMP)
+
+
+@query("sx12_ramp_scores")
+def sx12_ramp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimators against a duration known otherwise (an episode's length, a second for 100) and against a predictor that always says 5,000 s."""
+    hand = a.episode(spark, sf_dir).select(F.col("id").alias("window_id"), ((F.col("end_us") - F.col("start_us")) * 100 / US).alias("hand_s"))
+    return ramps.scores(wn23_ramp_estimators(spark, sf_dir).join(hand, "window_id"), 5_000.0, 150.0)
 
 
 @query("sf1_iso_to_epoch", """WITH t AS (SELECT o_orderkey AS id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS midnight FROM orders)

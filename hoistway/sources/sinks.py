@@ -6,6 +6,7 @@ import re
 import sys
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written once to the shared folder and read back: what is read several times is computed once, and a lost executor costs a file's read. It stays until the folder is cleared."""
+    at = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 class RunLedger:
     """An append-only table of runs: stage, start, seconds, rows and error of each. Keeping the ledger never fails a run."""
 
