@@ -6,14 +6,18 @@ batch and stream are compared."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.sinks import shared_dir
-from .ordered import in_order
+from .ordered import END_US, in_order, plain
 
 US = 1_000_000
 STATES = ("closed", "opening", "open", "closing")
@@ -152,22 +156,68 @@ def committed_intervals(seen: DataFrame, settle_us: int, keep_us: int, late_us:
     return in_order(seen, ["cam"], ["ts_us", "id", "lo", "hi", "reason"], lambda saved: Commits(settle_us, keep_us, saved), "id long, lo long, hi long, outcome string", late_us)
 
 
+class _Attribution(StatefulProcessor):
+    """Transits and episodes of one camera and time slot wait in state until the watermark has passed all that could meet in it; then each transit gets the least id of the
+    episodes around it in one sweep, so that state and work are those of the rows, not of the pairs. A slot is emitted once."""
+
+    def __init__(self, pad_us: int, slot_us: int) -> None:
+        self.pad_us, self.slot_us = pad_us, slot_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = False
+        for batch in rows:
+            new = [[plain(x) for x in r] for r in batch[["id", "lo", "hi", "transit"]].to_dict("split")["data"]]
+            new = [r for r in new if (r[1] is None or r[1] < END_US - self.pad_us) and (r[3] or r[0] is not None)]
+            if new and plain(key[1]) is None:  # without a time a transit meets nothing
+                yield pd.DataFrame({"id": pd.array([r[0] for r in new], dtype="Int64"), "episode_id": pd.array([None] * len(new), dtype="Int64")})
+            elif new:
+                self.waiting.appendValue((json.dumps(new),))
+                known = True
+        if known:
+            self.handle.registerTimer(((int(key[1]) + 1) * self.slot_us + self.pad_us) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [r for (rows,) in self.waiting.get() for r in json.loads(rows)]
+        transits, episodes = [(r[1], r[0]) for r in held if r[3]], [(r[1], r[2], r[0]) for r in held if not r[3]]
+        found = least_around([t for t, _ in transits], episodes)
+        self.waiting.clear()
+        yield pd.DataFrame({"id": pd.array([i for _, i in transits], dtype="Int64"), "episode_id": pd.array(found, dtype="Int64")})
+
+
+def least_around(points: list[int], spans: list[tuple[int, int, int]]) -> list[int | None]:
+    """For each point the least id of the spans (lo, hi, id; ends included) around it: one sweep with the open spans in a heap by id."""
+    found: list[int | None] = [None] * len(points)
+    spans, held, at = sorted(spans), [], 0
+    for p in sorted(range(len(points)), key=points.__getitem__):
+        while at < len(spans) and spans[at][0] <= points[p]:
+            heappush(held, (spans[at][2], spans[at][1]))
+            at += 1
+        while held and held[0][1] < points[p]:
+            heappop(held)
+        found[p] = held[0][0] if held else None
+    return found
+
+
 def late_attribution(transits: DataFrame, episodes: DataFrame, pad_us: int, longest_us: int, late_us: int, slot_us: int) -> DataFrame:
-    """id, episode_id: each transit (cam, id, ts_us) with the episodes (cam, id, ts_us (their start), end_us) around it, pad_us wide on either side, and with null once none can come any
-    more. A join of two streams by camera, time slot and range: either side waits in state until both watermarks have passed what could still meet it. No episode is longer
-    than longest_us. Of several episodes attributions() keeps one."""
-    late, seconds = f"{late_us // 1000} milliseconds", lambda us: f"INTERVAL '{us // US}' SECOND"
-    t = transits.select("cam", "id", F.col("ts_us").alias("t_us"), F.timestamp_micros("ts_us").alias("t_at"), F.floor(F.col("ts_us") / slot_us).alias("slot")).withWatermark("t_at", late)
-    e = episodes.select(F.col("cam").alias("e_cam"), F.col("id").alias("episode_id"), F.col("ts_us").alias("start_us"), "end_us", F.timestamp_micros("ts_us").alias("e_at")).withWatermark("e_at", late)
-    e = e.withColumn("e_slot", F.explode(F.sequence(F.floor((F.col("start_us") - pad_us) / slot_us), F.floor((F.col("end_us") + pad_us) / slot_us))))
-    near = f"t_at >= e_at - {seconds(pad_us)} AND t_at <= e_at + {seconds(pad_us + longest_us)}"  # what state may be dropped by
-    on = f"cam = e_cam AND slot = e_slot AND {near} AND t_us >= start_us - {pad_us} AND t_us <= end_us + {pad_us}"
-    return t.join(e, F.expr(on), "leftOuter").select("id", "episode_id")
+    """id, episode_id: each transit (cam, id, ts_us) with the least id of the episodes (cam, id, ts_us (their start), end_us) around it, pad_us wide on either side, or with null; it comes once no
+    other can come any more. A join of two streams by camera and time slot in keyed state: a slot waits until both watermarks have passed what could still meet in it. Episodes stand in
+    every slot that they touch, whatever their length; longest_us, once the bound of the state, is not asked for any more."""
+    late = f"{late_us // 1000} milliseconds"
+    no_span = F.col("ts_us").alias("lo"), F.col("ts_us").alias("hi")
+    t = transits.withColumn("__at", F.timestamp_micros("ts_us")).withWatermark("__at", late).select("cam", F.floor(F.col("ts_us") / slot_us).alias("slot"), "id", *no_span, F.lit(True).alias("transit"), "__at")
+    e = episodes.withColumn("__at", F.timestamp_micros("ts_us")).withWatermark("__at", late).where("cam IS NOT NULL")
+    e = e.select("cam", "id", (F.col("ts_us") - pad_us).alias("lo"), (F.col("end_us") + pad_us).alias("hi"), F.lit(False).alias("transit"), "__at").where("lo <= hi")
+    e = e.withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") / slot_us), F.floor(F.col("hi") / slot_us))))
+    return t.unionByName(e).groupBy("cam", "slot").transformWithStateInPandas(_Attribution(pad_us, slot_us), "id long, episode_id long", "Append", "EventTime")
 
 
 def attributions(matches: DataFrame) -> DataFrame:
     """One row for each transit, the least id of its episodes: setting it again changes nothing."""
-    return matches.where("id IS NOT NULL").groupBy("id").agg(F.min("episode_id").alias("episode_id"))
+    return matches.groupBy("id").agg(F.min("episode_id").alias("episode_id"))
 
 
 def send_batches(stream: DataFrame, sender: Callable[[str, list[str], str], None], url: str, what: str, rows: int = 500):

@@ -30,10 +30,10 @@ END_US = 4_000_000_000_000_000
 SLOTS = 16
 
 
-def _plain(x):
+def plain(x):
     """A cell as JSON has it."""
     if isinstance(x, (list, np.ndarray)):
-        return [_plain(y) for y in x]
+        return [plain(y) for y in x]
     x = x.item() if isinstance(x, np.generic) else x
     return None if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x else x
 
@@ -54,7 +54,7 @@ class _InOrder(StatefulProcessor):
         for batch in rows:
             for r in batch[self.columns].to_dict("split")["data"]:
                 if r[0] < END_US:
-                    slots.setdefault(int(r[0]) // self.slot_us, []).append([_plain(x) for x in r])
+                    slots.setdefault(int(r[0]) // self.slot_us, []).append([plain(x) for x in r])
         for slot, new in slots.items():
             if self.waiting.containsKey((slot,)):
                 new = json.loads(self.waiting.getValue((slot,))[0]) + new

@@ -101,6 +101,21 @@ def test_late_attribution_is_the_batch_join_with_bounded_state(spark, tmp_path):
     assert ordered.drain.progress["stateOperators"][0]["numRowsTotal"] <= 8  # the rows that close the streams, at most
 
 
+def test_late_attribution_keeps_rows_not_pairs(spark, tmp_path):
+    """Where all of a camera meets, what comes out and is kept is one row a transit; an episode beyond the longest, transits without a camera or id count too."""
+    transits = [{"cam": "a", "id": i, "ts_us": (100 + i % 50) * US} for i in range(600)] + [{"cam": None, "id": 1000, "ts_us": 120 * US}, {"cam": "a", "id": None, "ts_us": 5 * US}]
+    transits += [{"cam": "a", "id": 1002, "ts_us": 700 * US}, {"cam": "a", "id": 1003, "ts_us": 900 * US}]
+    episodes = [{"cam": "a", "id": 5 + i, "ts_us": (90 + i % 40) * US, "end_us": (150 + i % 7) * US} for i in range(300)] + [{"cam": "a", "id": 400, "ts_us": 130 * US, "end_us": 800 * US}, {"cam": None, "id": 1, "ts_us": 100 * US, "end_us": 150 * US}]
+    for name, rows in (("t", transits), ("e", episodes)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.json").write_text("\n".join(json.dumps(r) for r in rows))
+    t = ordered.Closable(spark.readStream.schema("cam string, id long, ts_us long").json(str(tmp_path / "t")))
+    e = ordered.Closable(spark.readStream.schema("cam string, id long, ts_us long, end_us long").json(str(tmp_path / "e")), {"cam": "", "end_us": ordered.END_US})
+    matches = ordered.drain(jobs.late_attribution(t.rows, e.rows, 5 * US, 25 * US, 60 * US, 60 * US), [t, e]).collect()
+    want = {i: 5 for i in range(600)} | {1000: None, None: None, 1002: 400, 1003: None}
+    assert len(matches) == len(transits) and {r.id: r.episode_id for r in matches} == want
+
+
 def test_rows_later_than_the_lateness_are_dropped(spark, tmp_path):
     rows = [{"cam": "a", "door_version": "v", "ts_us": (i + 1) * 60 * US, "id": i, "door_state": s} for i, s in enumerate(["open", "closed", "open", "closed"])]
     at = tmp_path / "in"
