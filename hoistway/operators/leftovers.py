@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import carry, joins
+from . import around, carry, joins
 
 US = 1_000_000
 DAY_US = 86_400 * US
@@ -256,14 +256,51 @@ def ramp(times: list[int], values: list[float], sustain: int = 2) -> float | Non
 
 
 def descents(samples: DataFrame, near_open: float, close_at: float) -> DataFrame:
-    """window_id, n, descent_s, ramp_s for each window of samples (window_id, ts_us, value); a window is one event, so groups are small."""
+    """window_id, n, descent_s, ramp_s for each window of samples (window_id, ts_us, value), by walking it; a window is one event, so groups are small. Of one time the smaller value comes
+    first. Where windows overlap, descents_around() takes the same figures without a copy of the samples for each."""
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for key, part in pdf.sort_values(["window_id", "ts_us"], kind="stable").groupby("window_id", sort=False):
+        for key, part in pdf.sort_values(["window_id", "ts_us", "value"], kind="stable").groupby("window_id", sort=False):
             times, values = part["ts_us"].tolist(), part["value"].tolist()
             found = last_descent(values, near_open, close_at)
             rows.append((key, len(times), (times[found[1]] - times[found[0]]) / US if found else None, ramp(times, values)))
         return pd.DataFrame(rows, columns=["window_id", "n", "descent_s", "ramp_s"])
 
     return samples.withColumn("task", F.pmod(F.xxhash64("window_id"), F.lit(tasks_for(samples)))).groupBy("task").applyInPandas(measure, "window_id long, n long, descent_s double, ramp_s double")
+
+
+def descents_around(points: DataFrame, windows: DataFrame, near_open: float, close_at: float, block_us: int, sustain: int = 2) -> DataFrame:
+    """descents() of the points (cam, ts_us, value) in windows (cam, window_id, lo, hi, both ends within) that may overlap as they like. A descent ends at the first low behind a top, whatever
+    came before; levels are order statistics, and where they are first held is a search for the next minimum."""
+
+    def measure(p: pd.DataFrame, w: pd.DataFrame, i0: np.ndarray, i1: np.ndarray) -> pd.DataFrame:
+        t, v, n = p["ts_us"].to_numpy(), p["value"].to_numpy(dtype=float), i1 - i0
+        top = v >= near_open
+        low = ~top & (v <= close_at)
+        marks = np.flatnonzero(top | low)
+        falls = low[marks[1:]] & top[marks[:-1]]
+        tops, lows = np.concatenate([[-1], marks[:-1][falls]]), np.concatenate([[-1], marks[1:][falls]])
+        last = np.searchsorted(lows, i1) - 1
+        descent = np.where((last > 0) & (tops[last] >= i0), (t[lows[last]] - t[tops[last]]) / US, np.nan)
+        ranks = around.Ranks(v)
+        lo, hi = (ranks.distinct[ranks.kth(i0, i1, (q * (n - 1)).astype(np.int64))] for q in (0.05, 0.95))
+
+        def upto(share: float) -> np.ndarray:
+            """The largest rank whose share of the window's span is at most ``share``, below all: -1."""
+            a, b = np.full(len(n), -1), np.full(len(n), len(ranks.distinct) - 1)
+            while (a < b).any():
+                mid = (a + b + 1) // 2
+                fits = (ranks.distinct[mid] - lo) / (hi - lo) <= share
+                a, b = np.where(fits, np.maximum(a, mid), a), np.where(fits, b, np.minimum(b, mid - 1))
+            return a
+
+        held = around.Least(around.spread(ranks.of, sustain, np.maximum))
+        ends = np.maximum(i1 - sustain + 1, i0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            begin = held.first(i0, ends, upto(0.9))
+            end = held.first(np.where(begin < 0, ends, begin), ends, upto(0.1))
+        ramps = np.where((n >= 4) & ~(hi <= lo) & (end >= 0), (t[end] - t[begin]) / US, np.nan)
+        return pd.DataFrame({"window_id": w["window_id"].to_numpy(), "n": n, "descent_s": descent, "ramp_s": ramps})
+
+    return around.by_blocks(points, windows, ["value"], block_us, measure, "window_id long, n long, descent_s double, ramp_s double")

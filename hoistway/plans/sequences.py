@@ -350,6 +350,6 @@ def sx6_sampling_quantum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wn24_last_descents")
 def wn24_last_descents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last full descent and the ramp of the signal k in the six hours around each episode."""
-    e = a.episode(spark, sf_dir).select("cam", F.col("id").alias("window_id"), (F.col("start_us") - 3 * HOUR_US).alias("lo_us"), (F.col("start_us") + 3 * HOUR_US).alias("hi_us"))
-    pairs = joins.point_in_interval(a.door(spark, sf_dir).select("cam", "ts_us", F.col("k").cast("double").alias("value")), e, "lo_us", "hi_us", 6 * HOUR_US)
-    return leftovers.descents(pairs.select("i.window_id", "p.ts_us", "p.value"), 80.0, 20.0)
+    e = a.episode(spark, sf_dir).select("cam", F.col("id").alias("window_id"), (F.col("start_us") - 3 * HOUR_US).alias("lo"), (F.col("start_us") + 3 * HOUR_US).alias("hi"))
+    points = a.door(spark, sf_dir).select("cam", "ts_us", F.col("k").cast("double").alias("value"))
+    return leftovers.descents_around(points, e, 80.0, 20.0, 6 * HOUR_US)
