@@ -204,9 +204,9 @@ RAMP = ramps.Ramp(rise=0.05)
 @query("wn23_ramp_estimators")
 def wn23_ramp_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long the signal k / 100 takes to its closed level in the six hours around each episode, by five estimators anchored at its start."""
-    e = a.episode(spark, sf_dir).select("cam", F.col("id").alias("window_id"), F.col("start_us").alias("anchor_us"), (F.col("start_us") - 3 * HOUR_US).alias("lo_us"), (F.col("start_us") + 3 * HOUR_US).alias("hi_us"))
-    pairs = joins.point_in_interval(a.door(spark, sf_dir).select("cam", "ts_us", (F.col("k") / 100.0).alias("value")), e, "lo_us", "hi_us", 6 * HOUR_US)
-    return ramps.estimates(pairs.select("i.window_id", "p.ts_us", "p.value", "i.anchor_us"), RAMP)
+    e = a.episode(spark, sf_dir).select("cam", F.col("id").alias("window_id"), F.col("start_us").alias("anchor_us"), (F.col("start_us") - 3 * HOUR_US).alias("lo"), (F.col("start_us") + 3 * HOUR_US).alias("hi"))
+    points = a.door(spark, sf_dir).select("cam", "ts_us", (F.col("k") / 100.0).alias("value"))
+    return ramps.estimates_around(points, e, RAMP, 6 * HOUR_US)
 
 
 @query("sx12_ramp_scores")
