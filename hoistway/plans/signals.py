@@ -213,7 +213,8 @@ def wn23_ramp_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sx12_ramp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimators against a duration known otherwise (an episode's length, a second for 100) and against a predictor that always says 5,000 s."""
     hand = a.episode(spark, sf_dir).select(F.col("id").alias("window_id"), ((F.col("end_us") - F.col("start_us")) * 100 / US).alias("hand_s"))
-    return ramps.scores(wn23_ramp_estimators(spark, sf_dir).join(hand, "window_id"), 5_000.0, 150.0)
+    pairs = wn23_ramp_estimators(spark, sf_dir).join(hand, "window_id").select("estimator", "est_s", "hand_s")
+    return ramps.scores(sinks.stored(pairs, "ramps"), 5_000.0, 150.0)
 
 
 @query("sf1_iso_to_epoch", """WITH t AS (SELECT o_orderkey AS id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS midnight FROM orders)
