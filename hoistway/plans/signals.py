@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import carry, cycles, joins, leftovers, ramps
+from ..operators import around, carry, cycles, joins, leftovers, ramps
 from ..registry import query
 from ..registry import sql_query as q
 from ..sources import adapters as a
@@ -29,10 +29,8 @@ def jn15_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn14_range_count_hole")
 def jn14_range_count_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = a.episode(spark, sf_dir).select("cam", F.col("id").alias("episode_id"), (F.col("start_us") - HOUR_US).alias("lo"), (F.col("end_us") + HOUR_US).alias("hi"))
-    pairs = joins.point_in_interval(a.door(spark, sf_dir).select("cam", "ts_us"), e, "lo", "hi", 2 * HOUR_US).select("i.episode_id", "p.ts_us")
-    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("episode_id").orderBy("ts_us"))
-    return pairs.withColumn("gap", gap).groupBy(F.col("episode_id").alias("id")).agg(F.count("*").alias("n"), F.max("gap").alias("hole_us"))
+    e = a.episode(spark, sf_dir).select("cam", "id", (F.col("start_us") - HOUR_US).alias("lo"), (F.col("end_us") + HOUR_US).alias("hi"))
+    return around.holes(a.door(spark, sf_dir).select("cam", "ts_us"), e, 6 * HOUR_US)
 
 
 @query("sr8_late_attribution")
