@@ -76,7 +76,7 @@ class Episodes:
     COUNTS = ("boarded", "alighted", "frames", "audited", "det_max", "det_sum", "occupancy_max", "segments", "dropped")
 
     def __init__(self, gap_us: int, longest_us: int, saved: dict | None = None) -> None:
-        self.gap_us, self.longest_us, self.now = gap_us, longest_us, saved
+        self.gap_us, self.longest_us, self.now = gap_us, longest_us, saved and saved | {"tracks": set(saved["tracks"])}
 
     def _end(self) -> list[tuple]:
         e, self.now = self.now, None
@@ -90,7 +90,7 @@ class Episodes:
         out = self._end() if self.now and (t - self.now["last"] > self.gap_us or crossing and t - self.now["start"] > self.longest_us) else []
         if self.now is None and not crossing:
             return out
-        e = self.now = self.now or {"start": t, "last": t, "tracks": [], **dict.fromkeys(self.COUNTS, 0)}
+        e = self.now = self.now or {"start": t, "last": t, "tracks": set(), **dict.fromkeys(self.COUNTS, 0)}
         if crossing:
             e["last"] = t
             e["boarded" if r["direction"] == "in" else "alighted"] += 1
@@ -99,7 +99,7 @@ class Episodes:
             if r["detections"] is not None:
                 e["audited"], e["det_max"], e["det_sum"] = e["audited"] + 1, max(e["det_max"], int(r["detections"])), e["det_sum"] + int(r["detections"])
             e["occupancy_max"] = max(e["occupancy_max"], int(r["occupancy"] or 0))
-        e["tracks"] = sorted({*e["tracks"], *map(int, r["track_ids"] or ())})
+        e["tracks"].update(map(int, r["track_ids"] or ()))
         for k in ("segments", "dropped"):
             e[k] += int(r[k] or 0)
         return out
@@ -111,7 +111,7 @@ class Episodes:
         return self.now["last"] + self.gap_us + 1 if self.now else None
 
     def saved(self) -> dict | None:
-        return self.now
+        return self.now and self.now | {"tracks": sorted(self.now["tracks"])}
 
 
 def audited_episodes(records: DataFrame, gap_us: int, longest_us: int, late_us: int) -> DataFrame:
@@ -130,17 +130,26 @@ class Commits:
     def __init__(self, settle_us: int, keep_us: int, saved: dict | None = None) -> None:
         self.settle_us, self.keep_us = settle_us, keep_us
         self.taken, self.rejected = (saved["taken"], saved["rejected"]) if saved else ([], [])
+        self.next = self._next()
+
+    def _next(self) -> float:
+        """The end that is forgotten first."""
+        return min((h for held in (self.taken, self.rejected) for _, h in held), default=float("inf"))
 
     def step(self, r: dict) -> list[tuple]:
         lo, hi, seen = r["lo"], r["hi"], r["ts_us"]
+        if self.next < seen - self.keep_us:  # held are those of keep_us, not of all rows that come at once
+            self.expire(seen)
         meets = lambda held: any(lo < h and x < hi for x, h in held)
         if seen - hi < self.settle_us or meets(self.taken) or r["reason"] is not None and meets(self.rejected):
             return []
         (self.taken if r["reason"] is None else self.rejected).append((lo, hi))
+        self.next = min(self.next, hi)
         return [(r["id"], lo, hi, r["reason"] or "committed")]
 
     def expire(self, us: int) -> list[tuple]:
         self.taken, self.rejected = ([x for x in held if x[1] >= us - self.keep_us] for held in (self.taken, self.rejected))
+        self.next = self._next()
         return []
 
     def due(self) -> int | None:

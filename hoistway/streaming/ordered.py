@@ -12,6 +12,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 END_US = 4_000_000_000_000_000
 #: Width of a slot of the buffer: rows wait by slots, so that only slots that are due are read.
 SLOTS = 16
+#: Rows that a task holds before it hands them to state, and rows of a frame of output.
+HELD, OUT = 50_000, 10_000
 
 
 def plain(x):
@@ -39,50 +42,68 @@ def plain(x):
 
 
 class _InOrder(StatefulProcessor):
-    """Rows (ts_us, id, and more as JSON) wait in a map of slots of time; the machine's state is a JSON text."""
+    """Rows (ts_us, id, and more as JSON) wait in a map of slots of time, in parts as they came; the machine's state is a JSON text. A task holds HELD rows on the way in and a slot on the way out,
+    however many come at once."""
 
     def __init__(self, make: Callable[[object], object], columns: list[str], out: list[str], keys: list[str], slot_us: int) -> None:
         self.make, self.columns, self.out, self.keys, self.slot_us = make, columns, out, keys, slot_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot long", "rows string")
+        self.waiting = handle.getMapState("waiting", "slot long, part long", "rows string")
+        self.parts = handle.getValueState("parts", "next long")
         self.state = handle.getValueState("machine", "saved string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         slots: dict[int, list] = {}
+        held, first = 0, self.parts.get()[0] if self.parts.exists() else 0
+        part = first
         for batch in rows:
             for r in batch[self.columns].to_dict("split")["data"]:
                 if r[0] < END_US:
                     slots.setdefault(int(r[0]) // self.slot_us, []).append([plain(x) for x in r])
-        for slot, new in slots.items():
-            if self.waiting.containsKey((slot,)):
-                new = json.loads(self.waiting.getValue((slot,))[0]) + new
-            self.waiting.updateValue((slot,), (json.dumps(new),))
+                    held += 1
+            if held >= HELD:
+                self._keep(slots, part)
+                slots, held, part = {}, 0, part + 1
+        if slots:
+            self._keep(slots, part)
+            part += 1
+        if part > first:
+            self.parts.update((part,))
         return self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
+    def _keep(self, slots: dict[int, list], part: int) -> None:
+        for slot, new in slots.items():
+            self.waiting.updateValue((slot, part), (json.dumps(new),))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         return self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def _release(self, key, watermark_us: int) -> Iterator[pd.DataFrame]:
         saved = self.state.get()[0] if self.state.exists() else None
-        machine, due, next_us = self.make(None if saved is None else json.loads(saved)), [], None
-        slots = sorted(k[0] for k in self.waiting.keys())
-        for slot in slots:
+        machine, next_us, left, found = self.make(None if saved is None else json.loads(saved)), None, False, []
+        for slot, parts in groupby(sorted(tuple(k) for k in self.waiting.keys()), key=lambda k: k[0]):
             if slot * self.slot_us >= watermark_us:
-                next_us = slot * self.slot_us if next_us is None else next_us
+                next_us, left = slot * self.slot_us if next_us is None else next_us, True
                 break
-            rows = json.loads(self.waiting.getValue((slot,))[0])
-            later = [r for r in rows if r[0] >= watermark_us]
-            due += [r for r in rows if r[0] < watermark_us]
-            if later:
-                self.waiting.updateValue((slot,), (json.dumps(later),))
-                next_us = min(r[0] for r in later) if next_us is None else next_us
-            else:
-                self.waiting.removeKey((slot,))
-        found = []
-        for r in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
-            found += machine.step(dict(zip(self.columns, r)))
+            due = []
+            for at in parts:
+                rows = json.loads(self.waiting.getValue(at)[0])
+                later = [r for r in rows if r[0] >= watermark_us]
+                due += [r for r in rows if r[0] < watermark_us]
+                if not later:
+                    self.waiting.removeKey(at)
+                    continue
+                left, soonest = True, min(r[0] for r in later)
+                next_us = soonest if next_us is None else min(next_us, soonest)
+                if len(later) < len(rows):
+                    self.waiting.updateValue(at, (json.dumps(later),))
+            for r in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+                found += machine.step(dict(zip(self.columns, r)))
+            if len(found) >= OUT:
+                yield self._frame(key, found)
+                found = []
         found += machine.expire(watermark_us)
         after = machine.saved()
         if after is not None:
@@ -90,10 +111,15 @@ class _InOrder(StatefulProcessor):
                 self.state.update((json.dumps(after),))
         elif saved is not None:
             self.state.clear()
+        if not left and self.parts.exists():
+            self.parts.clear()
         times = [t for t in (next_us, machine.due()) if t is not None]
         if times:
             self.handle.registerTimer(max(min(times), watermark_us) // 1000 + 1)
-        yield pd.DataFrame([(*key, *f) for f in found], columns=[*self.keys, *self.out])
+        yield self._frame(key, found)
+
+    def _frame(self, key, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *f) for f in found], columns=[*self.keys, *self.out])
 
 
 def in_order(rows: DataFrame, keys: list[str], columns: list[str], make: Callable[[object], object], out: str, late_us: int) -> DataFrame:
