@@ -69,3 +69,15 @@ def last_and_total(df: DataFrame, keys: list[str], last: dict[str, Column], tota
     rows = joined(rows, days.select(*keys, DAY, *handed), keys)
     both = {n: F.coalesce(n, f"__d_{n}") for n in last} | {n: F.coalesce(n, F.lit(0)) + F.coalesce(f"__d_{n}", F.lit(0)) for n in totals}
     return rows.withColumns(both).drop(*[f"__d_{n}" for n in both])
+
+
+def trailing_peak(points: DataFrame, span_us: int) -> DataFrame:
+    """cam, peak, at_us: the most points (cam, ts_us) of a camera within span_us up to and with a point, and the first time of that many. A point counts from its time on and no longer span_us
+    later: a running sum over both marks, counted by time first, so that a window isn't walked for each point. Points without a time are a window of their own."""
+    times = points.where("cam IS NOT NULL").groupBy("cam", "ts_us").agg(F.count("*").alias("c"))
+    known = times.where("ts_us IS NOT NULL")
+    marks = known.select("cam", "ts_us", "c", F.lit(True).alias("point")).unionByName(known.select("cam", (F.col("ts_us") + span_us).alias("ts_us"), (-F.col("c")).alias("c"), F.lit(False).alias("point")))
+    running = total_up_to(with_day(marks), ["cam"], {"n": F.col("c")}, ties=True).where("point").select("cam", "ts_us", "n")
+    running = running.unionByName(times.where("ts_us IS NULL").select("cam", "ts_us", F.col("c").alias("n")))
+    best = F.max(F.struct("n", (-F.col("ts_us")).alias("back"))).alias("best")
+    return running.groupBy("cam").agg(best).select("cam", F.col("best.n").alias("peak"), (-F.col("best.back")).alias("at_us"))

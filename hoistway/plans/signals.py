@@ -33,6 +33,11 @@ def jn14_range_count_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.holes(a.door(spark, sf_dir).select("cam", "ts_us"), e, 6 * HOUR_US)
 
 
+@query("wn9_trailing_peak")
+def wn9_trailing_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carry.trailing_peak(a.transit(spark, sf_dir).select("cam", "ts_us"), 25 * HOUR_US)
+
+
 @query("sr8_late_attribution")
 def sr8_late_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.episode(spark, sf_dir).select("cam", F.col("id").alias("episode_id"), (F.col("start_us") - 300 * US).alias("lo"), (F.col("end_us") + 300 * US).alias("hi"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from hoistway.operators import around, leftovers, ramps
+from hoistway.operators import around, carry, leftovers, ramps
 
 US = 1_000_000
 
@@ -70,3 +70,13 @@ def test_a_crowd_of_windows_makes_no_pairs(spark):
     assert leftovers.descents_around(p, w, 80.0, 20.0, 3600 * US).where("n = 20000 AND descent_s = 0.001").count() == 20_000
     assert ramps.estimates_around(p, w, ramps.Ramp(), 3600 * US).where("est_s IS NOT NULL").count() > 80_000
     assert around.holes(p.select("cam", "ts_us"), w.withColumnRenamed("window_id", "id"), 3600 * US).where("n = 20000 AND hole_us = 1000").count() == 20_000
+
+
+def test_trailing_peak_is_that_of_walks(spark):
+    rng, want = random.Random(9), {}
+    rows = [(rng.choice("ab"), rng.randrange(200) * 3600 * US) for _ in range(400)] + [("c", None), (None, 5)]
+    for cam in "ab":
+        t = [x for c, x in rows if c == cam]
+        peak, back = max((sum(x - 90_000 * US < y <= x for y in t), -x) for x in t)
+        want[cam] = (peak, -back)
+    assert {r.cam: (r.peak, r.at_us) for r in carry.trailing_peak(spark.createDataFrame(rows, "cam string, ts_us long"), 90_000 * US).collect()} == want | {"c": (1, None)}
