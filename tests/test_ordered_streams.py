@@ -125,3 +125,39 @@ def test_rows_later_than_the_lateness_are_dropped(spark, tmp_path):
         os.utime(at / f"{f}.json", (1_700_000_000 + f, 1_700_000_000 + f))
     stream = ordered.Closable(spark.readStream.schema(CASES["cycles"][0]).option("maxFilesPerTrigger", 1).json(str(at)))
     assert [r.id for r in ordered.drain(jobs.door_cycles(stream.rows, 30 * US), [stream]).collect()] == [1]
+
+
+def test_settled_intervals_are_forgotten_as_time_passes():
+    c, most = jobs.Commits(20 * US, 600 * US), 0
+    for i in range(5_000):  # all in one go: expire() isn't called in between
+        assert c.step({"id": i, "lo": i * 100 * US, "hi": (i * 100 + 50) * US, "ts_us": (i * 100 + 80) * US, "reason": None})
+        most = max(most, len(c.taken))
+    assert most <= 8
+
+
+class _Held(dict):
+    """A map or a value of state, in memory."""
+
+    def __init__(self):
+        super().__init__()
+        self.containsKey, self.getValue, self.updateValue, self.removeKey = self.__contains__, self.__getitem__, self.__setitem__, self.pop
+        self.exists, self.get, self.update = lambda: 0 in self, lambda: self[0], lambda v: self.__setitem__(0, v)
+
+
+def test_rows_that_come_at_once_are_handed_on_in_parts(monkeypatch):
+    import types
+
+    import pandas as pd
+
+    monkeypatch.setattr(ordered, "HELD", 100)
+    monkeypatch.setattr(ordered, "OUT", 50)
+    p = ordered._InOrder(jobs.Cycles, ["ts_us", "id", "door_state"], ["ts_us", "id"], ["cam"], 10 * US)
+    p.init(types.SimpleNamespace(getMapState=lambda *_: _Held(), getValueState=lambda *_: _Held(), registerTimer=lambda _: None))
+    rows = [(i * US // 2, i, "open" if i % 2 else "closed") for i in range(2_000)]
+    random.Random(1).shuffle(rows)
+    at = lambda us: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: us // 1000)
+    batches = (pd.DataFrame(rows[i : i + 50], columns=p.columns) for i in range(0, 2_000, 50))
+    assert sum(map(len, p.handleInputRows(("a",), batches, at(0)))) == 0
+    assert len({k[1] for k in p.waiting}) == 20 and max(len(json.loads(v[0])) for v in p.waiting.values()) <= 100
+    out = [*p.handleExpiredTimer(("a",), at(400 * US + US // 4), None), *p.handleExpiredTimer(("a",), at(10_000 * US), None)]
+    assert max(map(len, out)) < 100 and [i for f in out for i in f["id"]] == list(range(2, 2_000, 2)) and not p.waiting
